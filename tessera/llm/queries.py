@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from tessera.llm.decontaminate import op8_decontaminate
+from tessera.llm.license_scan import op9_license_scan
 from tessera.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tessera.llm.toxicity import op10_toxicity
+from tessera.llm.warc_store import OP1_SQL, op1_warc
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op7_line_dedup": OP7_SQL}
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return dict(ORACLE_SQL)
