@@ -6,12 +6,14 @@ from tessera.llm.bpe import op6_bpe
 from tessera.llm.decontaminate import op8_decontaminate
 from tessera.llm.license_scan import op9_license_scan
 from tessera.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tessera.llm.simhash import op2_simhash
 from tessera.llm.token_store import op3_token_store
 from tessera.llm.toxicity import op10_toxicity
 from tessera.llm.warc_store import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
