@@ -10,6 +10,7 @@ from tessera.llm.simhash import op2_simhash
 from tessera.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from tessera.llm.token_store import op3_token_store
 from tessera.llm.toxicity import op10_toxicity
+from tessera.llm.vptree import OP5_SQL, op5_vptree
 from tessera.llm.warc_store import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -17,13 +18,14 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_vptree": op5_vptree,
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_vptree": OP5_SQL, "op7_line_dedup": OP7_SQL}
 
 
 def queries() -> dict:
