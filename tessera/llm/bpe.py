@@ -231,23 +231,28 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text"
     return map_batches(tokens.select("*", F.col(ids_col).alias("__in")), run, f"{schema}, __decoded string").withColumnRenamed("__decoded", out)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids and decoded text of each row as digests: encoded, then decoded from the ids, in one pass over the texts."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Ids and decoded text of each row as digests: encoded, then decoded from the ids, in one pass over the texts.
+
+    ``with_ids`` adds the ids themselves.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in batch.column("__text").to_pylist():
                 ids = bpe.encode(text or "")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(bpe.ids_text(ids)).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield {"doc_id": batch.column("__id"), "n": n, "i": ids_sha, "d": text_sha}
+                if with_ids:
+                    all_ids.append(ids.astype(np.int32))
+            yield {"doc_id": batch.column("__id"), "n": n, "i": ids_sha, "d": text_sha} | ({"ids": all_ids} if with_ids else {})
 
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return map_batches(source, run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(source, run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
