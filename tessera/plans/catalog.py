@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from tessera.plans import table_queries, url_queries
 
-FLAGSHIP = "orders_by_status"
-
-
-def orders_by_status(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES = {"orders_by_status": orders_by_status}
-ORACLE_SQL = {"orders_by_status": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"}
+FLAGSHIP = "url_host_profile"
+QUERIES = url_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL = url_queries.SQL | table_queries.SQL
