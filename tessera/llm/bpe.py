@@ -206,7 +206,8 @@ def vocabulary(name: str) -> str:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text as an array column."""
+    """``docs`` with the ids of each whole text as an array column, added or replaced."""
+    docs = docs.drop(out) if out != text_col else docs
     columns = docs.columns
 
     def run(batches):
@@ -219,7 +220,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids")
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """``tokens`` with the decoded text of an id array column added."""
+    """``tokens`` with the decoded text of an id array column, added or replaced."""
+    tokens = tokens.drop(out) if out != ids_col else tokens
     columns = tokens.columns
 
     def run(batches):

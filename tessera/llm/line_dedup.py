@@ -74,10 +74,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, max_filter_bits: int = 1 << 30) -> DataFrame:
-    """``docs`` with ``text_col`` rewritten and ``n_lines`` and ``n_dropped`` added.
+    """``docs`` with ``text_col`` rewritten and ``n_lines`` and ``n_dropped`` added (or replaced).
 
     ``keep_first``: the first line with the key stays in the document of smallest id.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     found = repeated_lines(docs, id_col, text_col, min_docs, min_chars, max_filter_bits)
     per_doc = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("key", "first")).alias("__keys"))
     joined = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["__doc"]), "left").drop("__doc")

@@ -118,9 +118,10 @@ def chunks(texts: list[bytes], size: int, gram: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, max_filter_bits: int = 1 << 30) -> DataFrame:
-    """``docs`` with ``text_col`` as the kept words joined by one space, and ``n_words`` and ``n_removed`` added."""
+    """``docs`` with ``text_col`` as the kept words joined by one space, and ``n_words`` and ``n_removed`` added (or replaced)."""
     spark = docs.sparkSession
     gram = min(gram, size)
+    docs = docs.drop("n_words", "n_removed")
     keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
     source = keyed.select("__row", as_bytes(F.col(text_col)).alias("__text"))
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
@@ -176,8 +177,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield {"row": row[alone[s : s + (1 << 16)]], "at": at[alone[s : s + (1 << 16)]]}
 
     grouped = map_batches(source, suspects, "h1 long, h2 long, row long, at int").repartition("h1")
-    mistakes = map_batches(grouped, singles, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("__alone"))
-    joined = keyed.join(mistakes, keyed["__row"] == mistakes["row"], "left")
+    mistakes = map_batches(grouped, singles, "row long, at int").groupBy(F.col("row").alias("__match")).agg(F.collect_list("at").alias("__alone"))
+    joined = keyed.join(mistakes, keyed["__row"] == mistakes["__match"], "left")
     others = [c for c in docs.columns if c != text_col]
 
     def rewrite(batches):

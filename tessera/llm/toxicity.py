@@ -133,14 +133,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = map_batches(sample.select("text", "y"), project, "y int, own array<int>, twin array<int>").collect() if len(chosen) else []  # max_train_rows at most
     y = np.array([float(r["y"] > 0) for r in got])
     if not len(y) or y.min() == y.max():
-        return {}, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        return {}, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)))
     w, b = fit([np.array(r["own"], np.int64) for r in got], [None if r["twin"] is None else np.array(r["twin"], np.int64) for r in got], y, len(chosen), l2, counterfactual)
     return dict(zip(chosen.tolist(), w.tolist(), strict=True)), b
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text added as ``out``."""
+    """``docs`` with the score of each whole text added (or replaced) as ``out``."""
     weights, intercept = model
+    docs = docs.drop(out) if out != text_col else docs
     columns = docs.columns
     limit = 500_000
 
