@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import numbered
+
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key. One aggregation with map-side maxima, no sort."""
@@ -68,23 +70,23 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(by_hash(key, seed), key).limit(n)
 
 
-def cap_per_group(df: DataFrame, group: str, cap: int, order: list[Column]) -> DataFrame:
-    """At most ``cap`` rows of each group in ``order``; the window's own limit prunes before the shuffle."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("__rn") <= cap).drop("__rn")
+def cap_per_group(df: DataFrame, group: str, cap: int, order: str) -> DataFrame:
+    """The first ``cap`` rows of each group by a numeric column."""
+    return numbered(df, group, order, "__cap").filter(F.col("__cap") <= cap).drop("__cap")
 
 
-def quota(df: DataFrame, stratum: str, target: int, order: list[Column]) -> DataFrame:
+def quota(df: DataFrame, stratum: str, target: int, order: str) -> DataFrame:
     """``min(n, floor(target * share))`` rows of each stratum, shares from the table itself."""
     n = df.count()
-    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    limits = sizes.select("__s", F.floor(F.lit(float(target)) * F.col("__n") / F.lit(max(n, 1))).alias("__q"))
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    return ranked.join(limits, ranked[stratum] == limits["__s"]).filter(F.col("__rn") <= F.col("__q")).drop("__rn", "__s", "__q")
+    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__size"))
+    limits = sizes.select("__s", F.floor(F.lit(float(target)) * F.col("__size") / F.lit(max(n, 1))).alias("__q"))
+    ranked = numbered(df, stratum, order, "__cap")
+    return ranked.join(limits, ranked[stratum].eqNullSafe(limits["__s"])).filter(F.col("__cap") <= F.col("__q")).select(*df.columns)
 
 
-def folds(df: DataFrame, label: str, order: list[Column], k: int = 5) -> DataFrame:
-    """Stratified fold numbers from 0."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) % k)
+def folds(df: DataFrame, label: str, order: str, k: int = 5) -> DataFrame:
+    """Stratified fold numbers from 0, by a numeric column."""
+    return numbered(df, label, order, "fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int"))
 
 
 def top_per_group(df: DataFrame, group: str, k: int, order: list[Column]) -> DataFrame:

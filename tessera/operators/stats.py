@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import running_sum
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
@@ -19,10 +21,9 @@ def group_entropy(df: DataFrame, column: str) -> DataFrame:
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
-    """Gini coefficient of the value counts. Equal counts are grouped first, so the ordered window has a row per distinct count."""
+    """Gini coefficient of the value counts. Equal counts are grouped first, so only distinct counts are ranked."""
     sizes = value_counts(df, column).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.orderBy("n")
-    ranked = sizes.withColumn("before", F.sum("k").over(w) - F.col("k"))
+    ranked = running_sum(sizes, "n", "k", "upto").withColumn("before", F.col("upto") - F.col("k"))
     # ranks before+1 .. before+k share the count n
     rank_sum = F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2
     total, m = F.sum(F.col("n") * F.col("k")), F.sum("k")
@@ -47,10 +48,10 @@ def classification(df: DataFrame, actual: str, predicted: str, by: list[str] | N
 
 
 def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
-    """Exact area by average ranks. Rows are counted per score first, so the ordered window has a row per distinct score."""
+    """Exact area by average ranks. Rows are counted per score first, and scores are ranked in ranges."""
     per = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("__s")).agg(F.count_if(F.col(actual) == 1).alias("__p"), F.count_if(F.col(actual) == 0).alias("__n"))
-    below = F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")
-    wins = per.select("__p", "__n", (F.col("__p") * (below + F.col("__n") / 2)).alias("__w"))
+    below = F.col("__upto") - F.col("__n")
+    wins = running_sum(per, "__s", "__n", "__upto").select("__p", "__n", (F.col("__p") * (below + F.col("__n") / 2)).alias("__w"))
     return wins.agg(ratio(F.sum("__w"), F.sum("__p") * F.sum("__n")).alias("auc"))
 
 

@@ -263,15 +263,15 @@ def top_per_group(spark, sf_dir):
 
 
 def stratified_folds(spark, sf_dir):
-    return R.folds(t(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", [F.col("doc_id")]).select("doc_id", F.col("fold").cast("int").alias("fold"))
+    return R.folds(t(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", "doc_id").select("doc_id", "fold")
 
 
 def quota_sample(spark, sf_dir):
-    return R.quota(t(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 100, [F.col("doc_id")])
+    return R.quota(t(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 100, "doc_id")
 
 
 def cap_per_bucket(spark, sf_dir):
-    return R.cap_per_group(t(spark, sf_dir, "documents").select("doc_id", "source"), "source", 20, [F.col("doc_id")])
+    return R.cap_per_group(t(spark, sf_dir, "documents").select("doc_id", "source"), "source", 20, "doc_id")
 
 
 def rate_limit_window(spark, sf_dir):

@@ -32,7 +32,7 @@ def test_sampling_is_deterministic(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     a, b = (rows(relational.sample_exact(df.repartition(n), 10, "id")) for n in (1, 7))
     assert a == b and len(a) == 10
-    assert relational.folds(df, "g", [F.col("id")]).groupBy("g", "fold").count().filter("count <> 10").count() == 0
+    assert relational.folds(df, "g", "id").groupBy("g", "fold").count().filter("count <> 10").count() == 0
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -69,3 +69,19 @@ def test_token_bucket_stream(spark, tmp_path):
     query.awaitTermination()
     # two at once, then one more for the second that passed
     assert spark.table("bucket").filter("allowed").count() == 3
+
+
+def test_ranks_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    from tessera.operators import ranks
+
+    # one group holds most rows, one is null, some order values are null or repeat
+    df = spark.range(500).select(F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "cold").alias("g"), F.when(F.col("id") != 3, F.col("id") * 7 % 501).alias("o"))
+    got = ranks.numbered(df, "g", "o", "n", ranges=8)
+    expected = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o")))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+    one = df.filter("o IS NOT NULL").select("o", F.lit(2).alias("v"))
+    sums = {r.o: r.s for r in ranks.running_sum(one, "o", "v", "s", ranges=8).collect()}
+    assert sums == {o: 2 * (i + 1) for i, o in enumerate(sorted(sums))}
+    assert ranks.numbered(df.limit(0), "g", "o", "n").count() == 0
