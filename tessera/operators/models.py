@@ -78,6 +78,22 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     return nearest.groupBy(F.col("__id").alias("query")).agg(F.avg(F.col("n.y").cast("double")).alias("p"))
 
 
+def meta_weights(scored: DataFrame, columns: list[str], label: str = "label") -> list[float]:
+    """Weights of several models' scores: softmax of a plain logistic fit's coefficients."""
+    from math import exp
+
+    table = VectorAssembler(inputCols=columns, outputCol="features").transform(scored.select(label, *columns))
+    fitted = C.LogisticRegression(labelCol=label, regParam=0.0).fit(table).coefficients.toArray().tolist()
+    top = max(fitted)
+    grown = [exp(x - top) for x in fitted]
+    return [g / sum(grown) for g in grown]
+
+
+def describe(model) -> dict[str, object]:
+    """Name and size of a fitted model."""
+    return {"algorithm": type(model).__name__, "n_features": int(getattr(model, "numFeatures", 0))}
+
+
 def importances(model, names: list[str]) -> list[tuple[str, float]]:
     """Absolute coefficients or tree importances, largest first."""
     values = model.coefficients.toArray() if hasattr(model, "coefficients") else model.featureImportances.toArray()

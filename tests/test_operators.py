@@ -85,3 +85,24 @@ def test_ranks_equal_one_window(spark):
     sums = {r.o: r.s for r in ranks.running_sum(one, "o", "v", "s", ranges=8).collect()}
     assert sums == {o: 2 * (i + 1) for i, o in enumerate(sorted(sums))}
     assert ranks.numbered(df.limit(0), "g", "o", "n").count() == 0
+
+
+def test_columns(spark):
+    from pyspark.sql import types as T
+
+    from tessera.functions import columns
+
+    df = spark.createDataFrame([(1, float("nan"), "a"), (2, 3.0, None)], "has_x int, num_y double, z string")
+    assert columns.by_name(df, "has_|num_") == ["has_x", "num_y"] and columns.by_type(df, T.StringType) == ["z"]
+    fitted = columns.fit_schema(df, T.StructType([T.StructField("w", T.LongType()), T.StructField("has_x", T.LongType())]), {"w": -1})
+    assert fitted.columns == ["w", "has_x", "num_y", "z"] and fitted.first().w == -1
+    assert columns.nan_to_null(df).filter("num_y IS NULL").count() == 1
+    assert [round(r.s, 6) for r in columns.squashed(df, "has_x", "s").collect()] == [0.0, 1.0]
+    assert columns.as_json(df.filter("has_x = 2"), ["z"]).first().features == '{"has_x":2,"num_y":3.0}'
+    assert columns.same_columns(df, df.select("z", "num_y", "has_x"))
+
+
+def test_meta_weights_prefer_the_better_score(spark):
+    df = spark.range(400).select((F.col("id") % 2).cast("int").alias("label"), ((F.col("id") % 2) * 0.6 + (F.col("id") % 7) / 14.0).alias("good"), ((F.col("id") * 13 % 17) / 17.0).alias("noise"))
+    weights = models.meta_weights(df, ["good", "noise"])
+    assert abs(sum(weights) - 1) < 1e-9 and weights[0] > weights[1]
