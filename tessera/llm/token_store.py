@@ -21,59 +21,97 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import vocabulary
+from tessera.llm.bpe import byte_symbols, vocabulary
 from tessera.llm.common import map_batches, materialise, work_path
 
 MAX_BITS = 18
 STEP = 128
 BLOCK_TOKENS = 1 << 17
-CACHE = 400_000
-#: White space beside a space: such texts are cut more carefully.
-NEAR = re.compile(r" \s|\s ")
+#: Stretches of text whose ids a Python worker remembers, and documents encoded at a time.
+CACHE, DOCS = 300_000, 256
 CUT = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ".,;:!?"
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def tokenizer(path: str) -> tuple:
-    """(tokenizer, cache of stretches) of this Python worker."""
-    if path not in _LOADED:
+class Encoder:
+    """The tokenizers library with a memory for stretches of text.
+
+    The pre-tokenizer never joins what stands before a single space between two visible characters with what follows, so a text's ids
+    are those of its stretches. Plain words (letters, perhaps one mark at the end) are one piece each and go
+    straight to the library's BPE model; all else goes through the whole library.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.no_padding()
-        loaded.no_truncation()
-        _LOADED[path] = (loaded, {})
-    return _LOADED[path]
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.model = self.library.model
+        self.plain = {i: s for i, s in enumerate(byte_symbols())}
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        #: Ids of the stretch after a space, as bytes; None for stretches that white space makes part of others.
+        self.known: dict[str, bytes | None] = {}
+        self.ends = {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in MARKS}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def library_ids(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, stretches: set[str]) -> None:
+        words, keys, rest, known = [], [], [], self.known
+        for s in stretches:
+            stem = s[:-1] if s[-1:] in self.ends else s
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                words.append(stem)
+                keys.append(s)
+            elif not s or s[0].isspace() or s[-1].isspace():
+                known[s] = None
+            else:
+                rest.append(s)
+        # the byte alphabet of all words at once; letters never map to the line break that parts them
+        mapped = ("\n".join(words)).encode().decode("latin-1").translate(self.plain).split(self.plain[10])
+        tokenize, space = self.model.tokenize, self.plain[32]
+        found = [[t.id for t in tokenize(space + w)] for w in mapped] if words else []
+        flat, at = self.pack([i for ids in found for i in ids]), 0
+        for s, word, ids in zip(keys, words, found, strict=True):
+            end = at + len(ids) * self.dtype.itemsize
+            known[s] = flat[at:end] + self.ends[s[-1]] if len(s) > len(word) else flat[at:end]
+            at = end
+        known.update(zip(rest, self.library_ids([f" {s}" for s in rest]), strict=True))
+
+    def careful(self, text: str) -> bytes:
+        """A text with longer runs of white space: cut only where that is safe."""
+        return b"".join(self.library_ids([p if i == 0 else f" {p}" for i, p in enumerate(CUT.split(text))]))
+
+    def encode(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
+        """Ids of each whole text as packed integers."""
+        end, out = b"" if end_id is None else self.pack([end_id]), []
+        for at in range(0, len(texts), DOCS):
+            some = [(t or "").split(" ") for t in texts[at : at + DOCS]]
+            heads = self.library_ids([p[0] for p in some])
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self.learn(set().union(*(p[1:] for p in some)).difference(self.known))
+            for text, parts, head in zip(texts[at : at + DOCS], some, heads, strict=True):
+                found = [self.known[p] for p in parts[1:]]
+                if None in found or parts[0][-1:].isspace():
+                    out.append(self.careful(text) + end)
+                else:
+                    out.append(head + b"".join(found) + end)
+        return out
 
 
-def stretches(text: str) -> list[str]:
-    """The text cut before each space between two visible characters; no piece of the pre-tokenizer spans such a place."""
-    parts = CUT.split(text) if NEAR.search(text) else text.split(" ")
-    return [parts[0], *(f" {p}" for p in parts[1:])] if text else []
-
-
-def encode_texts(texts: list[str | None], path: str, end_id: int | None) -> list[np.ndarray]:
-    """Ids of each whole text; each distinct stretch goes to the tokenizers library once while it is cached."""
-    library, known = tokenizer(path)
-    end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
-    out = []
-    for text in texts:
-        parts = stretches(text or "")
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        fresh = {}
-        for p, e in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            fresh[p] = np.array(e.ids, np.uint32).tobytes()
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            found = [known.get(p) or fresh.get(p) for p in parts]
-            if None in found:
-                found = [np.array(e.ids, np.uint32).tobytes() for e in library.encode_batch_fast(parts, add_special_tokens=False)]
-        else:
-            known.update((p, i) for p, i in fresh.items() if len(p) <= 64)
-            found = [fresh[p] if p in fresh else known[p] for p in parts]
-        out.append(np.frombuffer(b"".join(found) + end, np.uint32))
-    return out
+def encoder(path: str) -> Encoder:
+    """One per Python worker and file."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int | None) -> DataFrame:
@@ -81,19 +119,15 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        wide = id_bytes(path, end_id) == 4
+        own = encoder(path)
         for batch in batches:
-            ids = encode_texts(batch.column("__text").to_pylist(), path, end_id)
-            yield {"doc_id": batch.column("__id"), "n_tokens": [len(i) for i in ids], "ids": [i.astype("<u4" if wide else "<u2").tobytes() for i in ids]}
+            ids = own.encode(batch.column("__text").to_pylist(), end_id)
+            yield {"doc_id": batch.column("__id"), "n_tokens": [len(i) // own.dtype.itemsize for i in ids], "ids": ids}
 
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return map_batches(source, run, f"doc_id {id_type}, n_tokens long, ids binary")
 
 
-def id_bytes(path: str, end_id: int | None) -> int:
-    return 4 if max(tokenizer(path)[0].get_vocab_size(with_added_tokens=True), end_id or 0) > 1 << 16 else 2
-
-
 def count_ids(tokens: DataFrame, width: int) -> dict[int, int]:
     """Occurrences of each id over all rows; one row per id of the vocabulary comes back."""
 
@@ -197,41 +231,35 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id",
     """Tokenises ``docs`` and writes ``{path}/codebook`` and ``{path}/blocks``."""
     spark = docs.sparkSession
     tokens = materialise(tokenise(docs, vocab, id_col, text_col, end_id), "token-ids", compression="zstd")
-    width = id_bytes(vocab, end_id)
+    width = encoder(vocab).dtype.itemsize
     lengths = code_lengths(count_ids(tokens, width))
     spark.createDataFrame([(int(i), int(n)) for i, n in lengths.items()], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(lengths)  # one entry per id of the vocabulary
     id_type = tokens.schema["doc_id"].dataType.simpleString()
 
-    def compress(batches):
-        book = Codebook(shared.value)
-        for batch in batches:
-            parts, counts = batch.column("ids").to_pylist(), np.array(batch.column("n_tokens").to_pylist(), np.int64)
-            data, doc_at, within = book.encode(np.frombuffer(b"".join(parts), f"<u{width}"), counts)
-            first = np.cumsum(counts) - counts
-            marks = [within[f : f + c : STEP].astype("<u4").tobytes() for f, c in zip(first, counts, strict=True)]
-            yield {"doc_id": batch.column("doc_id"), "n": counts, "crc": [zlib.crc32(p) for p in parts], "marks": marks, "data": [data[a:b].tobytes() for a, b in zip(doc_at, doc_at[1:], strict=False)]}
-
-    packed = map_batches(tokens, compress, f"doc_id {id_type}, n long, crc long, marks binary, data binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = packed.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "n")
+    # ids are read back for the range bounds, nothing is encoded twice
+    ordered = tokens.withColumn("crc", F.crc32("ids")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "crc", "n_tokens")
 
     def block(batches):
         from pyspark import TaskContext
 
-        part, seq, docs_, size = TaskContext.get().partitionId(), 0, [], 0
+        book, part, seq, held, size = Codebook(shared.value), TaskContext.get().partitionId(), 0, [], 0
 
         def close():
-            return {"part": [part], "seq": [seq], "n_tokens": [size], "doc_ids": [[d[0] for d in docs_]], "counts": [[d[1] for d in docs_]], "sizes": [[len(d[3]) for d in docs_]], "marks": [b"".join(d[2] for d in docs_)], "data": [b"".join(d[3] for d in docs_)]}
+            counts = np.array([n for _, n, _ in held], np.int64)
+            data, doc_at, within = book.encode(np.frombuffer(b"".join(i for *_, i in held), f"<u{width}"), counts)
+            marks = [within[f : f + c : STEP].astype("<u4").tobytes() for f, c in zip(np.cumsum(counts) - counts, counts, strict=True)]
+            return {"part": [part], "seq": [seq], "n_tokens": [size], "doc_ids": [[d for d, *_ in held]], "counts": [counts], "sizes": [np.diff(doc_at)], "marks": [b"".join(marks)], "data": [data.tobytes()]}
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "marks", "data")), strict=True):
-                docs_.append(row)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
+                held.append(row)
                 size += row[1]
                 if size >= BLOCK_TOKENS:
                     yield close()
-                    seq, docs_, size = seq + 1, [], 0
-        if docs_:
+                    seq, held, size = seq + 1, [], 0
+        if held:
             yield close()
 
     blocks = map_batches(ordered, block, f"part int, seq int, n_tokens long, doc_ids array<{id_type}>, counts array<long>, sizes array<long>, marks binary, data binary")
