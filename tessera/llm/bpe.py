@@ -94,6 +94,7 @@ class Bpe:
         self.table = np.frombuffer(b"".join(strings), np.uint8)
         self.decimal = [b"%d" % i for i in range(size)]
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges can leave a and b side by side: undo the later one of the two until a merge across the border shows or none can."""
@@ -120,17 +121,16 @@ class Bpe:
                         return True
 
     def encode_piece(self, piece: str) -> list[int]:
-        data = piece.encode()
-        word = "".join(map(self.inner.__getitem__, data[:-1])) + self.last[data[-1]]
+        data = piece.encode().decode("latin-1")
+        word = data[:-1].translate(self.inner) + self.last[ord(data[-1])]
         whole = self.id_of.get(word)
         if whole is not None:
             return [whole]
         n = len(word)
         longest, length, prefix = [-1] * (n + 1), self.length, self.prefix
+        # matches come by their end, so the last one that starts at a place is the longest there
         for end, token in self.trie.iter(word):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[token] > length[longest[start]]:
-                longest[start] = token
+            longest[end + 1 - length[token]] = token
         open_at, tokens, at, token = [True] * (n + 1), [], 0, longest[0]
         while token >= 0:
             end = at + length[token]
@@ -152,10 +152,18 @@ class Bpe:
             if k % 2:
                 ids.append(self.special[part])
             else:
-                # letter by letter: the capital sigma has one lower-case form here
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for piece in PIECE.findall(part):
-                    ids += self.encode_piece(piece)
+                if not part.isascii():
+                    # letter by letter: the capital sigma has one lower-case form here
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                for piece in PIECE.findall(part.lower()):
+                    known = self.pieces.get(piece)
+                    if known is None:
+                        if len(self.pieces) >= CACHE:
+                            self.pieces.clear()
+                        known = self.encode_piece(piece)
+                        if len(piece) <= 64:
+                            self.pieces[piece] = known
+                    ids += known
         return ids
 
     def encode(self, text: str) -> np.ndarray:
