@@ -65,19 +65,11 @@ def port(url: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for empty text."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(letters).cast("double")
-    share = lambda c: F.size(F.filter(letters, lambda x: x == c)) / n
-    return F.when(text.isNotNull(), F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))))
-
-
-def fast_entropy(text: Column) -> Column:
-    """``entropy`` by replacing: one pass of the text for each distinct character instead of one lambda call per pair."""
+    """Shannon entropy of the characters in bits; 0 for empty text. One replacement pass over the text for each distinct character."""
     n = F.length(text).cast("double")
     kinds = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(text.isNotNull(), F.aggregate(kinds, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))))
+    counts = F.transform(kinds, lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c))
+    return F.when(text.isNotNull(), F.aggregate(counts, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n)))
 
 
 def suffix(host_: Column) -> Column:
@@ -175,12 +167,12 @@ def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "ip_category": ip_category(h),
         "has_encoded_chars": url.contains("%"),
         "has_non_ascii_chars": url.rlike(r"[^\x00-\x7F]"),
-        "url_entropy": fast_entropy(url),
-        "hostname_entropy": fast_entropy(h),
+        "url_entropy": entropy(url),
+        "hostname_entropy": entropy(h),
         "digit_to_letter_ratio": digits / (count(url, r"\p{L}") + F.lit(1e-6)),
         "domain_quality": F.when(F.col("__domain") == "", "empty").when(F.col("__domain").rlike(r"^\p{N}+$"), "numeric_only").when(F.col("__suffix") == "", "no_tld").otherwise("normal"),
         "tld_length": F.length("__suffix"),
-        "subdomain_entropy": fast_entropy(F.array_join(subs, "")),
+        "subdomain_entropy": entropy(F.array_join(subs, "")),
         "subdomain_length": F.length(F.array_join(subs, "")),
         "has_login_keyword": flag(any_of(lower, LOGIN_KEYWORDS)),
         "has_suspicious_words": flag(any_of(lower, SUSPICIOUS_KEYWORDS[4:])),
