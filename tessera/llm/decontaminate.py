@@ -90,3 +90,35 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _seed_sql(words: str) -> str:
+    """SQL list of the seeds at place ``i`` of a word list, one per mask; null where a mask reaches past the end."""
+    return "[" + ", ".join(f"'{k} ' || " + " || ' ' || ".join(f"{words}[i + {o}]" for o in mask) for k, mask in enumerate(MASKS)) + "]"
+
+
+OP8_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS dw FROM documents
+), t AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS tw FROM benchmark
+), ds AS (
+  SELECT doc_id, i, unnest({_seed_sql("dw")}) AS seed FROM d, LATERAL (SELECT unnest(range(1, len(dw) + 1)) AS i)
+), ts AS (
+  SELECT item_id, i, unnest({_seed_sql("tw")}) AS seed FROM t, LATERAL (SELECT unnest(range(1, len(tw) + 1)) AS i)
+), places AS (
+  SELECT DISTINCT doc_id, item_id, ds.i - ts.i AS shift FROM ds JOIN ts USING (seed)
+), aligned AS (
+  SELECT p.doc_id, p.item_id, shift, len(tw) AS n, least(len(tw), greatest(13, CAST(ceil(len(tw) * 0.5) AS BIGINT))) AS length,
+         list_transform(range(1, len(tw) + 1), lambda j: CASE WHEN j + shift >= 1 AND dw[j + shift] = tw[j] THEN 1 ELSE 0 END) AS equal
+  FROM places p JOIN t ON p.item_id IS NOT DISTINCT FROM t.item_id JOIN d ON p.doc_id IS NOT DISTINCT FROM d.doc_id
+), windows AS (
+  SELECT doc_id, item_id, shift + s AS start_word, length AS overlap_words, CAST(list_sum(list_slice(equal, s + 1, s + length)) AS BIGINT) AS matched_words,
+         row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY list_sum(list_slice(equal, s + 1, s + length)) DESC, s) AS r
+  FROM aligned, LATERAL (SELECT unnest(range(0, n - length + 1)) AS s)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_words::DOUBLE / overlap_words DESC, matched_words DESC, overlap_words DESC, start_word DESC) AS place
+  FROM windows WHERE r = 1 AND matched_words::DOUBLE / overlap_words >= 0.8
+)
+SELECT doc_id, item_id, start_word, overlap_words, matched_words, matched_words::DOUBLE / overlap_words AS similarity FROM best WHERE place = 1
+"""

@@ -22,7 +22,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, map_batches
+from tessera.llm.common import LOWER, UPPER, as_bytes, map_batches
 
 #: Fixed phrases and labels of the base scan.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -145,3 +145,41 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate({text}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def _places_sql(phrase: str) -> str:
+    """Starts (from 0) of a phrase in the word list ``ws``."""
+    same = " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+    return f"list_filter(range(0, len(ws)), lambda i: {same})"
+
+
+def _template_rows() -> str:
+    return ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(TEMPLATES))
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_words_sql("coalesce(text, '')")} AS ws FROM documents
+), base AS (
+  SELECT doc_id, len(ws) AS n_words, list_concat({", ".join(_places_sql(p) for p in PHRASES)}) AS places,
+         list_filter([{", ".join(f"CASE WHEN len({_places_sql(p)}) > 0 THEN '{label}' END" for p, label in PHRASES.items())}], lambda x: x IS NOT NULL) AS labels
+  FROM d
+), templates AS (
+  SELECT label, list_distinct({_words_sql("t")}) AS tokens FROM (VALUES {_template_rows()}) AS v(k, label, t)
+), blocks AS (
+  SELECT doc_id, list_distinct({_words_sql("block")}) AS tokens FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r\\x0b\\x0c]*\\n')) AS block FROM d)
+), shares AS (
+  SELECT doc_id, label, len(list_intersect(b.tokens, t.tokens)) AS common, len(t.tokens) AS size FROM blocks b CROSS JOIN templates t
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(common::DOUBLE / size) AS share FROM shares WHERE common >= ceil(0.8 * size - 1e-9) GROUP BY doc_id
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+       array_to_string(list_sort(list_distinct(base.labels)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base.labels, coalesce(found.labels, [])))), ',') AS labels,
+       CASE WHEN len(base.labels) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM base LEFT JOIN found USING (doc_id)
+"""
