@@ -162,22 +162,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from flush()
 
-    def singles(batches):
-        """A task has all rows of its hashes, at most one or a few per hash and task before."""
-        held = [tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2", "row", "at")) for batch in batches]
-        if not held:
-            return
-        h1, h2, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((h2, h1))
-        h1, h2 = h1[order], h2[order]
-        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        alone = order[~(np.r_[False, same] | np.r_[same, False])]
-        alone = alone[at[alone] >= 0]
-        for s in range(0, len(alone), 1 << 16):
-            yield {"row": row[alone[s : s + (1 << 16)]], "at": at[alone[s : s + (1 << 16)]]}
-
-    grouped = map_batches(source, suspects, "h1 long, h2 long, row long, at int").repartition("h1")
-    mistakes = map_batches(grouped, singles, "row long, at int").groupBy(F.col("row").alias("__match")).agg(F.collect_list("at").alias("__alone"))
+    # shuffled as they are, since a task has made them distinct; the grouping itself may spill
+    grouped = map_batches(source, suspects, "h1 long, h2 long, row long, at int").repartition("h1", "h2").groupBy("h1", "h2")
+    alone = grouped.agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("row"), F.min("at").alias("at")).filter("n = 1 and at >= 0")
+    mistakes = alone.groupBy(F.col("row").alias("__match")).agg(F.collect_list("at").alias("__alone"))
     joined = keyed.join(mistakes, keyed["__row"] == mistakes["__match"], "left")
     others = [c for c in docs.columns if c != text_col]
 
