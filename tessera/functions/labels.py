@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.ranks import numbered
+
 # Fixed values of the two label maps; they disagree on "malicious" on purpose.
 STRICT_LABELS = {"legitimate": 0, "legit": 0, "benign": 0, "0": 0, "phishing": 1, "phish": 1, "malicious": 1, "1": 1}
 LOOSE_LABELS = {"legit": "legitimate", "benign": "legitimate", "0": "legitimate", "1": "phishing"}
@@ -76,12 +78,12 @@ def impute_fitted(df: DataFrame, numeric: list[str], text: list[str]) -> DataFra
 def first_seen_codes(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
     """Codes by first appearance in ``order``, from 0; null gives -1. The codes are made from the distinct values, not from all rows."""
     firsts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.min(order).alias("__first"))
-    codes = firsts.select("__v", (F.row_number().over(Window.orderBy("__first", "__v")) - 1).alias(out))
+    codes = numbered(firsts, None, "__first", "__n", then="__v").select("__v", (F.col("__n") - 1).cast("int").alias(out))
     return df.join(codes, df[column] == codes["__v"], "left").drop("__v").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
 def sorted_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """Codes by sorted value, from 0; null gives -1."""
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("__v")).distinct()
-    codes = values.select("__v", (F.row_number().over(Window.orderBy("__v")) - 1).alias(out))
+    codes = numbered(values, None, "__v", "__n").select("__v", (F.col("__n") - 1).cast("int").alias(out))
     return df.join(codes, df[column] == codes["__v"], "left").drop("__v").withColumn(out, F.coalesce(out, F.lit(-1)))

@@ -73,3 +73,13 @@ def translate_value(name: str, value: Column) -> Column:
     if name.startswith(("has_", "is_")):
         return F.when(value > 0, "present").otherwise("absent")
     return F.format_number(value.cast("double"), 2)
+
+
+def retrain_due(new_rows: Column, hours_since: Column) -> Column:
+    """True after a hundred new rows, a day, or where there was no run before."""
+    return (new_rows >= 100) | hours_since.isNull() | F.coalesce(hours_since >= 24, F.lit(False))
+
+
+def deploy_decision(accuracy: Column, fpr: Column, current_accuracy: Column) -> Column:
+    good = (accuracy >= 0.85) & (fpr <= 0.05) & (current_accuracy.isNull() | F.coalesce(accuracy >= current_accuracy, F.lit(False)))
+    return F.when(good, "deploy").otherwise("rollback")

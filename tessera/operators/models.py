@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,15 +15,18 @@ from tessera.operators import stats
 HEAVY_ROWS = 120_000
 
 
-def zoo(n_rows: int, label: str = "label", features: str = "features") -> dict[str, object]:
-    """Estimators by name. Gradient-boosted and extra trees of other libraries are stood in for by Spark's forests and boosted trees."""
+def zoo(n_rows: int, label: str = "label", features: str = "features", n_features: int | None = None) -> dict[str, object]:
+    """Estimators by name; the network needs ``n_features``. Gradient-boosted and extra trees of other libraries are stood in for by Spark's forests and boosted trees."""
     common = {"labelCol": label, "featuresCol": features, "weightCol": "weight"}
     models = {
         "logreg_elasticnet": C.LogisticRegression(elasticNetParam=0.5, regParam=0.01, **common),
         "logreg_l2": C.LogisticRegression(elasticNetParam=0.0, regParam=0.01, **common),
         "random_forest": C.RandomForestClassifier(numTrees=60, maxDepth=8, seed=42, **common),
         "naive_bayes": C.NaiveBayes(modelType="gaussian", **common),
+        "complement_nb": C.NaiveBayes(modelType="complement", **common),
     }
+    if n_features:
+        models["mlp"] = C.MultilayerPerceptronClassifier(layers=[n_features, 100, 50, 2], maxIter=100, seed=42, labelCol=label, featuresCol=features)
     if n_rows <= HEAVY_ROWS:
         models |= {"gbt": C.GBTClassifier(maxIter=30, seed=42, **common), "linear_svc": C.LinearSVC(regParam=0.01, **common)}
     return models
@@ -49,11 +52,40 @@ def positive(df: DataFrame) -> DataFrame:
     return df.withColumn("p", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
 
 
+def scaler_for(estimator):
+    """Complement counts take no negative values; all else is standardised."""
+    if isinstance(estimator, C.NaiveBayes) and estimator.getModelType() != "gaussian":
+        return MinMaxScaler(inputCol="features", outputCol="scaled")
+    return StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+
+
+def balanced_forest(df: DataFrame, label: str = "label", key: str = "vec_id", members: int = 3) -> list[object]:
+    """Forests on samples with as many rows of one label as of the other, each sample by another hash; average their ``p``."""
+    shares = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    least = min(shares.values(), default=0)
+    models = []
+    for seed in range(members):
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
+        keep = F.lit(False)
+        for value, n in shares.items():
+            keep = keep | ((F.col(label) == value) & (draw < least / n))
+        models.append(C.RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed, labelCol=label, featuresCol="features").fit(df.filter(keep)))
+    return models
+
+
+def calibrated(df: DataFrame, model, label: str = "label") -> DataFrame:
+    """``p`` of a model that gives margins only, by a logistic fit of the label on the margin (sigmoid calibration)."""
+    margins = model.transform(df).withColumn("margin", F.array(vector_to_array("rawPrediction")[1]))
+    margins = margins.withColumn("__m", array_to_vector("margin")).drop("prediction", "rawPrediction")
+    sigmoid = C.LogisticRegression(labelCol=label, featuresCol="__m").fit(margins)
+    return sigmoid.transform(margins).withColumn("p", vector_to_array("probability")[1]).drop("__m", "margin")
+
+
 def cross_validate(df: DataFrame, estimator, folds: int, label: str = "label", fold_col: str = "fold") -> DataFrame:
     """Rows of all folds with the score ``p`` of the model that had not seen them."""
     parts = []
     for k in range(folds):
-        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+        scaler = scaler_for(estimator)
         model = Pipeline(stages=[scaler, estimator.copy({estimator.featuresCol: "scaled"})]).fit(df.filter(F.col(fold_col) != k))
         parts.append(positive(model.transform(df.filter(F.col(fold_col) == k))).select(label, fold_col, "p"))
     out = parts[0]

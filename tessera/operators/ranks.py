@@ -13,25 +13,37 @@ from pyspark.sql import functions as F
 RANGES = 32
 
 
+def orderable(df: DataFrame, order: str) -> Column:
+    """A number that never falls where ``order`` rises: texts give their first seven bytes."""
+    if df.schema[order].dataType.simpleString() != "string":
+        return F.col(order)
+    head = F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("long")
+
+
 def range_of(df: DataFrame, order: str, ranges: int) -> Column:
     """Number of the range that a row's order value falls into; nulls are in the first. The bounds are ``ranges`` values at most."""
     shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
-    bounds = df.select(F.percentile_approx(order, shares, 10_000)).first()[0]
+    value = orderable(df, order)
+    bounds = df.select(F.percentile_approx(value, shares, 10_000)).first()[0]
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(order)))
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < value))
 
 
 def with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
     return df.withColumn("__range", range_of(df, order, ranges))
 
 
-def numbered(df: DataFrame, group: str, order: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """``row_number`` over ``group`` ordered by a numeric column."""
+def numbered(df: DataFrame, group: str | None, order: str, out: str, ranges: int = RANGES, then: str | None = None) -> DataFrame:
+    """``row_number`` over ``group`` (None: all rows) by a numeric, time or text column; ``then`` settles ties."""
     staged = with_range(df, order, ranges)
+    if group is None:
+        group = "__all"
+        staged = staged.withColumn(group, F.lit(0))
     sizes = staged.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
     ahead = sizes.select("__g", "__r", (F.sum("__n").over(Window.partitionBy("__g").orderBy("__r")) - F.col("__n")).alias("__ahead"))
-    ranked = staged.withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__range").orderBy(order)))
+    ranked = staged.withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__range").orderBy(order, *([then] if then else []))))
     joined = ranked.join(ahead, ranked[group].eqNullSafe(ahead["__g"]) & (ranked["__range"] == ahead["__r"]))
     return joined.select(*df.columns, (F.col("__rn") + F.col("__ahead")).alias(out))
 

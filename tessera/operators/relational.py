@@ -94,6 +94,12 @@ def top_per_group(df: DataFrame, group: str, k: int, order: list[Column]) -> Dat
 
 
 def by_position(left: DataFrame, right: DataFrame, order_left: str, order_right: str) -> DataFrame:
-    """Rows paired by their rank; kept for comparison only, since ranks need one global order."""
-    rank = lambda c: F.row_number().over(Window.orderBy(c))
-    return left.withColumn("__pos", rank(order_left)).join(right.withColumn("__pos", rank(order_right)), "__pos").drop("__pos")
+    """Rows paired by their rank in each table; the ranks are made in ranges, not in one task."""
+    return numbered(left, None, order_left, "__pos").join(numbered(right, None, order_right, "__pos"), "__pos").drop("__pos")
+
+
+def class_balance(df: DataFrame, stratum: str, order: str) -> DataFrame:
+    """As many rows of each stratum as the smallest has."""
+    least = df.groupBy(stratum).count().agg(F.min("count").alias("__least"))
+    ranked = numbered(df, stratum, order, "__cap").join(F.broadcast(least), F.col("__cap") <= F.col("__least"))  # one row
+    return ranked.select(*df.columns)

@@ -99,3 +99,38 @@ def url_rules() -> list[tuple[str, str, str, Column]]:
     flags = [(n, "not 0 or 1", "error", ~c(n).isin(0, 1)) for n in ("is_ip_address", "is_shortened", "is_risky_port")]
     ports = [("port", "negative", "warning", c("port") < 0), ("port", "over 65535", "warning", c("port") > 65535)]
     return lengths + counts + entropies + flags + ports
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of several tables, as one job."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def agreement(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row counts of feature families, and whether all are equal."""
+    sizes = table_sizes(tables)
+    spread = sizes.agg((F.min("n") == F.max("n")).alias("agree"))
+    return sizes.crossJoin(F.broadcast(spread))  # one row
+
+
+def growth(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(name, previous, current, added) of row counts per table; a table that is new had none."""
+    joined = current.select("name", F.col("n").alias("current")).join(previous.select("name", F.col("n").alias("previous")), "name", "left")
+    return joined.select("name", F.coalesce("previous", F.lit(0)).cast("long").alias("previous"), "current", (F.col("current") - F.coalesce("previous", F.lit(0))).cast("long").alias("added"))
+
+
+def queue_state(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
+    """Waiting rows, the earliest and the latest, and rows an hour between the two."""
+    hours = (F.max(ts).cast("timestamp").cast("double") - F.min(ts).cast("timestamp").cast("double")) / 3600
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("earliest"), F.max(ts).alias("latest"), F.when(hours > 0, F.count(F.lit(1)) / hours).alias("per_hour"))
+
+
+def speed_up(df: DataFrame, value: str, group: str, base: str) -> DataFrame:
+    """(group, p95, speed_up): how many times the 95th percentile of ``base`` is that of each group."""
+    p95 = df.groupBy(group).agg(F.percentile(value, F.lit(0.95)).alias("p95"))
+    own = p95.filter(F.col(group) == base).select(F.col("p95").alias("__base"))
+    return p95.crossJoin(F.broadcast(own)).select(group, "p95", F.try_divide("__base", "p95").alias("speed_up"))  # one row

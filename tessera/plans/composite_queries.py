@@ -23,7 +23,7 @@ def model_ready_sentinel(spark, sf_dir):
 
 
 def cache_through(spark, sf_dir):
-    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit("cached").alias("origin")).filter("k % 2 = 0")
+    c = t(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.lit("cached").alias("origin"))
     asked = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
     answers, _ = composites.cache_through(asked, c, "k", lambda misses: misses.withColumn("origin", F.lit("looked up")))
     return answers.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +87,7 @@ _LEN = "CASE WHEN length(url) <= 20 THEN 'very_short' WHEN length(url) <= 50 THE
 _FLAGS = "concat_ws(', ', CASE WHEN length(host) > 30 THEN 'long host' END, CASE WHEN len(string_split(host, '-')) > 2 THEN 'several hyphens' END, CASE WHEN url NOT LIKE 'https:%' THEN 'no https' END, CASE WHEN regexp_matches(lower(url), 'bank|login|account|secure|verify|update') THEN 'account wording' END)"
 SQL = {
     "model_ready_sentinel": "SELECT d.doc_id, CAST(CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS label, coalesce(quality, -999) AS quality, coalesce(toxic, -999) AS toxic FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 3 < 2",
-    "cache_through": "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT CASE WHEN k % 2 = 0 AND k IN (SELECT c_custkey FROM customer) THEN 'cached' ELSE 'looked up' END AS origin, count(*) AS n FROM a GROUP BY 1",
+    "cache_through": "WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT CASE WHEN k IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'cached' ELSE 'looked up' END AS origin, count(*) AS n FROM a GROUP BY 1",
     "diversity_report": f"WITH p AS (SELECT regexp_extract(url, '^([a-z-]+)://', 1) AS protocol, regexp_extract(url, '[.]([a-z]{{2,}})(?:/|:|$)', 1) AS tld, {_TYPE} AS attack, {_LEN} AS structural FROM pages) {_DIM}",
     "harvest_links": "SELECT link, count(*) AS n FROM (SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#?]+)', 1)) AS link FROM pages)) GROUP BY link",
     "explanation_text": f"WITH p AS (SELECT page_id, url, regexp_extract(url, '//([^/?#]*)', 1) AS host, (page_id * 7 % 10) / 10 AS p FROM pages), f AS (SELECT *, {_FLAGS} AS flags FROM p) SELECT page_id, 'This address looks ' || CASE WHEN p >= 0.5 THEN 'suspicious' ELSE 'safe' END || ' (' || CAST(CAST(round(p * 100) AS INTEGER) AS VARCHAR) || ' % risk, ' || CASE WHEN abs(p - 0.5::DOUBLE) > 0.3::DOUBLE THEN 'high' WHEN abs(p - 0.5::DOUBLE) > 0.15::DOUBLE THEN 'medium' ELSE 'low' END || ' confidence).' || CASE WHEN flags <> '' THEN ' Warnings: ' || flags || '.' ELSE ' No warning signs in the address.' END AS text FROM f",

@@ -106,3 +106,49 @@ def test_meta_weights_prefer_the_better_score(spark):
     df = spark.range(400).select((F.col("id") % 2).cast("int").alias("label"), ((F.col("id") % 2) * 0.6 + (F.col("id") % 7) / 14.0).alias("good"), ((F.col("id") * 13 % 17) / 17.0).alias("noise"))
     weights = models.meta_weights(df, ["good", "noise"])
     assert abs(sum(weights) - 1) < 1e-9 and weights[0] > weights[1]
+
+
+def test_ranks_of_texts_and_positions(spark):
+    from tessera.operators import ranks, relational
+
+    names = ["", "a", "aa", "ab", "b", "zz", "é", "aaaaaaaaaab", "aaaaaaaaaaa", None]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "v string, i int")
+    got = [r["v"] for r in ranks.numbered(df, None, "v", "n", ranges=4).orderBy("n").collect()]
+    assert got == [None, *sorted(n for n in names if n is not None)]
+    pairs = relational.by_position(df.select("v"), df.select("i"), "v", "i").collect()
+    assert {(r["i"], r["v"]) for r in pairs} == set(enumerate(got))
+    empty = df.filter("i < 0")
+    assert relational.by_position(empty.select("v"), empty.select("i"), "v", "i").count() == 0
+
+
+def test_class_balance_takes_the_smallest(spark):
+    from tessera.operators import relational
+
+    df = spark.createDataFrame([(i, "a" if i < 7 else "b") for i in range(10)], "k int, g string")
+    assert sorted((r["k"], r["g"]) for r in relational.class_balance(df, "g", "k").collect()) == [(0, "a"), (1, "a"), (2, "a"), (7, "b"), (8, "b"), (9, "b")]
+
+
+def test_more_models(spark):
+    from tessera.operators import models
+
+    df = spark.createDataFrame([(i, [float(i % 10), float((i * 7) % 5)], int(i % 10 > 6)) for i in range(80)], "vec_id int, x array<double>, label int")
+    v = models.balanced(models.assemble(df, array_col="x"))
+    zoo = models.zoo(80, n_features=2)
+    forests = models.balanced_forest(v, members=2)
+    assert len(forests) == 2
+    p = models.calibrated(v, zoo["linear_svc"].fit(v))
+    row = models.report(p).first()
+    assert row["auc"] > 0.9
+    for name in ("complement_nb", "mlp"):
+        folded = v.withColumn("fold", v["vec_id"] % 2)
+        assert models.cross_validate(folded, zoo[name], 2).count() == 80
+
+
+def test_decision_rules(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import score
+
+    df = spark.createDataFrame([(10, None, 0.9, 0.01, None), (100, 1.0, 0.9, 0.2, 0.5), (10, 1.0, 0.86, 0.05, 0.9), (10, 24.0, 0.86, 0.05, 0.86)], "n int, h double, acc double, fpr double, cur double")
+    got = df.select(score.retrain_due(F.col("n"), F.col("h")).alias("d"), score.deploy_decision(F.col("acc"), F.col("fpr"), F.col("cur")).alias("x")).collect()
+    assert [tuple(r) for r in got] == [(True, "deploy"), (True, "rollback"), (False, "rollback"), (True, "deploy")]
