@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from tessera.llm import bpe, decontaminate, line_dedup, shingle_join, toxicity
 from tessera.llm.common import work_path
 
 
@@ -30,8 +30,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of smallest id; shingles of five words."""
-    return simhash.keep_one(docs, n=5)
+    """One document of each group stays, that of smallest id: all pairs whose sets of five-word shingles have similarity 0.8."""
+    return shingle_join.keep_one(docs, n=5, threshold=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
