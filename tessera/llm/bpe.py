@@ -7,7 +7,8 @@ stops it from trying a place twice. The result is exactly that of applying the m
 Decoding copies token strings out of one byte table by offsets.
 
 Text is cut at single spaces and each distinct stretch is normalised and encoded once per Python
-worker (a cache of bounded size), which changes nothing in the result: no piece spans white space.
+worker (a cache of bounded size), which changes nothing in the result: no piece spans white space. Stretches beyond ASCII are
+normalised and cut into pieces by the vocabulary file's own normaliser and pre-tokenizer, whose Unicode tables differ from Python's.
 
 Defined cases: a null or empty text has no tokens, an empty id list and an empty decoded text. Special
 tokens' strings in a text become their ids. Rows are encoded one by one: repeated rows and null ids are kept. Very long
@@ -19,23 +20,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches
 
-#: Fixed by the vocabulary's pre-tokenizer; white space is Unicode's.
-SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Fixed by the vocabulary's pre-tokenizer, for ASCII in lower case.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
 #: Symbols that end a word are moved to private code points, one per byte.
 WORD_END = 0xE000
 CACHE = 400_000
+#: A rank after that of all merges.
+NEVER = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -49,20 +50,23 @@ class Bpe:
     """Encoder and decoder of one vocabulary file whose ids follow the order of its merges."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path) as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        library = Tokenizer.from_file(path)
+        self.normalise, self.pieces_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         symbols = byte_symbols()
         self.inner = {b: s for b, s in enumerate(symbols)}
-        self.last = {b: chr(WORD_END + b) for b in range(256)}
-        byte_of = {s: b for b, s in enumerate(symbols)}
+        self.last = {s: chr(WORD_END + b) for b, s in enumerate(symbols)}
 
         def own(token: str) -> str:
             if token.endswith(END) and len(token) > len(END):
                 stem = token[: -len(END)]
-                return stem[:-1] + self.last[byte_of[stem[-1]]]
+                return stem[:-1] + self.last[stem[-1]]
             return token
 
         self.id_of = {own(t): i for t, i in vocab.items() if t not in self.special}
@@ -95,34 +99,48 @@ class Bpe:
         self.decimal = [b"%d" % i for i in range(size)]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
+        self.right_ends: dict[int, list[int]] = {}
+        self.left_ends: dict[int, list[int]] = {}
+
+    def spines(self, a: int, b: int) -> tuple[list[int], list[int]]:
+        """The symbols that stand at the right end of token ``a`` and at the left end of ``b`` one after the other while the merges build them."""
+        right, left = self.right_ends.get(a), self.left_ends.get(b)
+        if right is None:
+            right = [a]
+            while (child := self.split[right[-1]][1]) != right[-1]:
+                right.append(child)
+            right = self.right_ends[a] = right[::-1]
+        if left is None:
+            left = [b]
+            while (child := self.split[left[-1]][0]) != left[-1]:
+                left.append(child)
+            left = self.left_ends[b] = left[::-1]
+        return right, left
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the merges can leave a and b side by side: undo the later one of the two until a merge across the border shows or none can."""
-        limit = 1 << 60
+        """Whether the merges, in their order, leave a and b side by side.
+
+        They don't if two symbols that meet at the border merge before either is used up on its own side. Of
+        merges of one rank the left one comes first, so the right symbol may be due at the same rank.
+        """
+        right, left = self.spines(a, b)
+        i = j = 0
         while True:
-            merged = self.pair.get(a << 32 | b)
-            if merged is not None and merged < limit:
+            used_right = right[i + 1] if i + 1 < len(right) else NEVER
+            used_left = left[j + 1] if j + 1 < len(left) else NEVER
+            merged = self.pair.get(right[i] << 32 | left[j], NEVER)
+            if merged < used_right and merged <= used_left:
                 return False
-            if a > b:
-                limit = a
-                a = self.split[a][1]
-                if a == limit:
-                    limit = b + 1
-                    b = self.split[b][0]
-                    if b + 1 == limit:
-                        return True
+            if used_right == used_left == NEVER:
+                return True
+            if used_right <= used_left:
+                i += 1
             else:
-                limit = b + 1
-                b = self.split[b][0]
-                if b + 1 == limit:
-                    limit = a
-                    a = self.split[a][1]
-                    if a == limit:
-                        return True
+                j += 1
 
     def encode_piece(self, piece: str) -> list[int]:
-        data = piece.encode().decode("latin-1")
-        word = data[:-1].translate(self.inner) + self.last[ord(data[-1])]
+        """Ids of one piece, given as byte symbols."""
+        word = piece[:-1] + self.last[piece[-1]]
         whole = self.id_of.get(word)
         if whole is not None:
             return [whole]
@@ -152,10 +170,11 @@ class Bpe:
             if k % 2:
                 ids.append(self.special[part])
             else:
-                if not part.isascii():
-                    # letter by letter: the capital sigma has one lower-case form here
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for piece in PIECE.findall(part.lower()):
+                if part.isascii():
+                    pieces = [p.translate(self.inner) for p in PIECE.findall(part.lower())]
+                else:
+                    pieces = [p for p, _ in self.pieces_of(self.normalise(part))]
+                for piece in pieces:
                     known = self.pieces.get(piece)
                     if known is None:
                         if len(self.pieces) >= CACHE:
