@@ -1,10 +1,11 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words and word beginnings. Beside the log loss it pays for
-every change of a labelled text's logit when identity terms in its sentences are swapped for others of the
-same group, so a group's mere mention moves the score little. Features are chosen by a
+A logistic model over the presence of words and word beginnings. In every sentence of a labelled text that has identity
+terms, these are swapped for each of the other terms of their group in turn; beside the log loss the model pays for the
+square of every change of the text's logit, so a group's mere mention moves the score little. Features are chosen by a
 chi-square test over the training rows, with shuffled counts; the fit itself is over a bounded
-sample (``max_train_rows``) of labelled rows. Every document is scored over its whole text.
+sample (``max_train_rows``) of labelled ids, one row each. The border between the marks is put where the scores of
+training rows, each from a fit without it, give the best F measure. Every document is scored over its whole text.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept. Labels with a
 null id or null mark teach nothing; of several labels of one id the largest holds. Rows are scored
@@ -16,6 +17,7 @@ empty table gives an empty result. Columns other than id and text are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_batches, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE_END = re.compile(r"[.!?\n]+")
 PREFIXES = (4, 5, 6)
 #: Terms that may stand for one another in a neutral mention.
 IDENTITY_GROUPS = [
@@ -35,7 +38,9 @@ IDENTITY_GROUPS = [
     ["old", "young"], ["deaf", "blind", "disabled"],
     ["frauen", "männer"], ["femmes", "hommes"], ["mujeres", "hombres"],
 ]
-SWAP = {w: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, w in enumerate(g)}
+GROUP = {w: (g, i) for g in IDENTITY_GROUPS for i, w in enumerate(g)}
+#: Fits that leave a part of the training rows out, to find the border.
+FOLDS = 3
 
 
 def features(word: str) -> list[int]:
@@ -47,9 +52,35 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words after identity terms are swapped; None where there are none."""
-    return {SWAP.get(w, w) for w in words} if not words.isdisjoint(SWAP) else None
+def partner(word: str, k: int) -> str:
+    """The ``k``-th other term of an identity term's group, round and round; any other word itself."""
+    if word not in GROUP:
+        return word
+    group, i = GROUP[word]
+    return group[(i + 1 + (k - 1) % (len(group) - 1)) % len(group)]
+
+
+def swaps(text: str | None) -> list[tuple[set[str], set[str]]]:
+    """(words that go, words that come) for the whole text, when the identity terms of one sentence are swapped: all sentences, all partners."""
+    sentences = [set(WORD.findall(s)) for s in SENTENCE_END.split((text or "").lower())]
+    named = [s for s in sentences if not s.isdisjoint(GROUP)]
+    if not named:
+        return []
+    holds, found = Counter(w for s in sentences for w in s), []
+    for sentence in named:
+        terms = sentence & GROUP.keys()
+        for k in range(1, max(len(GROUP[w][0]) for w in terms)):
+            come = {partner(w, k) for w in terms}
+            found.append(({w for w in terms - come if holds[w] == 1}, come - holds.keys()))
+    return found
+
+
+def changed_features(words: set[str], gone: set[str], come: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the text that the swap takes away, and those it adds."""
+    stay = words - gone
+    shared = {w for w in stay if w[: PREFIXES[0]] in {g[: PREFIXES[0]] for g in gone | come}}
+    rest = feature_ids(shared)
+    return np.setdiff1d(feature_ids(gone), np.union1d(rest, feature_ids(come))), np.setdiff1d(feature_ids(come), np.union1d(rest, feature_ids(gone)))
 
 
 def feature_ids(words: set[str]) -> np.ndarray:
@@ -57,14 +88,15 @@ def feature_ids(words: set[str]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train_rows: int, fold_off: int | None) -> DataFrame:
-    """(text, y) of about ``max_train_rows`` labelled rows at most, by a hash of the id."""
+    """(text, y) of about ``max_train_rows`` labelled ids at most, by a hash of the id; of several texts of an id, the first in order."""
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().groupBy("__id").agg(F.max("__y").alias("__y"))
     if fold_off is not None:
         own = own.filter(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != fold_off)
     n = own.count()
     own = own.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(min(1.0, max_train_rows / max(n, 1)) * (1 << 20)))
     # at most about max_train_rows small rows
-    return materialise(docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), F.col("__doc") == F.col("__id")).select("text", F.col("__y").alias("y")), "toxicity-sample")
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), F.col("__doc") == F.col("__id"))
+    return materialise(texts.groupBy("__id").agg(F.min("text").alias("text"), F.max("__y").alias("y")).select("text", "y"), "toxicity-sample")
 
 
 def select_features(sample: DataFrame, n_features: int, least: int) -> np.ndarray:
@@ -88,25 +120,29 @@ def select_features(sample: DataFrame, n_features: int, least: int) -> np.ndarra
     return np.array(sorted(r["f"] for r in top), np.int64)
 
 
-def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y: np.ndarray, n_features: int, l2: float, counterfactual: float, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept; ``twins`` are the rows after the swap."""
-    at = lambda lists: (np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64) if len(lists) else np.zeros(0, np.int64))
-    r, c = at(rows)
-    pairs = [i for i, t in enumerate(twins) if t is not None]
-    pr, pc = at([rows[i] for i in pairs])
-    tr, tc = at([twins[i] for i in pairs])
+def places(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each entry of a list of rows."""
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+
+
+def fit(rows: list[np.ndarray], swapped: list[tuple[int, np.ndarray, np.ndarray]], y: np.ndarray, n_features: int, l2: float, counterfactual: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and intercept. ``swapped``: row, features that go and features that come; a row's swaps share its weight."""
+    r, c = places(rows)
+    gr, gc = places([g for _, g, _ in swapped])
+    nr, nc = places([n for *_, n in swapped])
+    of = np.array([i for i, *_ in swapped], np.int64)
+    share = 2 * counterfactual / (len(y) * np.bincount(of, minlength=len(y))[of]) if len(swapped) else np.zeros(0)
     w, b = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     # the rarer mark weighs more, by the root of the ratio of the two
-    weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / y.sum())), 1.0)
+    weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / max(y.sum(), 1))), 1.0)
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
         z = np.bincount(r, w[c], len(rows)) + b
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
         g = np.bincount(c, d[r], n_features) + l2 * w
-        if pairs:
-            gap = np.bincount(pr, w[pc], len(pairs)) - np.bincount(tr, w[tc], len(pairs))
-            gap *= 2 * counterfactual / len(y)
-            g += np.bincount(pc, gap[pr], n_features) - np.bincount(tc, gap[tr], n_features)
+        if len(swapped):
+            gap = (np.bincount(nr, w[nc], len(swapped)) - np.bincount(gr, w[gc], len(swapped))) * share
+            g += np.bincount(nc, gap[nr], n_features) - np.bincount(gc, gap[gr], n_features)
         g = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -114,27 +150,56 @@ def fit(rows: list[np.ndarray], twins: list[np.ndarray | None], y: np.ndarray, n
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_rows: int = 20_000, n_features: int = 4096, least: int = 4, l2: float = 1e-5, counterfactual: float = 1.0, fold_off: int | None = 0) -> tuple[dict[int, float], float]:
+def border(z: np.ndarray, y: np.ndarray, recall_weight: float) -> float:
+    """The logit from which on rows count as toxic, for the best F measure; half-way to the next row below."""
+    order = np.argsort(-z, kind="stable")
+    hits = np.cumsum(y[order])
+    square = recall_weight**2
+    f = (1 + square) * hits / (np.arange(1, len(z) + 1) + square * y.sum())
+    best = int(f.argmax())
+    return float((z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_rows: int = 20_000, n_features: int = 4096, least: int = 4, l2: float = 1e-3, counterfactual: float = 1.0, recall_weight: float = 1.5, fold_off: int | None = 0) -> tuple[dict[int, float], float]:
     """Weights by feature hash, and the intercept. ``fold_off``: rows with this crc32 remainder of 5 are left out."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, max_train_rows, fold_off)
     chosen = select_features(sample, n_features, least)
 
     def project(batches):
         for batch in batches:
-            own, twin = [], []
+            own, gone, come = [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                other = swapped(words)
-                find = lambda s: np.flatnonzero(np.isin(chosen, feature_ids(s))).tolist()
-                own.append(find(words))
-                twin.append(None if other is None else find(other))
-            yield {"y": batch.column("y"), "own": own, "twin": twin}
-
-    got = map_batches(sample.select("text", "y"), project, "y int, own array<int>, twin array<int>").collect() if len(chosen) else []  # max_train_rows at most
+                find = lambda ids: np.flatnonzero(np.isin(chosen, ids)).tolist()
+                changes = [changed_features(words, *s) for s in swaps(text)]
+                own.append(find(feature_ids(words)))
+                gone.append([find(g) for g, _ in changes])
+                come.append([find(n) for _, n in changes])
+            yield {"y": batch.column("y"), "own": own, "gone": gone, "come": come}
+
+    schema = "y int, own array<int>, gone array<array<int>>, come array<array<int>>"
+    got = map_batches(sample.select("text", "y"), project, schema).collect() if len(chosen) else []  # max_train_rows at most
+    got.sort(key=lambda r: (r["own"], r["y"]))
     y = np.array([float(r["y"] > 0) for r in got])
     if not len(y) or y.min() == y.max():
         return {}, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)))
-    w, b = fit([np.array(r["own"], np.int64) for r in got], [None if r["twin"] is None else np.array(r["twin"], np.int64) for r in got], y, len(chosen), l2, counterfactual)
+    rows = [np.array(r["own"], np.int64) for r in got]
+    swapped = [(i, np.array(g, np.int64), np.array(n, np.int64)) for i, r in enumerate(got) for g, n in zip(r["gone"], r["come"], strict=True) if g or n]
+    w, b = fit(rows, swapped, y, len(chosen), l2, counterfactual)
+    if min(y.sum(), len(y) - y.sum()) >= 2 * FOLDS:
+        # both marks are dealt evenly to the folds
+        fold = np.empty(len(y), np.int64)
+        for mark in (0, 1):
+            at = np.flatnonzero(y == mark)
+            fold[at] = np.arange(len(at)) % FOLDS
+        z = np.empty(len(y))
+        for k in range(FOLDS):
+            kept = np.flatnonzero(fold != k)
+            place = {int(i): at for at, i in enumerate(kept)}
+            part = fit([rows[i] for i in kept], [(place[i], g, n) for i, g, n in swapped if i in place], y[kept], len(chosen), l2, counterfactual)
+            for i in np.flatnonzero(fold == k):
+                z[i] = part[0][rows[i]].sum() + part[1]
+        b -= border(z, y, recall_weight)
     return dict(zip(chosen.tolist(), w.tolist(), strict=True)), b
 
 
