@@ -4,11 +4,11 @@ Ids are counted over the whole corpus, the code lengths (at most ``MAX_BITS``) c
 package-merge, and the code book is stored as lengths only (canonical codes follow from them). A
 dataset is a Parquet table of blocks in ascending document order, ``{path}/blocks``, and ``{path}/codebook``. A block holds
 whole documents, each starting at a byte border, with the bit offset of every ``STEP``-th token of a
-document as checkpoints, so a reader may begin at any checkpoint of any block. Decoding looks up ``MAX_BITS``
+document as checkpoints, so a reader may begin at any checkpoint of any block (``read_range``). Decoding looks up ``MAX_BITS``
 bits at a time in a table, for all checkpoints of a block at once.
 
 Defined cases: a null or empty text has the end id only. Null document ids come first; rows with equal
-ids are ordered by their tokens' checksum and length. Very long texts are one document of one block. An empty table
+ids are ordered by their tokens' checksum and length, and are dealt to several tasks if they are many. Very long texts are one document of one block. An empty table
 gives empty files. Columns other than id and text are ignored.
 """
 
@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,16 @@ from tessera.llm.common import map_batches, materialise, work_path
 MAX_BITS = 18
 STEP = 128
 BLOCK_TOKENS = 1 << 17
-#: Stretches of text whose ids a Python worker remembers, and documents encoded at a time.
-CACHE, DOCS = 300_000, 256
+#: Stretches of text whose ids a Python worker remembers, their characters, and the longest one that is kept for later batches.
+CACHE, CACHE_CHARS, LONGEST = 800_000, 12_000_000, 64
+#: Documents encoded at a time.
+DOCS = 256
+#: Bytes of ids that a task of the range partitioning gets.
+PART_BYTES = 256 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARKS = ".,;:!?"
+#: A stretch that is one word (Latin letters), perhaps after a line break and before a mark; else anything.
+STRETCH = re.compile(r"(?:(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)|([^ ]*))(?: |\Z)")
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -38,9 +46,9 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """The tokenizers library with a memory for stretches of text.
 
-    The pre-tokenizer never joins what stands before a single space between two visible characters with what follows, so a text's ids
-    are those of its stretches. Plain words (letters, perhaps one mark at the end) are one piece each and go
-    straight to the library's BPE model; all else goes through the whole library.
+    The pre-tokenizer never joins what stands before a single space or line break between two visible characters with what
+    follows, and a single line break is a piece of its own, so a text's ids are those of its stretches. Plain words (letters, perhaps one mark at
+    the end) are one piece each and go straight to the library's BPE model; all else goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -53,9 +61,13 @@ class Encoder:
         self.plain = {i: s for i, s in enumerate(byte_symbols())}
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        #: Ids of the stretch after a space, as bytes; None for stretches that white space makes part of others.
-        self.known: dict[str, bytes | None] = {}
-        self.ends = {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in MARKS}
+        self.packed = [self.pack([i]) for i in range(self.size)]
+        self.ends = {"": b""} | {m: self.pack(self.library.encode(m, add_special_tokens=False).ids) for m in MARKS}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.line = self.pack(self.library.encode("\n", add_special_tokens=False).ids)
+        #: Ids of a stretch, with the space or line break before it, as bytes; None for stretches that white space makes part of others.
+        self.known: dict[str, bytes | None] = {"\n": self.line}
+        self.chars = 0
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -64,26 +76,26 @@ class Encoder:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, stretches: set[str]) -> None:
-        words, keys, rest, known = [], [], [], self.known
-        for s in stretches:
-            stem = s[:-1] if s[-1:] in self.ends else s
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                words.append(stem)
-                keys.append(s)
-            elif not s or s[0].isspace() or s[-1].isspace():
+        rest, known = [], self.known
+        tokenize, packed, ends, join = self.model.tokenize, self.packed, self.ends, b"".join
+        before, lead = {"": self.plain[32], "\n": ""}, {"": b"", "\n": self.line}
+        for s, (line, word, mark, _) in zip(stretches, STRETCH.findall(" ".join(stretches)), strict=False):
+            if word:
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(self.plain)
+                known[s] = lead[line] + join([packed[t.id] for t in tokenize(before[line] + word)]) + ends[mark]
+            elif not (bare := s.removeprefix("\n")) or bare[0].isspace() or bare[-1].isspace():
                 known[s] = None
             else:
                 rest.append(s)
-        # the byte alphabet of all words at once; letters never map to the line break that parts them
-        mapped = ("\n".join(words)).encode().decode("latin-1").translate(self.plain).split(self.plain[10])
-        tokenize, space = self.model.tokenize, self.plain[32]
-        found = [[t.id for t in tokenize(space + w)] for w in mapped] if words else []
-        flat, at = self.pack([i for ids in found for i in ids]), 0
-        for s, word, ids in zip(keys, words, found, strict=True):
-            end = at + len(ids) * self.dtype.itemsize
-            known[s] = flat[at:end] + self.ends[s[-1]] if len(s) > len(word) else flat[at:end]
-            at = end
-        known.update(zip(rest, self.library_ids([f" {s}" for s in rest]), strict=True))
+        known.update(zip(rest, self.library_ids([s if s[0] == "\n" else f" {s}" for s in rest]), strict=True))
+        self.chars += sum(map(len, stretches))
+
+    def forget(self) -> None:
+        """Keeps the half that was met first, which holds the frequent words."""
+        kept = ((s, ids) for s, ids in islice(self.known.items(), min(CACHE, len(self.known)) // 2) if len(s) <= LONGEST)
+        self.known = dict(kept)
+        self.chars = sum(map(len, self.known))
 
     def careful(self, text: str) -> bytes:
         """A text with longer runs of white space: cut only where that is safe."""
@@ -91,19 +103,23 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
         """Ids of each whole text as packed integers."""
-        end, out = b"" if end_id is None else self.pack([end_id]), []
+        end, out, head = b"" if end_id is None else self.pack([end_id]), [], len(self.line)
+        apart = ["\n\n\n", "\n\n ", *self.special]
         for at in range(0, len(texts), DOCS):
-            some = [(t or "").split(" ") for t in texts[at : at + DOCS]]
-            heads = self.library_ids([p[0] for p in some])
-            if len(self.known) > CACHE:
-                self.known.clear()
-            self.learn(set().union(*(p[1:] for p in some)).difference(self.known))
-            for text, parts, head in zip(texts[at : at + DOCS], some, heads, strict=True):
-                found = [self.known[p] for p in parts[1:]]
-                if None in found or parts[0][-1:].isspace():
+            batch = [t or "" for t in texts[at : at + DOCS]]
+            # a line break before the text makes its first stretch like the others; its ids are cut off again
+            some = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in batch]
+            if len(self.known) > CACHE or self.chars > CACHE_CHARS:
+                self.forget()
+            self.learn(set().union(*some).difference(self.known))
+            ids_of = self.known.__getitem__
+            for text, parts in zip(batch, some, strict=True):
+                found = list(map(ids_of, parts))
+                # of two line breaks before a visible character each is a piece of its own, others are not
+                if None in found or not text or text[0].isspace() or text.endswith("\n\n") or any(s in text for s in apart):
                     out.append(self.careful(text) + end)
                 else:
-                    out.append(head + b"".join(found) + end)
+                    out.append(b"".join(found)[head:] + end)
         return out
 
 
@@ -115,35 +131,40 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int | None) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian integers of two bytes where the vocabulary allows, else four."""
+    """(doc_id, n_tokens, crc, salt, ids, counts): ids as little-endian integers of two bytes where the vocabulary allows, else four.
+
+    ``salt`` tells rows apart that are equal in all else. The last row of each task has its ``counts`` of ids instead of a document.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        own = encoder(path)
+        from pyspark import TaskContext
+
+        own, row = encoder(path), TaskContext.get().partitionId() << 33
+        width, total = own.dtype.itemsize, np.zeros(own.size, np.int64)
         for batch in batches:
             ids = own.encode(batch.column("__text").to_pylist(), end_id)
-            yield {"doc_id": batch.column("__id"), "n_tokens": [len(i) // own.dtype.itemsize for i in ids], "ids": ids}
+            total += np.bincount(np.frombuffer(b"".join(ids), own.dtype), minlength=own.size)
+            yield {"doc_id": batch.column("__id"), "n_tokens": [len(i) // width for i in ids], "crc": list(map(zlib.crc32, ids)), "salt": range(row, row + len(ids)), "ids": ids, "counts": [None] * len(ids)}
+            row += len(ids)
+        yield {"doc_id": [None], "n_tokens": [None], "crc": [None], "salt": [None], "ids": [None], "counts": [total.tobytes()]}
 
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return map_batches(source, run, f"doc_id {id_type}, n_tokens long, ids binary")
+    return map_batches(source, run, f"doc_id {id_type}, n_tokens long, crc long, salt long, ids binary, counts binary")
 
 
-def count_ids(tokens: DataFrame, width: int) -> dict[int, int]:
-    """Occurrences of each id over all rows; one row per id of the vocabulary comes back."""
+def count_ids(tokens: DataFrame, size: int) -> dict[int, int]:
+    """Occurrences of each id over all rows, added up from the tasks' counts; one row per id of the vocabulary comes back."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}"))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
+            for counts in batch.column("counts").to_pylist():
+                total += np.frombuffer(counts, np.int64)
         at = np.flatnonzero(total)
         yield {"id": at, "n": total[at]}
 
-    counted = map_batches(tokens.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = map_batches(tokens.filter("counts IS NOT NULL").select("counts"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counted.collect()}
 
 
@@ -227,19 +248,26 @@ class Codebook:
         return out
 
 
+def binary_values(column: pa.BinaryArray, dtype: np.dtype) -> np.ndarray:
+    """The bytes of all rows one after the other, without a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(dtype) if len(column) else np.zeros(0, dtype)
+
+
 def write_tokens(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2) -> None:
     """Tokenises ``docs`` and writes ``{path}/codebook`` and ``{path}/blocks``."""
     spark = docs.sparkSession
-    tokens = materialise(tokenise(docs, vocab, id_col, text_col, end_id), "token-ids", compression="zstd")
-    width = encoder(vocab).dtype.itemsize
-    lengths = code_lengths(count_ids(tokens, width))
+    tokens, dtype = materialise(tokenise(docs, vocab, id_col, text_col, end_id), "token-ids", compression="zstd"), encoder(vocab).dtype
+    counts = count_ids(tokens, encoder(vocab).size)
+    lengths = code_lengths(counts)
     spark.createDataFrame([(int(i), int(n)) for i, n in lengths.items()], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(lengths)  # one entry per id of the vocabulary
     id_type = tokens.schema["doc_id"].dataType.simpleString()
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # ids are read back for the range bounds, nothing is encoded twice
-    ordered = tokens.withColumn("crc", F.crc32("ids")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "crc", "n_tokens")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) * dtype.itemsize // PART_BYTES)
+    # ids are read back for the range bounds, nothing is encoded twice; equal ids are ranged by what they are ordered by
+    order = ["doc_id", "crc", "n_tokens", "salt"]
+    ordered = tokens.filter("counts IS NULL").drop("counts").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def block(batches):
         from pyspark import TaskContext
@@ -247,22 +275,29 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, id_col: str = "doc_id",
         book, part, seq, held, size = Codebook(shared.value), TaskContext.get().partitionId(), 0, [], 0
 
         def close():
-            counts = np.array([n for _, n, _ in held], np.int64)
-            data, doc_at, within = book.encode(np.frombuffer(b"".join(i for *_, i in held), f"<u{width}"), counts)
-            marks = [within[f : f + c : STEP].astype("<u4").tobytes() for f, c in zip(np.cumsum(counts) - counts, counts, strict=True)]
-            return {"part": [part], "seq": [seq], "n_tokens": [size], "doc_ids": [[d for d, *_ in held]], "counts": [counts], "sizes": [np.diff(doc_at)], "marks": [b"".join(marks)], "data": [data.tobytes()]}
+            doc_ids, counts, ids = pa.concat_arrays([d for d, *_ in held]), np.concatenate([n for _, n, _ in held]), np.concatenate([i for *_, i in held])
+            data, doc_at, within = book.encode(ids, counts)
+            first = np.cumsum(counts) - counts
+            runs = (counts + STEP - 1) // STEP
+            marks = np.repeat(first - (np.cumsum(runs) - runs) * STEP, runs) + np.arange(runs.sum()) * STEP
+            return {"part": [part], "seq": [seq], "n_tokens": [size], "doc_ids": pa.ListArray.from_arrays([0, len(doc_ids)], doc_ids), "counts": [counts], "sizes": [np.diff(doc_at)], "marks": [within[marks].astype("<u4").tobytes()], "data": [data.tobytes()]}
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
-                held.append(row)
-                size += row[1]
+            counts, ids = batch.column("n_tokens").to_numpy(zero_copy_only=False), binary_values(batch.column("ids"), dtype)
+            ends, at = np.cumsum(counts), 0
+            while at < len(counts):
+                done = int(ends[at - 1]) if at else 0
+                # the document that fills the block is its last
+                stop = min(len(counts), int(np.searchsorted(ends, done + BLOCK_TOKENS - size)) + 1)
+                held.append((batch.column("doc_id").slice(at, stop - at), counts[at:stop], ids[done : ends[stop - 1]]))
+                size, at = size + int(ends[stop - 1]) - done, stop
                 if size >= BLOCK_TOKENS:
                     yield close()
                     seq, held, size = seq + 1, [], 0
         if held:
             yield close()
 
-    blocks = map_batches(ordered, block, f"part int, seq int, n_tokens long, doc_ids array<{id_type}>, counts array<long>, sizes array<long>, marks binary, data binary")
+    blocks = map_batches(ordered.select("doc_id", "n_tokens", "ids"), block, f"part int, seq int, n_tokens long, doc_ids array<{id_type}>, counts array<long>, sizes array<long>, marks binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -275,31 +310,66 @@ def block_starts(blocks: DataFrame) -> DataFrame:
     return sizes.join(ahead, "part").select("part", "seq", (F.col("ahead") + inside).alias("start"))
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) decoded from the files; ``start`` counts the ids of all documents before."""
+def stored(spark: SparkSession, path: str):
+    """Blocks with their starts, the broadcast code lengths, and the type of document ids."""
     blocks = spark.read.parquet(f"{path}/blocks")
     lengths = {r["id"]: r["bits"] for r in spark.read.parquet(f"{path}/codebook").collect()}  # one row per id of the vocabulary
-    shared = spark.sparkContext.broadcast(lengths)
-    id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    return blocks.join(block_starts(blocks), ["part", "seq"]), spark.sparkContext.broadcast(lengths), blocks.schema["doc_ids"].dataType.elementType.simpleString()
+
+
+def rows_of(batches):
+    """(start, document ids, tokens of each, tokens at each checkpoint, bit of each checkpoint, data) per block."""
+    for batch in batches:
+        lists = {c: batch.column(c) for c in ("doc_ids", "counts", "sizes")}
+        for i, (start, marks, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "marks", "data")), strict=True)):
+            counts, sizes = (lists[c][i].values.to_numpy(zero_copy_only=False) for c in ("counts", "sizes"))
+            runs = (counts + STEP - 1) // STEP
+            bit_at = np.frombuffer(marks, "<u4").astype(np.int64) + np.repeat((np.cumsum(sizes) - sizes) * 8, runs)
+            length = np.full(len(bit_at), STEP, np.int64)
+            full = runs > 0
+            length[np.cumsum(runs)[full] - 1] = (counts - (runs - 1) * STEP)[full]
+            yield start, lists["doc_ids"][i].values, counts, length, bit_at, data
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) decoded from the files; ``start`` counts the ids of all documents before."""
+    blocks, shared, id_type = stored(spark, path)
 
     def run(batches):
         book = Codebook(shared.value)
-        for batch in batches:
-            for start, ids, counts, sizes, marks, data in zip(*(batch.column(c).to_pylist() for c in ("start", "doc_ids", "counts", "sizes", "marks", "data")), strict=True):
-                counts, sizes = np.array(counts, np.int64), np.array(sizes, np.int64)
-                runs = (counts + STEP - 1) // STEP
-                bit_at = np.frombuffer(marks, "<u4").astype(np.int64) + np.repeat((np.cumsum(sizes) - sizes) * 8, runs)
-                length = np.full(len(bit_at), STEP, np.int64)
-                full = runs > 0
-                length[np.cumsum(runs)[full] - 1] = (counts - (runs - 1) * STEP)[full]
-                found = book.decode(data, bit_at, length).astype("<u4")
-                ends = np.cumsum(counts)
-                pieces = [found[e - c : e] for e, c in zip(ends, counts, strict=True)]
-                out = {"doc_id": ids, "start": start + ends - counts, "n_tokens": counts, "ids_crc32": [zlib.crc32(p.tobytes()) for p in pieces]}
-                yield out | ({"ids": pieces} if with_ids else {})
+        for start, doc_ids, counts, length, bit_at, data in rows_of(batches):
+            found = book.decode(data, bit_at, length).astype("<u4", copy=False)
+            ends = np.cumsum(counts)
+            pieces = [found[e - c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+            out = {"doc_id": doc_ids, "start": start + ends - counts, "n_tokens": counts, "ids_crc32": list(map(zlib.crc32, pieces))}
+            yield out | ({"ids": pieces} if with_ids else {})
 
     schema = f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return map_batches(blocks.join(block_starts(blocks), ["part", "seq"]), run, schema)
+    return map_batches(blocks, run, schema)
+
+
+def read_range(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
+    """(doc_id, start, ids) of the tokens ``start`` to ``start + length`` of the whole corpus, a row per document that has some.
+
+    Only blocks that hold some are read, and only from the checkpoint at or before the first token to the last one wanted.
+    """
+    blocks, shared, id_type = stored(spark, path)
+    wanted = blocks.filter((F.col("start") < start + length) & (F.col("start") + F.col("n_tokens") > start))
+
+    def run(batches):
+        book = Codebook(shared.value)
+        for at, doc_ids, counts, n, bit_at, data in rows_of(batches):
+            run_at = at + np.cumsum(n) - n
+            doc_at = at + np.cumsum(counts) - counts
+            some = np.flatnonzero((run_at < start + length) & (run_at + n > start))
+            found = book.decode(data, bit_at[some], n[some])
+            first = int(run_at[some[0]])
+            # runs that follow one another are one stretch of tokens, cut at documents and at the ends of the range
+            docs = np.flatnonzero((doc_at < start + length) & (doc_at + counts > start))
+            low, high = np.maximum(doc_at[docs], start), np.minimum(doc_at[docs] + counts[docs], start + length)
+            yield {"doc_id": doc_ids.take(pa.array(docs)), "start": low, "ids": [found[a - first : b - first].astype(np.int64) for a, b in zip(low.tolist(), high.tolist(), strict=True)]}
+
+    return map_batches(wanted, run, f"doc_id {id_type}, start long, ids array<long>")
 
 
 def op3_token_store(spark, sf_dir: str) -> DataFrame:
