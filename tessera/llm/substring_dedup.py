@@ -2,13 +2,13 @@
 
 A window is ``size`` consecutive words of one document. Each window is represented in the sketch by its anchor, the
 least hash among its runs of ``GRAM`` words: equal windows have equal anchors at different places, so the number of places of an
-anchor is never below the number of occurrences of a window. Pass 1 counts anchor places in one sketch per
-task, with counters that stop at two (more is never asked), and merges the sketches. Pass 2 shuffles only windows whose
-anchor is estimated repeated, as 128-bit hashes, each distinct one once per task, and groups them exactly; the groups of one are
-the estimate's mistakes and travel back to their documents. What is estimated repeated and not
-a mistake is repeated, so none is lost and none is added.
+anchor is never below the number of occurrences of a window. Pass 1 counts anchor places in one count-min sketch per
+task and merges the sketches by addition; a window's estimate is that of its anchor, which is never below its true count. Pass 2 shuffles
+only windows estimated repeated, as 128-bit hashes, each distinct one once per task, and groups them exactly; the groups of one are
+the estimate's mistakes and travel back to their documents, by the row's 64-bit key and 64 bits of the window itself, so that
+rows with one key cannot spoil each other's windows. What is estimated repeated and not a mistake is repeated, so none is lost and none is added.
 
-The sketch's size follows the corpus up to ``max_filter_bits``; beyond that more windows are shuffled, and the
+The sketch's size follows the corpus up to ``max_cells`` counters a row; beyond that more windows are shuffled, and the
 result is the same.
 
 Defined cases: a null or empty text has no words. Rows are judged as documents of their own, so
@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import as_bytes, map_batches, power_of_two
-from tessera.llm.repeat_filter import build, gather, suspected
+from tessera.llm.count_min import build, gather_repeated
+from tessera.llm.repeat_filter import suspected
 
 ROWS = 2
 SIZE, GRAM = 35, 20
@@ -63,6 +64,7 @@ class Chunk:
 
     def __init__(self, first: int, lists: list[list[bytes]], size: int, gram: int):
         self.first, self.lists, self.size, self.gram = first, lists, size, gram
+        self.hashes: np.ndarray | None = None
         lengths = np.array([len(x) for x in lists], np.int64)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
@@ -97,11 +99,17 @@ class Chunk:
         """Mask of the windows whose anchor is estimated repeated."""
         return suspected(twice, self.least[self.starts]) if len(self.starts) else np.zeros(0, bool)
 
+    def window_hashes(self) -> np.ndarray:
+        """First column of ``exact`` for a window at each place."""
+        if self.hashes is None:
+            self.hashes = rolling(self.words, self.size, BASES[0])
+        return self.hashes
+
     def exact(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit hashes of windows, as two columns."""
         mixed = (self.words ^ (self.words >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         at = self.starts[some]
-        return rolling(self.words, self.size, BASES[0])[at], rolling(mixed, self.size, BASES[1])[at]
+        return self.window_hashes()[at], rolling(mixed, self.size, BASES[1])[at]
 
 
 def chunks(texts: list[bytes], size: int, gram: int):
@@ -117,22 +125,26 @@ def chunks(texts: list[bytes], size: int, gram: int):
         yield Chunk(first, lists, size, gram)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, max_filter_bits: int = 1 << 30) -> DataFrame:
+def row_key(*columns: Column) -> Column:
+    return F.xxhash64(*columns)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, max_cells: int = 1 << 27) -> DataFrame:
     """``docs`` with ``text_col`` as the kept words joined by one space, and ``n_words`` and ``n_removed`` added (or replaced)."""
     spark = docs.sparkSession
     gram = min(gram, size)
     docs = docs.drop("n_words", "n_removed")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col).cast("string")))
+    keyed = docs.withColumn("__row", row_key(F.col(id_col), F.col(text_col).cast("string")))
     source = keyed.select("__row", as_bytes(F.col(text_col)).alias("__text"))
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     anchors = n_bytes / 6 * 2 / (size - gram + 2)
-    bits = power_of_two(4 * anchors, 1 << 16, max_filter_bits)
+    cells = power_of_two(3 * anchors, 1 << 16, max_cells)
 
     def anchor_hashes(batch):
         found = [c.anchor_places() for c in chunks(batch.column("__text").to_pylist(), size, gram)]
         return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    twice = gather(spark, build(anchor_hashes, source.select("__text"), bits, ROWS), bits, ROWS)
+    twice = gather_repeated(spark, build(anchor_hashes, source.select("__text"), cells, ROWS), cells, ROWS)
 
     def suspects(batches):
         held, n = [], 0
@@ -165,13 +177,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # shuffled as they are, since a task has made them distinct; the grouping itself may spill
     grouped = map_batches(source, suspects, "h1 long, h2 long, row long, at int").repartition("h1", "h2").groupBy("h1", "h2")
     alone = grouped.agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("row"), F.min("at").alias("at")).filter("n = 1 and at >= 0")
-    mistakes = alone.groupBy(F.col("row").alias("__match")).agg(F.collect_list("at").alias("__alone"))
+    mistakes = alone.groupBy(F.col("row").alias("__match")).agg(F.collect_list("at").alias("__alone"), F.collect_list("h1").alias("__windows"))
     joined = keyed.join(mistakes, keyed["__row"] == mistakes["__match"], "left")
     others = [c for c in docs.columns if c != text_col]
 
     def rewrite(batches):
         for batch in batches:
-            texts, alone = batch.column("__text").to_pylist(), batch.column("__alone")
+            texts, alone, windows = batch.column("__text").to_pylist(), batch.column("__alone"), batch.column("__windows")
             n_words, n_removed, kept = [], [], []
             for c in chunks(texts, size, gram):
                 repeated = c.suspects(twice.value)
@@ -180,7 +192,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 is_repeated[c.starts[repeated]] = True
                 for i, begin in enumerate(c.begins):
                     if (mine := alone[c.first + i]).is_valid:
-                        is_repeated[begin + mine.values.to_numpy(zero_copy_only=False)] = False
+                        at = begin + mine.values.to_numpy(zero_copy_only=False)
+                        same = windows[c.first + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                        # of another row with this key no place, or another window, is meant
+                        at, same = at[at + size <= c.ends[i]], same[at + size <= c.ends[i]]
+                        if len(at):
+                            is_repeated[at[c.window_hashes()[at] == same]] = False
                 at = np.flatnonzero(is_repeated)
                 np.add.at(covered, at, 1)
                 np.add.at(covered, at + size, -1)
@@ -193,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield {k: batch.column(k) for k in others} | {"__n": n_words, "__removed": n_removed, "__kept": kept}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields)
-    out = map_batches(joined.select(*others, as_bytes(F.col(text_col)).alias("__text"), "__alone"), rewrite, f"{schema}{', ' if others else ''}__n long, __removed long, __kept binary")
+    out = map_batches(joined.select(*others, as_bytes(F.col(text_col)).alias("__text"), "__alone", "__windows"), rewrite, f"{schema}{', ' if others else ''}__n long, __removed long, __kept binary")
     return out.select(*(F.col("__kept").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.col("__n").alias("n_words"), F.col("__removed").alias("n_removed"))
 
 
