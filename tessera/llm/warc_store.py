@@ -5,10 +5,11 @@ its SHA-256; ``headers`` has one row per record with the exact bytes before the
 header block and HTTP header block), the digest and the record's order. ``read_archive``
 checks each stored payload against its digest and rebuilds the records, byte for byte, with a join.
 
-Defined cases: a null payload is empty; a null url leaves the target line out; rows with a null id
+Defined cases: a null payload is empty; a null url leaves the target line out; a url with line breaks is
+percent-encoded, with a line that says so, and decoded on reading; rows with a null id
 get a record without ``page`` line and come last when the first of equal payloads is chosen.
-Repeated rows give repeated records; all rows that share the smallest id of their payload are
-responses. Of payloads below ``min_revisit`` bytes every record is a response. An empty table
+Repeated rows give repeated records, each with a record id of its own; all rows that share the smallest id of their payload are
+responses, and revisits refer to one of them. Of payloads below ``min_revisit`` bytes every record is a response. An empty table
 gives empty archives. Columns of the input beside id, url and payload are not archived.
 """
 
@@ -17,23 +18,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, work_path
+from tessera.llm.common import as_bytes, materialise, work_path
 
 CRLF = "\r\n"
+#: What the standard names as the kind of these revisits.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+BREAKS = r"[\r\n]"
 
 
 def _line(name: str, value: Column) -> Column:
-    """A header line, or nothing where the value is null. Line breaks cannot occur inside a value."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]", " "), F.lit(CRLF)), F.lit(""))
+    """A header line, or nothing where the value is null."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
+
+
+def _encoded(url: Column) -> Column:
+    """A url without line breaks as it is, another one with these and percent signs encoded."""
+    whole = F.replace(F.replace(F.replace(url, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.when(url.rlike(BREAKS), whole).otherwise(url)
+
+
+def _decoded(url: Column) -> Column:
+    return F.replace(F.replace(F.replace(url, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
-    """(page_id, url, payload_digest, payload_bytes, first_id): which payload each row has and who has it first."""
-    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), as_bytes(F.col(payload_col)).alias("payload"))
-    own = own.select("page_id", "url", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    first = own.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("__n"))
+    """(page_id, url, payload_digest, payload_bytes, record_id, first_id, first_record): which payload each row has and who has it first."""
+    own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), as_bytes(F.col(payload_col)).alias("payload"))
+    own = own.select("page_id", "url", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias("record_id"))
+    own = materialise(own, "warc-records")  # the random ids are drawn once
+    # null ids come last, as in min()
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id"))
+    first = own.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(least.alias("first"), F.count(F.lit(1)).alias("__n"))
     # only digests that repeat are joined; the rest are their own first
-    again = first.filter("__n > 1").select(F.col("payload_digest").alias("__digest"), "first_id")
+    again = first.filter("__n > 1").select(F.col("payload_digest").alias("__digest"), F.col("first.page_id").alias("first_id"), F.col("first.record_id").alias("first_record"))
     return own.join(again, own["payload_digest"] == again["__digest"], "left").drop("__digest")
 
 
@@ -44,14 +61,16 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), _line("Content-Length", F.col("payload_bytes")), F.lit(CRLF))
     rows = rows.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "http": http})
     block = F.length("http") + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
-    uuid = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), "payload_digest"))
     warc = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:md5:"), uuid, F.lit(">"))),
+        _line("WARC-Record-ID", F.col("record_id")),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.col("url")),
+        _line("WARC-Target-URI", _encoded(F.col("url"))),
+        _line("WARC-Target-URI-Encoding", F.when(F.col("url").rlike(BREAKS), F.lit("percent"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
+        _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        _line("WARC-Refers-To", F.when(revisit, F.col("first_record"))),
         _line("WARC-Refers-To-Page", F.when(revisit, F.col("first_id"))),
         _line("WARC-Page", F.col("page_id")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
@@ -80,15 +99,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     text = F.col("header").cast("string")
 
     def field(name: str) -> Column:
-        found = F.regexp_extract(text, rf"\r\n{name}: ([^\r]*)\r\n", 1)
-        return F.when(found != "", found)
+        pattern = rf"\r\n{name}: ([^\r]*)\r\n"
+        return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
     revisit = field("WARC-Type") == "revisit"
     body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
     return joined.select(
         field("WARC-Page").alias("page"),
-        field("WARC-Target-URI").alias("url"),
+        F.when(field("WARC-Target-URI-Encoding").isNotNull(), _decoded(field("WARC-Target-URI"))).otherwise(field("WARC-Target-URI")).alias("url"),
+        field("WARC-Record-ID").alias("record_id"),
         field("WARC-Type").alias("record_type"),
+        field("WARC-Refers-To").alias("refers_to_record"),
         field("WARC-Refers-To-Page").alias("refers_to"),
         F.col("__actual").alias("payload_digest"),
         "payload_bytes",
@@ -98,10 +119,15 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """``records``; reading one that isn't verified is an error."""
+    return records.filter(F.col("verified") | F.raise_error(F.lit("a stored payload does not have its digest")).isNotNull())
+
+
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    records = read_archive(spark, path).filter(F.col("verified") | F.raise_error(F.lit("a stored payload does not have its digest")).isNotNull())
+    records = checked(read_archive(spark, path))
     return records.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
