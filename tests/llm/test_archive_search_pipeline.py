@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import vptree, warc_store
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_warc_round_trip(spark, tmp_path):
     long = "<html>" + "é" * 80
-    rows = [(4, "http://a", long), (2, "http://b", long), (2, "http://b", long), (9, "http://c\r\nX: y", long), (1, None, None), (3, "http://d", "short"), (5, "http://e", "short"), (None, "http://f", long), (None, None, "<p>" + "z" * 200), (6, "u", "x" * 100), (7, "u", "x" * 100), (8, "u", "")]
+    rows = [(4, "http://a", long), (2, "http://b", long), (2, "http://b", long), (9, "http://c\r\nX: y", long), (1, None, None), (3, "http://d", "short"), (5, "http://e", "short"), (None, "http://f", long), (None, None, "<p>" + "z" * 200), (6, "u", "x" * 100), (7, "u", "x" * 100), (8, "", ""), (10, "http://a/%0A%25\n%0D", "x" * 3_000_000), (11, "http://a/%0A%25", "x" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
     path = f"file://{tmp_path}/warc"
     warc_store.write_archive(pages, path)
@@ -36,7 +37,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert Counter((number(r.page), r.payload_bytes, r.payload_digest, r.record_type, number(r.refers_to)) for r in got) == expected
     # each payload is stored once; a response's record ends with its payload, and its lengths add up
     assert spark.read.parquet(f"{path}/payloads").count() == len({digest(t) for *_, t in rows})
+    assert Counter(r.url for r in got) == Counter(u for _, u, _ in rows)
+    assert len({r.record_id for r in got}) == len(rows)
+    by_record = {r.record_id: r for r in got}
     for r in got:
+        assert (r.record_type == "revisit") == (r.refers_to_record is not None)
+        if r.refers_to_record:
+            assert by_record[r.refers_to_record].page == r.refers_to and by_record[r.refers_to_record].record_type == "response"
+            assert f"WARC-Profile: {warc_store.PROFILE}".encode() in bytes(r.record)
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length")).split(b": ")[1])
         assert len(rest) == length + 4 and rest.endswith(b"\r\n\r\n")
@@ -46,6 +54,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_store.read_archive(spark, f"{path}-none").count() == 0
 
 
+def test_warc_of_a_damaged_payload(spark, tmp_path):
+    path = f"file://{tmp_path}/damaged"
+    warc_store.write_archive(spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200), (3, "u", "c" * 200)], "page_id long, url string, html string"), path)
+    kept = spark.read.parquet(f"{path}/payloads")
+    last = F.col("payload").startswith(F.lit(b"b"))
+    # one payload's bytes are other ones now, one is gone
+    kept = kept.filter(~F.col("payload").startswith(F.lit(b"c"))).withColumn("payload", F.when(last, F.lit(b"spoiled")).otherwise(F.col("payload")))
+    kept.write.parquet(f"{path}-2/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"{path}-2/headers")
+    assert {(r.page, r.verified) for r in warc_store.read_archive(spark, f"{path}-2").collect()} == {("1", True), ("2", False), ("3", False)}
+    with pytest.raises(Exception, match="does not have its digest"):
+        warc_store.checked(warc_store.read_archive(spark, f"{path}-2")).collect()
+
+
 def brute(rows, k, asked):
     usable = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v) and len(v) == 4]
     out = {}

@@ -1,6 +1,7 @@
 """Brute force, exact round trips and edge cases of the operators over texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -8,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, components, decontaminate, golay, license_scan, line_dedup, queries, simhash, substring_dedup, token_store, toxicity
+from tessera.llm import bpe, components, count_min, decontaminate, golay, license_scan, line_dedup, queries, repeat_filter, simhash, substring_dedup, token_store, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, row string, key string, n int, score double"
@@ -82,11 +84,46 @@ def test_substring_dedup(docs, size, gram):
     for d, w in rows:
         gone = {i + o for i in range(len(w) - size + 1) if n[tuple(w[i : i + size])] > 1 for o in range(size)}
         expected[d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
-    for bits in (1 << 30, 1 << 16):
-        out = substring_dedup.remove_repeats(docs, size=size, gram=gram, max_filter_bits=bits)
+    for cells in (1 << 27, 1 << 16):
+        out = substring_dedup.remove_repeats(docs, size=size, gram=gram, max_cells=cells)
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()) == expected
 
 
+def test_substring_dedup_of_one_row_key(docs, monkeypatch):
+    """Rows that share their key keep apart what is repeated in each."""
+    rows = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in collected(docs)]
+    n = Counter(tuple(w[i : i + 5]) for _, w in rows for i in range(len(w) - 4))
+    expected = Counter((d, sum(any(n[tuple(w[j : j + 5])] > 1 for j in range(max(0, i - 4), min(i, len(w) - 5) + 1)) for i in range(len(w)))) for d, w in rows)
+    monkeypatch.setattr(substring_dedup, "row_key", lambda *_: F.lit(7).cast("long"))
+    out = substring_dedup.remove_repeats(docs, size=5, gram=3, max_cells=1 << 16)
+    assert Counter((r.doc_id, r.n_removed) for r in out.collect()) == expected
+
+
+def test_count_min_never_underestimates(spark):
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
+    stream = np.repeat(hashes, rng.zipf(1.6, 4000).clip(1, 400))
+    rng.shuffle(stream)
+    whole, parts = count_min.Sketch(1 << 12, 2), []
+    whole.add(stream)
+    for piece in np.array_split(stream, 7):
+        parts.append(count_min.Sketch(1 << 12, 2))
+        parts[-1].add(piece)
+    total = parts[0]
+    for part in parts[1:]:
+        total.merge(part)
+    assert (total.counts == whole.counts).all()
+    value, true = np.unique(stream, return_counts=True)
+    over = whole.estimate(value).astype(int) - np.minimum(true, count_min.TOP)
+    assert (over >= 0).all()
+    # the usual bound: an estimate is too high by e * n / cells with a chance of e**-rows at most
+    assert (over > np.e * len(stream) / whole.cells).mean() <= np.exp(-2)
+    df = spark.createDataFrame([(int(h.view(np.int64)),) for h in stream], "h long").repartition(5)
+    of = lambda batch: batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+    bits = count_min.gather_repeated(spark, count_min.build(of, df, 1 << 12, 2), 1 << 12, 2)
+    assert (repeat_filter.suspected(bits.value, value) == (whole.estimate(value) > 1)).all()
+
+
 def test_golay_code():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 2000)
@@ -109,9 +146,17 @@ def test_simhash_links_are_all_pairs(spark):
     assert got == {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+def plain_fingerprint(text, n=3):
+    """Shingle by shingle and bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
 def test_simhash_components(docs):
     rows = collected(docs)
-    prints = [simhash.fingerprint((t or "").encode(), 3) for _, t in rows]
+    prints = [plain_fingerprint(t) for _, t in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -160,9 +205,30 @@ def test_bpe_backtracks():
     from tokenizers import Tokenizer
 
     own, library, rng = bpe.load(path), Tokenizer.from_file(path), random.Random(5)
-    for _ in range(3000):
-        word = "".join(rng.choices("abcdeinorstuéß", k=rng.randint(1, 14)))
-        assert own.encode(word).tolist() == library.encode(word, add_special_tokens=False).ids[: len(own.encode(word))]
+    library.no_padding()
+    library.no_truncation()
+    for letters in ("abcdeinorstuéß", "aab", "ehtn", "日本語の", "0123456789.,-!"):
+        words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(3000)]
+        for word, e in zip(words, library.encode_batch(words, add_special_tokens=False), strict=True):
+            assert own.encode(word).tolist() == e.ids
+
+
+def test_bpe_of_every_code_point():
+    """Alone, within a word and in upper-case company: planes 0 to 2 and 14, and the borders of the others."""
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary("word_bpe_49k.json")
+    own, library = bpe.load(path), Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000] + list(range(0xE0000, 0xE0200)) + [0xEFFFF, 0xF0000, 0x10FFFF]
+    for at in range(0, len(points), 1000):
+        texts = [f"{chr(c)} Ab{chr(c)}C1{chr(c)}" for c in points[at : at + 1000]]
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        found = [own.encode_stretch(t) if len(t) > 64 else own.encode(t).tolist() for t in texts]
+        assert found == expected
+        own.known.clear()
+        own.pieces.clear()
 
 
 def test_token_store_round_trip(spark, docs, tmp_path):
@@ -180,6 +246,46 @@ def test_token_store_round_trip(spark, docs, tmp_path):
     for r in got:
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
         start += r.n_tokens
+    # any range of tokens can be read from the checkpoint before it
+    every = [(r.doc_id, i) for r in got for i in r.ids]
+    for begin, n in ((0, 1), (0, start), (5, 300), (start - 40, 1000), (start // 2, 129), (start, 5)):
+        part = sorted(token_store.read_range(spark, store, begin, n).collect(), key=lambda r: r.start)
+        assert [(r.doc_id, i) for r in part for i in r.ids] == every[begin : begin + n]
+        assert [r.start for r in part] == [begin + sum(len(q.ids) for q in part[:k]) for k in range(len(part))]
+
+
+def test_encoder_equals_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = bpe.vocabulary("byte_bpe_50k.json"), random.Random(1)
+    library = Tokenizer.from_file(path)
+    library.no_padding()
+    library.no_truncation()
+    pieces = ["a", "b ", " ", "\n", "\n\n", "word", ".", ",", "é", "ß", "\t", "’", "'s", "12", " \n", "  ", "日", "x.\nY", "<|endoftext|>", "\r\n", "-", "Σ"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 14))) for _ in range(20_000)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    # a memory far too small is forgotten all the time and changes nothing
+    for cache in (token_store.CACHE, 50):
+        monkeypatch.setattr(token_store, "CACHE", cache)
+        own = token_store.Encoder(path)
+        assert [np.frombuffer(i, own.dtype).tolist() for i in own.encode(texts, None)] == expected
+
+
+def test_token_store_of_equal_ids(spark, tmp_path):
+    """Null ids and one id's rows are dealt to several tasks, in order all the same."""
+    from tokenizers import Tokenizer
+
+    path, store = bpe.vocabulary("byte_bpe_50k.json"), f"file://{tmp_path}/equal"
+    library = Tokenizer.from_file(path)
+    texts = [f"text {i % 50} {'x ' * (i % 7)}" for i in range(400)]
+    rows = [(None if i % 3 else 7 if i % 2 else i, t) for i, t in enumerate(texts)]
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), store, path)
+    assert spark.read.parquet(f"{store}/blocks").select("part").distinct().count() > 1
+    got = sorted(token_store.read_tokens(spark, store).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((d, (*library.encode(t, add_special_tokens=False).ids, 2)) for d, t in rows)
 
 
 def test_huffman_lengths():
@@ -212,15 +318,54 @@ def test_decontaminate(spark, docs):
     half, little = item[:25], item[:9]
     texts = {900: " ".join(["x"] * 7 + item).upper() + "!", 901: "lead, " + ", ".join(spoiled) + " tail", 902: " ".join(half), 903: "a " + " ".join(little) + " b" * 50, 904: " ".join(item[20:] + ["z"] * 30), None: " ".join(item)}
     more = docs.unionByName(spark.createDataFrame([(d, t, "", "", 0, 0.0) for d, t in texts.items()], SCHEMA))
-    items = spark.createDataFrame([(1, " ".join(item), "c"), (1, " ".join(item), "c"), (2, None, "c"), (3, "too short", "c")], "item_id long, text string, doc_id string")
+    few = " ".join(little)
+    more = more.unionByName(spark.createDataFrame([(905, f"a b {few.upper()}, c", "", "", 0, 0.0), (906, "zq0 " + " ".join(little[:8]), "", "", 0, 0.0)], SCHEMA))
+    items = spark.createDataFrame([(1, " ".join(item), "c"), (1, " ".join(item), "c"), (2, None, "c"), (3, "too short", "c"), (4, few, "c"), (5, "zq0", "c")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_overlaps(more, items).collect()}
-    assert set(got) == {(900, 1), (901, 1), (902, 1), (904, 1), (None, 1)}
+    # items of few words are found where they stand whole
+    assert set(got) == {(900, 1), (901, 1), (902, 1), (904, 1), (None, 1), (900, 4), (902, 4), (903, 4), (905, 4), (None, 4), (906, 5)}
+    assert got[905, 4].start_word == 2 and got[905, 4].overlap_words == 9
     assert got[900, 1].start_word == 7 and got[900, 1].similarity == 1.0
     assert got[901, 1].overlap_words == 20 and got[901, 1].similarity >= 0.8
     assert decontaminate.find_overlaps(more.limit(0), items).count() == 0
     assert decontaminate.find_overlaps(more, items.limit(0)).count() == 0
 
 
+def fewest_spoilers(masks, upto):
+    """For each number of words: the fewest substitutions that spoil every placement of every mask, over all placements of them."""
+    span = max(m[-1] for m in masks) + 1
+    looked_at = [(m[-1], sum(1 << (m[-1] - o) for o in m)) for m in masks]
+    states, fewest = {0: 0}, [0]
+    for n in range(1, upto + 1):
+        after = {}
+        for state, cost in states.items():
+            for spoiled in (0, 1):
+                s = (state << 1 | spoiled) & ((1 << span) - 1)
+                if all(n <= last or s & bits for last, bits in looked_at):
+                    after[s] = min(after.get(s, n), cost + spoiled)
+        states = after
+        fewest.append(min(states.values()))
+    return fewest
+
+
+def test_masks_lose_nothing():
+    fewest = fewest_spoilers(decontaminate.MASKS, 200)
+    assert all(fewest[n] > n // 5 for n in range(13, 201))
+    # the same by trying all placements one by one, where they are few
+    for n in range(13, 19):
+        for gone in itertools.combinations(range(n), n // 5):
+            assert any(not any(p + o in gone for o in m) for m in decontaminate.MASKS for p in range(n - m[-1]))
+
+
+def test_decontaminate_finds_every_placement(spark):
+    """The first 15 of 30 distinct words, three of them substituted at places of all kinds."""
+    item = [f"w{i}" for i in range(30)]
+    spots = [s for s in itertools.combinations(range(15), 3)]
+    docs = spark.createDataFrame([(i, " ".join(["x", "y", *(f"s{k}" if k in s else w for k, w in enumerate(item[:15])), "z"])) for i, s in enumerate(spots)], "doc_id long, text string")
+    found = decontaminate.find_overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == set(range(len(spots)))
+
+
 def test_decontaminate_equals_brute_force(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     tests = {r.item_id: words_of(r.text) for r in items.collect()}
@@ -290,6 +435,55 @@ def test_toxicity_is_counterfactually_fair(spark):
     assert held.filter((F.col("score") >= 0.5).cast("int") != F.col("toxic")).count() == 0
 
 
+def test_swaps():
+    text = "Women and men agree. The women left!\nOld muslims speak"
+    got = toxicity.swaps(text)
+    # women stand in two sentences, so swapping one of them takes nothing away
+    assert got[0] == (set(), set())
+    assert got[1] == (set(), set())
+    partners = ["christians", "jews", "hindus", "buddhists", "catholics", "atheists"]
+    assert got[2:] == [({"old", "muslims"}, {"young", p}) for p in partners]
+    words = toxicity.words_of(text)
+    for gone, come in got:
+        before, after = (set(toxicity.feature_ids(w).tolist()) for w in (words, words - gone | come))
+        assert tuple(set(x.tolist()) for x in toxicity.changed_features(words, gone, come)) == (before - after, after - before)
+    assert toxicity.swaps(None) == toxicity.swaps("nobody is named") == []
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores recomputed from the weights for words of all kinds, on long, empty and null texts."""
+    import math
+
+    texts = [None, "", "Alpha beta", "ALPHA, alphabet? betas_9 été", "alpha gamma " * 50_000, "x" * 100_000]
+    names = ["walpha", "wbeta", "palph", "palpha", "palphab", "pbetas", "wgamma", "pété", "wété", "p" + "x" * 6]
+    weights = {name: 0.1 * (k + 1) * (-1) ** k for k, name in enumerate(names)}
+    signed = {h - (1 << 64) if (h := xxhash.xxh3_64_intdigest(n)) >> 63 else h: w for n, w in weights.items()}
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (signed, -0.3)).collect()}
+    for i, text in enumerate(texts):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        held = {f"w{w}" for w in words} | {f"p{w[:n]}" for w in words for n in (4, 5, 6) if len(w) >= n}
+        z = -0.3 + sum(w for name, w in weights.items() if name in held)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_toxicity_held_out_quality(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    scored = toxicity.op10_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").select("score", "predicted", "y").collect()
+    toxic, clean = [r.score for r in scored if r.y], [r.score for r in scored if r.y == 0]
+    auc = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    caught, named = sum(r.predicted for r in scored if r.y), sum(r.predicted for r in scored)
+    print(f"AUC {auc:.4f}, precision {caught / named:.3f}, recall {caught / len(toxic):.3f} of {len(toxic)} in {len(scored)}")
+    assert auc > 0.97 and caught >= 0.9 * len(toxic) and caught >= 0.9 * named
+
+
+def test_toxicity_takes_one_row_of_an_id(spark):
+    rows = [(r[0], r[1]) for r in toxic_rows(100)] + [(3, "again " * k) for k in range(200)]
+    labels = spark.createDataFrame([(r[0], r[6]) for r in toxic_rows(100)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "doc_id", "text", "toxic", 1000, None)
+    assert sample.count() == 100
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).filter("score >= 0.5").count() == 0
