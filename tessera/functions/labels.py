@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.ranks import numbered
+from tessera.operators.ranks import numbered, percentiles
 
-# Fixed values of the two label maps; they disagree on "malicious" on purpose.
+# Fixed values of the strict label map; the loose rule disagrees on "malicious" on purpose.
 STRICT_LABELS = {"legitimate": 0, "legit": 0, "benign": 0, "0": 0, "phishing": 1, "phish": 1, "malicious": 1, "1": 1}
-LOOSE_LABELS = {"legit": "legitimate", "benign": "legitimate", "0": "legitimate", "1": "phishing"}
 SENTINEL, MISSING = -999, "MISSING"
 
 
@@ -68,9 +67,22 @@ def impute_sentinel(df: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumns(out)
 
 
+def listed(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """(name, value): all values of ``columns`` that are not null, one row each."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast(kind).alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).filter("value IS NOT NULL")
+
+
 def impute_fitted(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """Medians and most frequent values (the smallest on ties) fill nulls; columns without any value stay null. One row of fitted values is joined."""
-    fitted = df.agg(*(F.median(c).alias(f"__{c}") for c in numeric), *(F.mode(c, True).alias(f"__{c}") for c in text))
+    fitted = df.sparkSession.range(1).drop("id")
+    if numeric:
+        medians = percentiles(listed(df, numeric, "double"), ["name"], "value", {"m": 0.5})
+        fitted = fitted.crossJoin(medians.agg(*(F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"__{c}") for c in numeric)))
+    if text:
+        counts = listed(df, text, "string").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+        modes = counts.groupBy("name").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("m"))
+        fitted = fitted.crossJoin(modes.agg(*(F.max(F.when(F.col("name") == c, F.col("m"))).alias(f"__{c}") for c in text)))
     joined = df.crossJoin(F.broadcast(fitted))  # exactly one row
     return joined.select(*((F.coalesce(c, F.col(f"__{c}")).alias(c) if c in numeric + text else F.col(c)) for c in df.columns))
 

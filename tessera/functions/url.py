@@ -1,4 +1,4 @@
-"""Lexical URL features as column expressions: no Python runs per row.
+"""Lexical URL features as column expressions: no Python runs per row (long texts' entropy is an Arrow batch function).
 
 Every function takes a column and returns a column. A null URL gives null (counts, lengths, parts) unless
 stated. Parsing follows RFC 3986, appendix B, by regular expression; the scheme and host are lower-cased, the host is
@@ -7,8 +7,11 @@ without user, port and brackets.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the feature definitions.
 SUSPICIOUS_KEYWORDS = ["login", "secure", "account", "verify", "update", "password", "bank", "client", "mail", "outlook", "inbox", "admin", "billing", "free", "click", "bonus", "office", "paypal", "ebay"]
@@ -65,13 +68,27 @@ def port(url: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for empty text. One replacement pass over the text for each distinct character."""
+    """Shannon entropy of the characters in bits; 0 for empty text. One replacement pass over the text for each distinct character: for short texts."""
     n = F.length(text).cast("double")
     kinds = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
     counts = F.transform(kinds, lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c))
     return F.when(text.isNotNull(), F.aggregate(counts, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n)))
 
 
+@F.pandas_udf(T.DoubleType())
+def long_text_entropy(texts: pd.Series) -> pd.Series:
+    """``entropy`` for texts of any length: one pass over the code points of each text, in Arrow batches."""
+
+    def one(text):
+        if text is None:
+            return None
+        n = np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        n = n[n > 0]
+        return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else 0.0
+
+    return texts.map(one)
+
+
 def suffix(host_: Column) -> Column:
     """Public suffix: a known two-label ending, else a known last label, else empty (also for addresses)."""
     two, last = F.substring_index(host_, ".", -2), F.substring_index(host_, ".", -1)
@@ -195,6 +212,18 @@ def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     return staged.select(*df.columns, *(v.alias(k) for k, v in features.items()))
 
 
+def feature_error(url: Column) -> Column:
+    """Why a URL has no lexical features; null where it has."""
+    given = F.replace(url, F.lit("[.]"), F.lit("."))
+    return F.when(url.isNull(), "no url").when(host(given) == "", "no host").when(port(given).isNull(), "bad port")
+
+
+def with_errors(df: DataFrame, url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(rows with their features, rows without any and why, as ``error``): together they are all rows."""
+    error = feature_error(F.col(url_col))
+    return lexical_features(df, url_col), df.withColumn("error", error).filter(F.col("error").isNotNull())
+
+
 # Fixed values of the validation rules.
 MAX_URL, MIN_URL = 2048, 7
 SCHEMES = ["http", "https", "ftp"]

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import labels, score
 from tessera.functions import url as U
-from tessera.operators import relational
+from tessera.operators import relational, stats
 
 
 def model_ready(urls: DataFrame, features: DataFrame, key: str, label: str = "label", order: list[str] | None = None, imputation: str = "sentinel") -> DataFrame:
     """Labelled rows joined with their features, labels made 0 or 1 (others dropped), the last row of each key, nulls filled."""
-    joined = relational.left_with_suffix(urls.withColumn(label, labels.strict_label(F.col(label))).filter(F.col(label).isNotNull()), features, key)
+    own = urls.withColumn(label, labels.strict_label(F.col(label))).filter(F.col(label).isNotNull())
+    joined = relational.left_with_suffix(own, features.drop(*(c for c in features.columns if c in own.columns and c != key)), key)
     joined = relational.keep_last(joined, [key], [label])
     columns = [f for f in joined.schema.fields if f.name not in (key, label)]
     if imputation == "sentinel":
@@ -50,6 +51,31 @@ def diversity_report(df: DataFrame, dimensions: dict[str, tuple[float, int]] | N
     return per.withColumn("coverage", F.least(F.col("n_values") / target, F.lit(1.0)) * 100).withColumn("weighted", F.col("coverage") * weight)
 
 
+#: Fixed weights of the overall score, by dimension, and the number of values that counts as full coverage. The region is reported only.
+OVERALL = {"protocol": (0.15, 30), "category": (0.20, 50), "tld": (0.10, 200), "region": (0.0, 10), "attack": (0.15, 10)}
+
+
+def overall_diversity(df: DataFrame, collected: str, now: Column) -> DataFrame:
+    """(dimension, score, weighted, grade) of the eight dimensions and ``overall``.
+
+    ``df`` has url, label, protocol, category, region, attack_type and a time of collection. Values are counted per dimension (attacks among phishing
+    rows only); the others are the spread of lengths against 50, rows of the last 30 days against 30 %, and how evenly rows are dealt to
+    domains (Gini against one half). Rows are read twice: the even part needs the counts per domain.
+    """
+    of = df.select("protocol", "category", U.tld(F.col("url")).alias("tld"), "region", F.when(F.col("label") == "phishing", F.col("attack_type")).alias("attack"), F.length("url").alias("__length"), (F.col(collected) > now - F.expr("INTERVAL 30 DAYS")).alias("__fresh"), U.domain_name(F.col("url")).alias("__domain"))
+    of = of.withColumn("tld", F.when(F.col("tld") != "", F.col("tld")))
+    values = diversity_report(of, OVERALL).select("dimension", F.col("coverage").alias("score"))
+    rows = of.agg(F.stddev_samp("__length").alias("spread"), (F.avg(F.coalesce("__fresh", F.lit(False)).cast("double")) * 100).alias("fresh"))
+    shape = rows.select(F.inline(F.array(F.struct(F.lit("structural").alias("dimension"), (F.least(F.col("spread") / 50.0, F.lit(1.0)) * 100).alias("score")), F.struct(F.lit("temporal").alias("dimension"), (F.least(F.col("fresh") / 30.0, F.lit(1.0)) * 100).alias("score")))))
+    even = stats.gini(of.filter("__domain <> ''"), "__domain").select(F.lit("traffic").alias("dimension"), ((1 - F.least(F.col("gini") / 0.5, F.lit(1.0))) * 100).alias("score"))
+    weight = F.lit(0.10)
+    for d, (w, _) in OVERALL.items():
+        weight = F.when(F.col("dimension") == d, w).otherwise(weight)
+    scored = values.unionByName(shape).unionByName(even).withColumn("weighted", F.coalesce(F.col("score") * weight, F.lit(0.0)))
+    total = scored.agg(F.lit("overall").alias("dimension"), F.sum("weighted").alias("score"), F.sum("weighted").alias("weighted"))
+    return scored.unionByName(total).withColumn("grade", score.grade(F.col("score")))
+
+
 def route(key: Column, shares: dict[str, int]) -> Column:
     """Variant by cumulative percentages of a bucket from 0 to 99."""
     if sum(shares.values()) != 100:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import stats
@@ -73,12 +75,22 @@ def balanced_forest(df: DataFrame, label: str = "label", key: str = "vec_id", me
     return models
 
 
-def calibrated(df: DataFrame, model, label: str = "label") -> DataFrame:
-    """``p`` of a model that gives margins only, by a logistic fit of the label on the margin (sigmoid calibration)."""
-    margins = model.transform(df).withColumn("margin", F.array(vector_to_array("rawPrediction")[1]))
-    margins = margins.withColumn("__m", array_to_vector("margin")).drop("prediction", "rawPrediction")
-    sigmoid = C.LogisticRegression(labelCol=label, featuresCol="__m").fit(margins)
-    return sigmoid.transform(margins).withColumn("p", vector_to_array("probability")[1]).drop("__m", "margin")
+def calibrated(df: DataFrame, estimator, target: DataFrame | None = None, label: str = "label", fold_col: str = "fold", folds: int = 3) -> DataFrame:
+    """``target`` (or ``df``) with ``p`` of an estimator that gives margins only, by a logistic fit of the label on margins (sigmoid calibration).
+
+    The margins of the fit are those of each fold's rows by a model of the other folds; the scores are of a model of all rows.
+    """
+
+    def margin(model, rows):
+        return model.transform(rows).withColumn("__m", array_to_vector(F.array(vector_to_array("rawPrediction")[1]))).drop("prediction", "rawPrediction")
+
+    parts = [margin(estimator.fit(df.filter(F.col(fold_col) != k)), df.filter(F.col(fold_col) == k)).select(label, "__m") for k in range(folds)]
+    unseen = parts[0]
+    for part in parts[1:]:
+        unseen = unseen.unionByName(part)
+    sigmoid = C.LogisticRegression(labelCol=label, featuresCol="__m").fit(unseen)
+    scored = sigmoid.transform(margin(estimator.fit(df), df if target is None else target))
+    return scored.withColumn("p", vector_to_array("probability")[1]).drop("__m", "rawPrediction", "probability", "prediction")
 
 
 def cross_validate(df: DataFrame, estimator, folds: int, label: str = "label", fold_col: str = "fold") -> DataFrame:
@@ -100,14 +112,47 @@ def report(scored: DataFrame, label: str = "label") -> DataFrame:
     return stats.classification(decided, label, "yes").crossJoin(stats.roc_auc(scored, label, "p"))
 
 
-def neighbours(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", array_col: str = "embedding", label: str = "label") -> DataFrame:
-    """(query, p): share of label 1 among the ``k`` nearest by squared distance. ``queries`` is a stated set, meant to be small."""
-    distance = F.aggregate(F.zip_with("__q", array_col, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.select(F.col(id_col).alias("__id"), F.col(array_col).alias("__q"))
-    pairs = df.join(asked, F.col("__id") != F.col(id_col)).select("__id", F.struct(distance.alias("d"), F.col(id_col).alias("i"), F.col(label).alias("y")).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("__id").orderBy("n"))
-    nearest = pairs.withColumn("__r", rank).filter(F.col("__r") <= k)
-    return nearest.groupBy(F.col("__id").alias("query")).agg(F.avg(F.col("n.y").cast("double")).alias("p"))
+def fold_report(scored: DataFrame, label: str = "label", fold_col: str = "fold") -> DataFrame:
+    """(fold, accuracy, precision, recall, f1, auc) of each fold, and their mean with fold null."""
+    decided = scored.withColumn("yes", (F.col("p") >= 0.5).cast("int"))
+    names = ["accuracy", "precision", "recall", "f1", "auc"]
+    per = stats.classification(decided, label, "yes", [fold_col]).join(stats.roc_auc_by(scored, label, "p", fold_col), fold_col).select(F.col(fold_col).alias("fold"), *names)
+    return per.unionByName(per.agg(F.lit(None).cast(per.schema["fold"].dataType).alias("fold"), *(F.avg(c).alias(c) for c in names)))
+
+
+def packed(df: DataFrame, rows: int, columns: dict[str, Column], out: str) -> DataFrame:
+    """(out, and each column as an array): rows in groups of about ``rows``, by a hash of all columns."""
+    parts = max(1, -(-df.count() // rows))
+    return df.groupBy(F.pmod(F.xxhash64(*columns.values()), F.lit(parts)).alias(out)).agg(F.collect_list(F.struct(*(c.alias(k) for k, c in columns.items()))).alias(f"{out}_rows"))
+
+
+def neighbours(df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", array_col: str = "embedding", label: str = "label", shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+    """(query, p): share of label 1 among the ``k`` nearest by squared distance, ties to smaller ids.
+
+    ``queries`` is a stated set: its rows meet all others in blocks, as arrays, and each block and shard give ``k`` rows a query.
+    """
+    rows = packed(df, shard_rows, {"id": F.col(id_col).cast("long"), "y": F.col(label).cast("double"), "v": F.col(array_col).cast("array<double>")}, "shard")
+    asked = packed(queries, block_rows, {"id": F.col(id_col).cast("long"), "v": F.col(array_col).cast("array<double>")}, "block")
+    shards = rows.select("shard")
+    pairs = asked.join(F.broadcast(shards), F.lit(True)).join(rows, "shard")  # a number for each shard
+
+    def run(batches):
+        for batch in batches:
+            for mine, them in zip(batch.column("block_rows"), batch.column("shard_rows"), strict=True):
+                them = them.values
+                ids, y = (them.field(c).to_numpy(zero_copy_only=False) for c in ("id", "y"))
+                x = np.stack(them.field("v").to_numpy(zero_copy_only=False))
+                for q in mine.as_py():
+                    gap = x - np.array(q["v"])
+                    far = (gap * gap).sum(axis=1)
+                    far[ids == q["id"]] = np.inf
+                    order = np.lexsort((ids, far))[:k]
+                    order = order[np.isfinite(far[order])]
+                    yield pa.RecordBatch.from_pydict({"query": np.full(len(order), q["id"]), "d": far[order], "i": ids[order], "y": y[order]})
+
+    found = pairs.select("block_rows", "shard_rows").mapInArrow(run, "query long, d double, i long, y double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "i"))
+    return found.withColumn("__r", rank).filter(F.col("__r") <= k).groupBy("query").agg(F.avg("y").alias("p"))
 
 
 def meta_weights(scored: DataFrame, columns: list[str], label: str = "label") -> list[float]:
@@ -137,13 +182,3 @@ def linear_contributions(df: DataFrame, model, array_col: str, means: list[float
     pairs = F.array(*(F.lit(float(c)) for c in model.coefficients)), F.array(*(F.lit(m) for m in means))
     centred = F.zip_with(F.col(array_col).cast("array<double>"), pairs[1], lambda x, m: x - m)
     return df.withColumn("contributions", F.zip_with(centred, pairs[0], lambda x, c: x * c))
-
-
-def deploy_gate(accuracy: float, fpr: float, current_accuracy: float | None) -> str:
-    """deploy if the new model is good enough and not worse than the current one, else rollback."""
-    good = accuracy >= 0.85 and fpr <= 0.05 and (current_accuracy is None or accuracy >= current_accuracy)
-    return "deploy" if good else "rollback"
-
-
-def retrain_due(new_rows: int, hours_since: float | None) -> bool:
-    return hours_since is None or new_rows >= 100 or hours_since >= 24

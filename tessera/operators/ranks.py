@@ -1,58 +1,64 @@
-"""Row numbers and running sums without one task per group.
+"""Row numbers, running sums and percentiles without one task per group.
 
-The order column is cut into ranges at approximate quantiles. Rows are numbered (or summed) within each range, and
-what the ranges before hold is added, so a group with a third of all rows is spread over ``RANGES`` tasks. The
-results are those of one ordered window.
+Rows are dealt to ranges of their group and order by Spark's range partitioning and written once, so that the ranges hold
+still. They are numbered (or summed) within each range, and what the ranges before hold is added: a group with a third of all rows is
+spread over many tasks, and so are rows with equal order values. The results are those of one ordered window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 32
+from tessera.sources.workdir import materialise
 
 
-def orderable(df: DataFrame, order: str) -> Column:
-    """A number that never falls where ``order`` rises: texts give their first seven bytes."""
-    if df.schema[order].dataType.simpleString() != "string":
-        return F.col(order)
-    head = F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
+def ranged(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``__range``, whose numbers rise with ``keys``, and ``__salt``, which parts rows that are equal in them."""
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__salt", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, "__salt")
+    return materialise(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
 
 
-def range_of(df: DataFrame, order: str, ranges: int) -> Column:
-    """Number of the range that a row's order value falls into; nulls are in the first. The bounds are ``ranges`` values at most."""
-    shares = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
-    value = orderable(df, order)
-    bounds = df.select(F.percentile_approx(value, shares, 10_000)).first()[0]
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < value))
-
-
-def with_range(df: DataFrame, order: str, ranges: int) -> DataFrame:
-    return df.withColumn("__range", range_of(df, order, ranges))
-
-
-def numbered(df: DataFrame, group: str | None, order: str, out: str, ranges: int = RANGES, then: str | None = None) -> DataFrame:
-    """``row_number`` over ``group`` (None: all rows) by a numeric, time or text column; ``then`` settles ties."""
-    staged = with_range(df, order, ranges)
+def numbered(df: DataFrame, group: str | None, order: str, out: str, ranges: int | None = None, then: str | None = None) -> DataFrame:
+    """``row_number`` over ``group`` (None: all rows) by a column, nulls first; ``then`` settles ties."""
+    staged, group_ = df, group or "__all"
     if group is None:
-        group = "__all"
-        staged = staged.withColumn(group, F.lit(0))
-    sizes = staged.groupBy(F.col(group).alias("__g"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+        staged = staged.withColumn(group_, F.lit(0))
+    by = [order, *([then] if then else [])]
+    staged = ranged(staged, [group_, *by], ranges)
+    sizes = staged.groupBy(F.col(group_).alias("__g"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each range of a group
     ahead = sizes.select("__g", "__r", (F.sum("__n").over(Window.partitionBy("__g").orderBy("__r")) - F.col("__n")).alias("__ahead"))
-    ranked = staged.withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__range").orderBy(order, *([then] if then else []))))
-    joined = ranked.join(ahead, ranked[group].eqNullSafe(ahead["__g"]) & (ranked["__range"] == ahead["__r"]))
+    ranked = staged.withColumn("__rn", F.row_number().over(Window.partitionBy(group_, "__range").orderBy(*by, "__salt")))
+    joined = ranked.join(ahead, ranked[group_].eqNullSafe(ahead["__g"]) & (ranked["__range"] == ahead["__r"]))
     return joined.select(*df.columns, (F.col("__rn") + F.col("__ahead")).alias(out))
 
 
-def running_sum(df: DataFrame, order: str, value: str, out: str, ranges: int = RANGES) -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Sum of ``value`` over all rows up to and with this one's order value; order values are distinct."""
-    staged = with_range(df, order, ranges)
+    staged = ranged(df, [order], ranges)
     sizes = staged.groupBy(F.col("__range").alias("__r")).agg(F.sum(value).alias("__n"))
     ahead = sizes.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__ahead"))  # a row per range
     inside = F.sum(value).over(Window.partitionBy("__range").orderBy(order))
     joined = staged.withColumn("__in", inside).join(F.broadcast(ahead), F.col("__range") == F.col("__r"))
     return joined.select(*df.columns, (F.col("__in") + F.col("__ahead")).alias(out))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by..., and for each name in ``shares`` the exact, linearly interpolated percentile) of the values that are not null.
+
+    The values are ranked in ranges and the two neighbours of each percentile are picked, so no buffer holds a group.
+    """
+    own = df.filter(F.col(value).isNotNull()).select(F.struct(*(F.col(c) for c in by)).alias("__key") if by else F.lit(0).alias("__key"), F.col(value).cast("double").alias("__v"))
+    ranked = numbered(own, "__key", "__v", "__rank")
+    sizes = own.groupBy(F.col("__key").alias("__k")).agg(F.count(F.lit(1)).alias("__size"))
+    joined = ranked.join(sizes, F.col("__key").eqNullSafe(F.col("__k")))
+    picks = {}
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("__size") - 1)
+        above = place - F.floor(place)
+        at = F.col("__rank") - 1
+        picks[name] = F.sum(F.when(at == F.floor(place), F.col("__v") * (1 - above)).when((at == F.floor(place) + 1) & (above > 0), F.col("__v") * above))
+    found = joined.groupBy("__key").agg(*(v.alias(k) for k, v in picks.items()))
+    return found.select(*(F.col(f"__key.{c}").alias(c) for c in by), *shares)

@@ -27,6 +27,14 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str
     return keep_last(both, keys, ["__gen", *order]).drop("__gen")
 
 
+def update_present(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Update or insert where only values count: each column of a key is its last value that is not null, rows of ``new`` after those of ``existing``."""
+    both = existing.withColumn("__gen", F.lit(0)).unionByName(new.withColumn("__gen", F.lit(1)), allowMissingColumns=True)
+    place = F.struct("__gen", *order)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in both.columns if c not in (*keys, "__gen")]
+    return both.groupBy(*keys).agg(*last).select(*existing.columns, *(c for c in new.columns if c not in existing.columns))
+
+
 def insert_only(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing`` are added, one for each key."""
     fresh = new.join(existing.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
@@ -51,9 +59,8 @@ def update_from(base: DataFrame, changes: DataFrame, key: str, column: str, orde
 
 
 def left_with_suffix(left: DataFrame, right: DataFrame, key: str, suffix: str = "_feature") -> DataFrame:
-    """Left join; clashing columns of the right side are dropped."""
-    clash = [c for c in right.columns if c in left.columns and c != key]
-    return left.join(right.drop(*clash), key, "left")
+    """Left join; clashing columns of the right side get the suffix."""
+    return left.join(right.withColumnsRenamed({c: f"{c}{suffix}" for c in right.columns if c in left.columns and c != key}), key, "left")
 
 
 def align(df: DataFrame, order: list[str], default: float = 0.0) -> DataFrame:
@@ -84,8 +91,10 @@ def quota(df: DataFrame, stratum: str, target: int, order: str) -> DataFrame:
     return ranked.join(limits, ranked[stratum].eqNullSafe(limits["__s"])).filter(F.col("__cap") <= F.col("__q")).select(*df.columns)
 
 
-def folds(df: DataFrame, label: str, order: str, k: int = 5) -> DataFrame:
-    """Stratified fold numbers from 0, by a numeric column."""
+def folds(df: DataFrame, label: str, order: str, k: int = 5, seed: int | None = None) -> DataFrame:
+    """Stratified fold numbers from 0, dealt in the order of a column, or shuffled by a hash of it where there is a seed."""
+    if seed is not None:
+        return folds(df.withColumn("__shuffled", by_hash(order, seed)), label, "__shuffled", k).drop("__shuffled")
     return numbered(df, label, order, "fold").withColumn("fold", ((F.col("fold") - 1) % k).cast("int"))
 
 

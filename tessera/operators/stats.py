@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranks import running_sum
+from tessera.operators.ranks import percentiles, ranged, running_sum
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -55,6 +55,17 @@ def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
     return wins.agg(ratio(F.sum("__w"), F.sum("__p") * F.sum("__n")).alias("auc"))
 
 
+def roc_auc_by(df: DataFrame, actual: str, score: str, by: str) -> DataFrame:
+    """(by, auc): the area within each group, ranked per group over the distinct scores."""
+    per = df.filter(F.col(actual).isNotNull() & F.col(score).isNotNull()).groupBy(by, F.col(score).alias("__s")).agg(F.count_if(F.col(actual) == 1).alias("__p"), F.count_if(F.col(actual) == 0).alias("__n"))
+    staged = ranged(per, [by, "__s"])
+    sizes = staged.groupBy(F.col(by).alias("__g"), F.col("__range").alias("__r")).agg(F.sum("__n").alias("__k"))
+    ahead = sizes.select("__g", "__r", (F.sum("__k").over(Window.partitionBy("__g").orderBy("__r")) - F.col("__k")).alias("__ahead"))  # a row for each range of a group
+    inside = staged.withColumn("__in", F.sum("__n").over(Window.partitionBy(by, "__range").orderBy("__s")) - F.col("__n"))
+    joined = inside.join(ahead, inside[by].eqNullSafe(ahead["__g"]) & (inside["__range"] == ahead["__r"]))
+    return joined.groupBy(by).agg(ratio(F.sum(F.col("__p") * (F.col("__in") + F.col("__ahead") + F.col("__n") / 2)), F.sum("__p") * F.sum("__n")).alias("auc"))
+
+
 def log_loss(df: DataFrame, actual: str, p: str) -> DataFrame:
     c = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col(actual)
@@ -69,8 +80,17 @@ def null_ratios(df: DataFrame) -> DataFrame:
 
 def latency(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, mean and exact, linearly interpolated percentiles."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p.alias("p")).select(*by, "n", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+    found = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return with_percentiles(found, df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*by, "n", "mean", "p50", "p95", "p99")
+
+
+def with_percentiles(groups: DataFrame, df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``groups``, a row per group of ``df``, with percentiles; null where a group has no value."""
+    found = percentiles(df, by, value, shares).withColumnsRenamed({c: f"__{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & groups[c].eqNullSafe(F.col(f"__{c}"))
+    return groups.join(found, same, "left").drop(*(f"__{c}" for c in by))
 
 
 def rate_per_hour(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
@@ -131,6 +151,6 @@ def queue_state(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
 
 def speed_up(df: DataFrame, value: str, group: str, base: str) -> DataFrame:
     """(group, p95, speed_up): how many times the 95th percentile of ``base`` is that of each group."""
-    p95 = df.groupBy(group).agg(F.percentile(value, F.lit(0.95)).alias("p95"))
+    p95 = with_percentiles(df.select(group).distinct(), df, [group], value, {"p95": 0.95})
     own = p95.filter(F.col(group) == base).select(F.col("p95").alias("__base"))
     return p95.crossJoin(F.broadcast(own)).select(group, "p95", F.try_divide("__base", "p95").alias("speed_up"))  # one row

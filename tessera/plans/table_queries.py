@@ -188,9 +188,9 @@ def variants(spark, sf_dir):
 
 def ab_metrics(spark, sf_dir):
     e = variants(spark, sf_dir)
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    out = e.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), p.alias("p"), F.countDistinct("user_id").alias("users"))
-    return out.select("variant", "n", "errors", "users", F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"), F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"))
+    out = e.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"))
+    out = stats.with_percentiles(out, e, ["variant"], "value", {"p50": 0.5, "p95": 0.95})
+    return out.select("variant", "n", "errors", "users", F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 def ab_gates(spark, sf_dir):
@@ -298,7 +298,7 @@ _SC = "SELECT *, (doc_id * 37 % 101) / 101.0 * 0.5 + toxic * 0.3 + 0.05 AS p FRO
 _VAR = "SELECT *, CASE WHEN event_id % 100 < 50 THEN 'control' WHEN event_id % 100 < 80 THEN 'candidate' ELSE 'canary' END AS variant FROM events"
 _CM = "count(*) FILTER (WHERE toxic = 1 AND {p} = 1) AS tp, count(*) FILTER (WHERE toxic = 0 AND {p} = 1) AS fp, count(*) FILTER (WHERE toxic = 1 AND {p} = 0) AS fn, count(*) FILTER (WHERE toxic = 0 AND {p} = 0) AS tn"
 SQL = {
-    "left_join_suffix": "SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "left_join_suffix": "SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic, CASE WHEN l.doc_id IS NOT NULL THEN 'x' END AS lang_feature FROM documents d LEFT JOIN labels l USING (doc_id)",
     "inner_join_pairs": "SELECT c_mktsegment, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
     "join_residual": "SELECT o_orderstatus, l_linestatus, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND o_orderstatus <> l_linestatus GROUP BY 1, 2",
     "anti_join_new": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",

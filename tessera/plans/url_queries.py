@@ -97,7 +97,7 @@ def length_buckets(spark, sf_dir):
 
 def text_entropy_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", F.round(U.entropy(F.col("text")), 6).alias("entropy"))
+    return docs.select("doc_id", F.round(U.long_text_entropy(F.col("text")), 6).alias("entropy"))
 
 
 def url_quality_issues(spark, sf_dir):

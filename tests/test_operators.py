@@ -53,12 +53,6 @@ def test_feeds(spark):
     assert rows(readers.parse_pulses(pulses)) == [("http://u", "phishing")]
 
 
-def test_gates():
-    assert models.deploy_gate(0.9, 0.01, 0.89) == "deploy"
-    assert models.deploy_gate(0.9, 0.06, None) == "rollback"
-    assert models.retrain_due(0, None) and models.retrain_due(100, 1) and not models.retrain_due(99, 23.9)
-
-
 def test_token_bucket_stream(spark, tmp_path):
     from tessera.streaming import streams
 
@@ -87,6 +81,61 @@ def test_ranks_equal_one_window(spark):
     assert ranks.numbered(df.limit(0), "g", "o", "n").count() == 0
 
 
+def test_ranges_of_like_texts_and_equal_values(spark):
+    from tessera.operators import ranks
+
+    # texts that begin alike, and one value that most rows have, are dealt to several ranges
+    df = spark.range(2000).select(F.format_string("Customer#%09d", F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id"))).alias("v"))
+    staged = ranks.ranged(df, ["v"], 8)
+    assert staged.groupBy("__range").count().agg(F.max("count")).first()[0] < 600
+    assert [r.n for r in ranks.numbered(df, None, "v", "n", ranges=8).orderBy("v", "n").collect()] == list(range(1, 2001))
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    from tessera.operators import ranks
+
+    df = spark.range(997).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 < 9, "cold").alias("g"), F.when(F.col("id") % 11 > 0, F.col("id") * 37 % 101 / 3.0).alias("v"))
+    values = {}
+    for r in df.collect():
+        if r.v is not None:
+            values.setdefault(r.g, []).append(r.v)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r.g: r for r in ranks.percentiles(df, ["g"], "v", shares).collect()}
+    assert got.keys() == values.keys()
+    for g, v in values.items():
+        assert all(abs(got[g][name] - np.percentile(v, 100 * share)) < 1e-9 for name, share in shares.items())
+    assert ranks.percentiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_neighbours_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 2, 300)
+    v = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.query: r.p for r in models.neighbours(v, v.filter("vec_id % 10 = 0"), 7, shard_rows=40, block_rows=8).collect()}
+    for q in range(0, 300, 10):
+        far = ((x - x[q]) ** 2).sum(1)
+        near = sorted((d, i) for i, d in enumerate(far) if i != q)[:7]
+        assert abs(got[q] - np.mean([y[i] for _, i in near])) < 1e-12
+    assert len(got) == 30 and models.neighbours(v.limit(0), v.limit(0), 3).count() == 0
+
+
+def test_entropy_of_long_texts(spark):
+    import math
+    from collections import Counter
+
+    from tessera.functions import url
+
+    texts = [None, "", "aaaa", "ab", "é日😀a" * 3, "the quick brown fox " * 20_000]
+    got = [r.e for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(url.long_text_entropy("t").alias("e")).collect()]
+    assert got[:2] == [None, 0.0]
+    for t, e in zip(texts[2:], got[2:], strict=True):
+        assert abs(e + sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())) < 1e-9
+
+
 def test_columns(spark):
     from pyspark.sql import types as T
 
@@ -135,7 +184,7 @@ def test_more_models(spark):
     v = models.balanced(models.assemble(df.coalesce(1), array_col="x")).cache()
     zoo = models.zoo(80, n_features=2)
     assert len(models.balanced_forest(v, members=1)) == 1
-    p = models.calibrated(v, zoo["linear_svc"].setMaxIter(10).fit(v))
+    p = models.calibrated(v.withColumn("fold", v["vec_id"] % 3), zoo["linear_svc"].setMaxIter(10))
     row = models.report(p).first()
     assert row["auc"] > 0.9
     for name in ("complement_nb", "mlp"):
