@@ -16,6 +16,16 @@ def events_stream(spark, sf_dir):
     return streams.files(spark, f"{sf_dir}/events*.parquet", EVENTS)
 
 
+def in_files(spark, sf_dir, n, ordered=False):
+    """A stream of the events in ``n`` files, one a batch: dealt by id, or one stretch of time after the other."""
+    path, events = workdir.shared(spark, "event-files"), spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value")
+    first, last = events.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    part = F.least(F.floor((F.col("ts").cast("double") - (first or 0.0)) / max((last or 0.0) - (first or 0.0), 1.0) * n), F.lit(n - 1)) if ordered else F.col("event_id") % n
+    for k in range(n):  # one after the other, as the stream takes files in the order of their times
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return streams.files(spark, path, events.schema, max_files=1)
+
+
 def finished(spark, df, name, mode="append"):
     out = workdir.shared(spark, name)
     if mode == "append":
@@ -42,14 +52,29 @@ def stream_metrics(spark, sf_dir):
 
 
 def stream_upsert(spark, sf_dir):
+    """The last row of each user, merged into the master over four batches."""
     out = workdir.shared(spark, "master")
-    s = events_stream(spark, sf_dir).select("user_id", "ts", "event_id", "value")
+    s = in_files(spark, sf_dir, 4, ordered=True).select("user_id", "ts", "event_id", "value")
     streams.run_available(s, workdir.shared(spark, "master-log"), foreachBatch=streams.upsert_into(out, ["user_id"], ["ts", "event_id"]))
     versions = spark.read.parquet(out)
     newest = versions.agg(F.max("v").alias("__v"))
     return versions.join(F.broadcast(newest), F.col("v") == F.col("__v")).select("user_id", "event_id", "value")
 
 
+def stream_retrain(spark, sf_dir):
+    """Ten batches of equal size, retraining due once a quarter of all rows is new: (batch, rows, processed, due)."""
+    out, n = workdir.shared(spark, "batches"), spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    streams.run_available(in_files(spark, sf_dir, 10), workdir.shared(spark, "batches-log"), foreachBatch=streams.counting_batches(out, n // 4))
+    return spark.read.parquet(out).select(F.col("batch").cast("int").alias("batch"), "rows", "processed", "due")
+
+
+def stream_ttl_cache(spark, sf_dir):
+    """Requests of users through a cache of 24 hours, over batches in time order: hits and misses of each user."""
+    s = streams.event_time(in_files(spark, sf_dir, 3, ordered=True).select("user_id", "ts"), delay="1 hour")
+    hits = finished(spark, streams.ttl_cache(s, "user_id", "ts"), "ttl")
+    return hits.groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
 def stream_windows(spark, sf_dir):
     s = streams.event_time(events_stream(spark, sf_dir).select("ts", "event_type"), delay="1 hour")
     counts = finished(spark, streams.windowed_counts(s, "ts", "event_type", "1 day"), "windows", "complete")
@@ -109,6 +134,8 @@ SQL = {
     "stream_dedupe": "SELECT event_id, event_type FROM events",
     "stream_metrics": "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS mean FROM events GROUP BY 1",
     "stream_upsert": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "stream_retrain": "WITH n AS (SELECT count(*) AS n FROM events), b AS (SELECT CAST(range AS INTEGER) AS batch, CAST(n // 10 AS BIGINT) AS rows FROM range(10), n) SELECT batch, rows, CAST(rows * (batch + 1) AS BIGINT) AS processed, batch % 3 = 2 AS due FROM b",
+    "stream_ttl_cache": "WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), c AS (SELECT user_id, k, ts AS entry, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, CASE WHEN o.ts < c.entry + INTERVAL 24 HOUR THEN c.entry ELSE o.ts END, o.ts < c.entry + INTERVAL 24 HOUR FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1) SELECT user_id, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM c GROUP BY user_id",
     "stream_windows": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "dns_record_features": "SELECT 'd' || s_suppkey || '.example.com' AS domain, 1 AS has_A, CAST(s_suppkey % 3 + 1 AS INTEGER) AS num_A, CAST(s_suppkey % 2 = 0 AS INTEGER) AS has_MX, CAST(s_suppkey % 4 = 0 AS INTEGER) AS has_TXT, 300.0::DOUBLE AS ttl_min, (s_suppkey % 3 + 1) * 300.0::DOUBLE AS ttl_max, CASE s_suppkey % 3 WHEN 0 THEN 300.0::DOUBLE WHEN 1 THEN 450.0 ELSE 600.0 END AS ttl_mean, CASE s_suppkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 22500.0 ELSE 60000.0 END AS ttl_var, CASE WHEN s_suppkey % 2 = 0 THEN 10.0::DOUBLE ELSE -1.0 END AS mx_priority_min, CAST(s_suppkey % 3 + 1 AS INTEGER) AS num_distinct_ips, CAST(s_suppkey % 4 = 0 AS INTEGER) AS has_SPF FROM supplier",
     "registration_ages": "SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '2005-01-01 00:00:00') - epoch(o_orderdate)) / 86400) AS INTEGER) AS domain_age_days, 400 AS registration_length_days, CAST(o_orderkey % 2 = 0 AS INTEGER) AS has_privacy_protection FROM orders",

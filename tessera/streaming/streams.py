@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import relational
+from tessera.sources import workdir
 
 
 def files(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", max_files: int = 10, archive: str | None = None) -> DataFrame:
@@ -43,7 +44,8 @@ def windowed_counts(df: DataFrame, ts: str, key: str, width: str) -> DataFrame:
 def upsert_into(path: str, keys: list[str], order: list[str]):
     """A ``foreachBatch`` function that keeps the last row of each key under ``path``, one version folder for each batch.
 
-    A batch that is run again after a failure writes the same version again, so the result is the same.
+    A batch that is run again after a failure writes the same version again, so the result is the same. The version before stays for
+    that, and for readers; older ones are removed.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -52,6 +54,31 @@ def upsert_into(path: str, keys: list[str], order: list[str]):
         if batch_id > 0:
             merged = relational.upsert(spark.read.parquet(f"{path}/v={batch_id - 1}"), merged, keys, order)
         merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if batch_id > 1:
+            workdir.remove(spark, f"{path}/v={batch_id - 2}")
+
+    return apply
+
+
+def counting_batches(path: str, threshold: int, on_due=None):
+    """A ``foreachBatch`` function that counts rows and says when enough are new: one row of (batch, rows, processed, last, due) for each batch under ``path``.
+
+    ``processed`` and ``last`` (rows at the last retraining) come from the row of the batch before, so a restart goes on where it was. ``on_due`` is called
+    once a batch brings the rows since ``last`` to ``threshold``; a batch that is run again calls it again.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark, rows = batch.sparkSession, batch.count()
+        processed = last = 0
+        if batch_id > 0:
+            before = spark.read.parquet(f"{path}/batch={batch_id - 1}").first()
+            processed, last = before["processed"], before["last"]
+        processed += rows
+        due = processed - last >= threshold
+        if due and on_due:
+            on_due(processed)
+        state = spark.createDataFrame([(rows, processed, processed if due else last, due)], "rows long, processed long, last long, due boolean")
+        state.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return apply
 
@@ -86,3 +113,44 @@ def token_bucket(df: DataFrame, key: str, ts: str, rate: float, capacity: float)
 
     kind = df.schema[key].dataType.simpleString()
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def ttl_cache(df: DataFrame, key: str, ts: str, ttl: str = "24 hours") -> DataFrame:
+    """(key, ts, hit) for a stream of requests through a cache: a miss writes an entry that lives for ``ttl`` from then on, hits don't renew it.
+
+    The state of a key is the time of its entry. It is dropped when the watermark, which ``df`` must have on ``ts``, has passed the entry's end; requests
+    of one key are taken in time order within a batch.
+    """
+    life = pd.Timedelta(ttl)
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        entry = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(ts)
+        hits = []
+        for now in rows[ts]:
+            hit = entry is not None and now < entry + life
+            if not hit:
+                entry = now
+            hits.append(hit)
+        state.update((entry.value // 1000,))
+        state.setTimeoutTimestamp(max(int((entry + life).value // 10**6), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [keys[0]] * len(rows), ts: rows[ts], "hit": hits})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, hit boolean", "entry long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def retried(call, attempts: int = 3, wait: float = 1.0, sleep=None):
+    """``call()``, tried again after ``wait``, twice that, and so on; None when all attempts failed. For lookups of one partition, not for Spark's own tasks, which Spark retries."""
+    import time
+
+    for k in range(attempts):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001
+            if k + 1 < attempts:
+                (sleep or time.sleep)(wait * 2**k)
+    return None

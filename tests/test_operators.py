@@ -65,6 +65,73 @@ def test_token_bucket_stream(spark, tmp_path):
     assert spark.table("bucket").filter("allowed").count() == 3
 
 
+def test_retries_wait_longer_each_time():
+    from tessera.streaming import streams
+
+    waits, calls = [], []
+
+    def fails(n):
+        calls.append(n)
+        if len(calls) <= n:
+            raise OSError("not yet")
+        return "done"
+
+    assert streams.retried(lambda: fails(2), sleep=waits.append) == "done" and waits == [1.0, 2.0]
+    calls.clear()
+    assert streams.retried(lambda: fails(9), sleep=waits.append) is None and len(calls) == 3
+
+
+def test_models_and_metadata(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml import classification as C
+
+    from tessera.operators import lifecycle
+    from tessera.sources import workdir
+
+    df = models.assemble(spark.createDataFrame([([float(i), float(i % 3)], int(i > 5)) for i in range(12)], "x array<double>, label int"), array_col="x")
+    path = f"file://{tmp_path}/m"
+    model = Pipeline(stages=[C.LogisticRegression(maxIter=3)]).fit(df)
+    lifecycle.save_model(spark, model, path, ["b", "a"], version="v2.0.1", hyperparameters={"maxIter": 3}, notes="é")
+    loaded, meta, features = lifecycle.load_model(spark, path)
+    assert features == ["b", "a"] and meta["version"] == "v2.0.1" and meta["hyperparameters"] == {"maxIter": 3} and meta["notes"] == "é" and meta["threshold"] == 0.5
+    assert [r.prediction for r in loaded.transform(df).collect()] == [r.prediction for r in model.transform(df).collect()]
+    workdir.remove(spark, f"{path}/meta")
+    workdir.remove(spark, f"{path}/features")
+    _, meta, features = lifecycle.load_model(spark, path)
+    assert meta["version"] == "unknown" and meta["algorithm"] == "LogisticRegressionModel" and features == []
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    from tessera.functions import suffixes
+
+    (tmp_path / "rules.dat").write_text("// a comment\n\ncom\n*.ck  // wild\n!www.ck\nco.uk\nuk\n")
+    rules = suffixes.read_rules(spark, f"file://{tmp_path}/rules.dat")
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.com", "WWW.ck", "x.y.ck", "ck", "com", "unknown", "a.co.uk.", None)], "host string")
+    got = {r.host: (r.suffix, r.domain, r.subdomain) for r in suffixes.split_hosts(hosts, rules).collect()}
+    assert got == {"a.b.com": ("com", "b", "a"), "WWW.ck": ("ck", "www", ""), "x.y.ck": ("y.ck", "x", ""), "ck": ("", "ck", ""), "com": ("com", "", ""), "unknown": ("", "unknown", ""), "a.co.uk.": ("co.uk", "a", ""), None: (None, None, None)}
+
+
+def test_intermediate_folders(spark):
+    from tessera.sources import workdir
+
+    path = workdir.shared(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and path.startswith(workdir.application(spark))
+    workdir.remove(spark, path)
+    assert readers.optional_csv(spark, path, readers.URL_BATCH).count() == 0
+
+
+def test_files_are_archived(spark, tmp_path):
+    from tessera.streaming import streams
+
+    for k in range(3):
+        spark.range(k, k + 1).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    s = streams.files(spark, f"file://{tmp_path}/in", "id long", max_files=1, archive=f"file://{tmp_path}/done")
+    streams.run_available(s, f"file://{tmp_path}/log", foreachBatch=lambda batch, _: batch.write.mode("append").parquet(f"file://{tmp_path}/out"))
+    assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [0, 1, 2]
+    assert list((tmp_path / "done").rglob("*.parquet"))
+
+
 def test_ranks_equal_one_window(spark):
     from pyspark.sql import Window
 
