@@ -1,12 +1,13 @@
 """Nearest neighbours by inner product with vantage-point trees per shard.
 
 Inner product becomes a metric by one more coordinate: with R the largest norm, x is taken as (x, sqrt(R^2 - |x|^2)) and a
-query as (q, 0), and the squared distance is |q|^2 + R^2 - 2 q.x. Each shard of a bounded number of rows holds a
+query as (q, 0), and the squared distance is |q|^2 + R^2 - 2 q.x. Rows go to the nearest of some sampled pivots, and each pivot's cell
+is cut into shards of a bounded number of rows. A shard holds a
 tree over its distinct vectors; a node keeps the ranges of distances from its vantage point to both halves. A half is
 searched only if the triangle inequality leaves room for something nearer than ``factor`` times the distance to the
-worst of the nearest found so far. A factor of one prunes only what cannot be nearer, so the search is exact; a smaller
-one searches less. All rows are indexed. Blocks of queries meet every shard; a query's finds from
-all shards are merged by a window per query.
+worst of the nearest found so far. Cells are left out by the same rule: a block of queries searches one shard of its own cell
+first, and what it finds there bounds its search of all others. A factor of one prunes only what cannot be nearer, so the search is exact; a smaller
+one searches less. All rows are indexed. A query's finds from all shards are merged by a window per query.
 
 Defined cases: rows with a null id, and vectors that are null, zero, hold null or non-finite components or have another
 length than most, take no part, as queries and as candidates. Equal vectors share one place in a tree and come out by smaller id. A
@@ -31,6 +32,10 @@ LEAF = 128
 SLACK = 8
 #: Of the registered query: exact. Smaller factors search less; see the README for the recall measured.
 FACTOR = 1.0
+#: Cells that rows are dealt to; their pivots and ranges are what tasks receive.
+MAX_CELLS = 1024
+#: What rounding may add to a distance that bounds the search of another shard.
+ROUNDING = 1e-6
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -71,8 +76,14 @@ def build(ids: np.ndarray, vectors: np.ndarray, radius2: float) -> dict[str, np.
     return {"x": x, "ids": ids, "first": first, "places": places, "nodes": table}
 
 
-def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray, radius2: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of the nearest found in one shard, ``k`` at most for each query."""
+def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray, radius2: float, k: int, factor: float, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, id, score) of the nearest found in one shard, ``k`` at most for each query, and how many vectors were compared with queries.
+
+    ``limit``: distances beyond which nothing can be among a query's nearest.
+    """
+    visited = 0
+    if limit is None:
+        limit = np.full(len(queries), np.inf)
     x, places, nodes = tree["x"].astype(np.float64), tree["places"], tree["nodes"]
     width = k + 1 + SLACK
     best, at = np.full((len(queries), width), -np.inf), np.full((len(queries), width), -1)
@@ -82,14 +93,17 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray
         return np.sqrt(np.maximum(norms[rows] + radius2 - 2 * products, 0))
 
     def worst(rows):
-        return np.where(np.isinf(low := best[rows].min(1)), np.inf, distance(rows, np.where(np.isinf(low), 0, low)))
+        found = np.where(np.isinf(low := best[rows].min(1)), np.inf, distance(rows, np.where(np.isinf(low), 0, low)))
+        return np.minimum(found, limit[rows])
 
     def visit(n, rows):
+        nonlocal visited
         begin, end, inner, outer, vantage = nodes[n, :5].astype(np.int64)
         if not len(rows):
             return
         if inner < 0:
             mine = places[begin:end]
+            visited += len(rows) * len(mine)
             scores = np.concatenate([best[rows], queries[rows] @ x[mine].T], axis=1)
             who = np.concatenate([at[rows], np.broadcast_to(mine, (len(rows), len(mine)))], axis=1)
             top = np.argpartition(-scores, width - 1, axis=1)[:, :width]
@@ -121,7 +135,7 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray
     order = np.lexsort((ids, -score, q))
     q, ids, score = q[order], ids[order], score[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[rank < k], ids[rank < k], score[rank < k]
+    return q[rank < k], ids[rank < k], score[rank < k], visited
 
 
 def usable(vector: Column) -> Column:
@@ -129,47 +143,108 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of ``vectors`` where ``is_query`` holds, against all rows but the query's own id."""
+def distances(queries: np.ndarray, points: np.ndarray, radius2: float) -> np.ndarray:
+    """Of each query (q, 0) to each point (x, sqrt(R^2 - |x|^2))."""
+    return np.sqrt(np.maximum((queries * queries).sum(1)[:, None] + radius2 - 2 * queries @ points.T, 0))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 2048, with_visits: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows of ``vectors`` where ``is_query`` holds, against all rows but the query's own id.
+
+    ``with_visits``: instead, (visited), how many comparisons each search of a shard made.
+    """
+    spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("is_query")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    shape = own.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q"), F.max(size).alias("r2")).orderBy(F.desc("n"), "d").first()
-    d, n, n_queries, radius2 = (shape["d"], shape["n"], shape["q"], float(shape["r2"])) if shape else (1, 0, 0, 1.0)
+    shape = own.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("r2")).orderBy(F.desc("n"), "d").first()
+    d, n, radius2 = (shape["d"], shape["n"], float(shape["r2"])) if shape else (1, 0, 1.0)
     own = own.filter(F.size("v") == d)
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / block_rows))
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
     dtype = np.float32 if kind == "float" else np.float64
+    cells = max(1, min(MAX_CELLS, math.ceil(n / shard_rows)))
+    sampled = own.orderBy(F.xxhash64("id"), "id").limit(cells).select("v").collect()  # MAX_CELLS at most
+    pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in sampled], np.float64).reshape(-1, d))
 
-    def arrays(table: pa.Table):
-        flat = table.column("v").combine_chunks()
+    def rows_of(column) -> np.ndarray:
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         flat = flat.flatten() if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])
-        return table.column("id").to_numpy(), flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, d)
+        return flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, d)
+
+    def deal(batches):
+        centres = pivots.value
+        tall = np.sqrt(np.maximum(radius2 - (centres * centres).sum(1), 0))
+        for batch in batches:
+            x = rows_of(batch.column("v")).astype(np.float64)
+            high = np.sqrt(np.maximum(radius2 - (x * x).sum(1), 0))
+            away = np.sqrt(np.maximum(2 * radius2 - 2 * (x @ centres.T + high[:, None] * tall), 0))
+            cell = away.argmin(1)
+            yield {"id": batch.column("id"), "v": batch.column("v"), "is_query": batch.column("is_query"), "cell": cell, "away": away[np.arange(len(x)), cell], "home": distances(x, centres, radius2).argmin(1)}
+
+    dealt = materialise(map_batches(own.select("id", "v", F.coalesce("is_query", F.lit(False)).alias("is_query")), deal, f"id long, v array<{kind}>, is_query boolean, cell long, away double, home long"), "vp-rows") if sampled else own.select("id", "v", "is_query", *(F.lit(0).cast(t).alias(c) for c, t in (("cell", "long"), ("away", "double"), ("home", "long"))))
+    ranges = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect()}  # a row per cell
+    asked = {r["home"]: r["n"] for r in dealt.filter("is_query").groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    low, high = (np.array([ranges[c][side] if c in ranges else np.nan for c in range(cells)]) for side in ("low", "high"))
+
+    def part(key: str, sizes: dict[int, int], rows: int, salt: int) -> Column:
+        """Number of a row's part of its cell; hashed ids spread evenly, so a part has about ``rows``."""
+        parts = F.array(*(F.lit(math.ceil(sizes.get(c, 1) / rows)) for c in range(cells)))
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.get(parts, F.col(key).cast("int")).cast("long"))
 
     def plant(table: pa.Table) -> pa.Table:
-        ids, x = arrays(table)
-        return pa.table({"shard": table.column("shard")[:1].cast(pa.int64()), "tree": pa.array([pack(**build(ids, x, radius2))], pa.binary())})
+        tree = pack(**build(table.column("id").to_numpy(), rows_of(table.column("v")), radius2))
+        return pa.table({"cell": table.column("cell")[:1].cast(pa.int64()), "shard": table.column("shard")[:1].cast(pa.int64()), "tree": pa.array([tree], pa.binary())})
 
     def bundle(table: pa.Table) -> pa.Table:
-        ids, x = arrays(table)
-        return pa.table({"block": table.column("block")[:1].cast(pa.int64()), "queries": pa.array([pack(ids=ids, x=x)], pa.binary())})
+        return pa.table({"home": table.column("home")[:1].cast(pa.int64()), "queries": pa.array([pack(ids=table.column("id").to_numpy(), x=rows_of(table.column("v")))], pa.binary())})
 
-    # hashed ids spread evenly, so a group has about shard_rows or block_rows rows
-    trees = own.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(plant, "shard long, tree binary")
-    bundles = own.filter("is_query").select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).alias("block")).groupBy("block").applyInArrow(bundle, "block long, queries binary")
-    trees, bundles = materialise(trees, "vp-trees"), materialise(bundles, "vp-queries")
-    # the stated queries, in blocks, go to each shard
-    pairs = bundles.select("queries", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")).join(trees, "shard")
+    shards = dealt.select("id", "v", "cell", part("cell", {c: r["n"] for c, r in ranges.items()}, shard_rows, 0).alias("shard"))
+    trees = materialise(shards.groupBy("cell", "shard").applyInArrow(plant, "cell long, shard long, tree binary"), "vp-trees")
+    blocks = dealt.filter("is_query").select("id", "v", "home", part("home", asked, block_rows, 1).alias("block"))
+    bundles = materialise(blocks.groupBy("home", "block").applyInArrow(bundle, "home long, queries binary"), "vp-queries")
 
-    def run(batches):
+    def first(batches):
+        """A block's finds in one shard of its own cell, and what is left to search: its queries with their bounds, for each cell that may hold nearer ones."""
+        for batch in batches:
+            for home, tree, block in zip(*(batch.column(c).to_pylist() for c in ("home", "tree", "queries")), strict=True):
+                asked_ = dict(np.load(io.BytesIO(block)))
+                x, ids = asked_["x"].astype(np.float64), asked_["ids"]
+                limit = np.full(len(ids), np.inf)
+                if tree is not None:
+                    q, near, score, visited = search(dict(np.load(io.BytesIO(tree))), x, ids, radius2, k, factor)
+                    yield {"cell": [None], "done": [None], "queries": [None], "query_id": [ids[q]], "vec_id": [near], "score": [score], "visited": [visited]}
+                    full = np.bincount(q, minlength=len(ids)) >= k
+                    last = np.searchsorted(q, np.arange(len(ids)), "right") - 1
+                    limit[full] = distances_of(x[full], score[last[full]], radius2)
+                away = distances(x, pivots.value, radius2)
+                gap = np.maximum(np.maximum(away - high, low - away), 0)
+                for cell in np.flatnonzero(~np.isnan(low)):
+                    some = np.flatnonzero(gap[:, cell] <= factor * limit + ROUNDING)
+                    if len(some):
+                        yield {"cell": [cell], "done": [cell == home and tree is not None], "queries": [pack(ids=ids[some], x=asked_["x"][some], limit=limit[some])], "query_id": [None], "vec_id": [None], "score": [None], "visited": [None]}
+
+    def others(batches):
         for batch in batches:
             for tree, block in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                held, asked = (dict(np.load(io.BytesIO(b.as_py()))) for b in (tree, block))
-                q, ids, score = search(held, asked["x"].astype(np.float64), asked["ids"], radius2, k, factor)
-                yield {"q": asked["ids"][q], "v": ids, "s": score}
-
-    found = map_batches(pairs.select("tree", "queries"), run, "query_id long, vec_id long, score double")
+                held, asked_ = (dict(np.load(io.BytesIO(b.as_py()))) for b in (tree, block))
+                q, near, score, visited = search(held, asked_["x"].astype(np.float64), asked_["ids"], radius2, k, factor, asked_["limit"] + ROUNDING)
+                yield {"query_id": [asked_["ids"][q]], "vec_id": [near], "score": [score], "visited": [visited]}
+
+    finds = "query_id array<long>, vec_id array<long>, score array<double>, visited long"
+    started = bundles.join(trees.filter("shard = 0").select(F.col("cell").alias("home"), "tree"), "home", "left")
+    begun = materialise(map_batches(started.select("home", "tree", "queries"), first, f"cell long, done boolean, queries binary, {finds}"), "vp-begun")
+    # a shard is one row and so is a block, so rows are dealt one by one, not by their bytes
+    pairs = begun.filter("cell IS NOT NULL").select("cell", "done", "queries").join(trees, "cell").filter(~(F.col("done") & (F.col("shard") == 0)))
+    pairs = pairs.select("tree", "queries").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = begun.filter("visited IS NOT NULL").select("query_id", "vec_id", "score", "visited").unionByName(map_batches(pairs, others, finds))
+    if with_visits:
+        return found.select("visited")
+    each = found.select(F.inline(F.arrays_zip("query_id", "vec_id", "score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def distances_of(queries: np.ndarray, products: np.ndarray, radius2: float) -> np.ndarray:
+    return np.sqrt(np.maximum((queries * queries).sum(1) + radius2 - 2 * products, 0))
 
 
 def op5_vptree(spark, sf_dir: str) -> DataFrame:
@@ -177,7 +252,9 @@ def op5_vptree(spark, sf_dir: str) -> DataFrame:
     return nearest(vectors, F.col("vec_id") % 20 == 0, k=20, factor=FACTOR)
 
 OP5_SQL = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM a WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+v AS (SELECT * FROM u WHERE len(e) = (SELECT len(e) FROM u GROUP BY len(e) ORDER BY count(*) DESC, len(e) LIMIT 1)),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0

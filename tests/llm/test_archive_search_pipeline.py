@@ -98,6 +98,25 @@ def test_vptree_is_exact_at_factor_one(spark):
     assert vptree.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_vptree_leaves_out_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (12, 16))
+    x = (centres[rng.integers(0, 12, 3000)] + rng.normal(0, 0.05, (3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    asked, wide = np.arange(0, 3000, 20), x.astype(np.float64)
+    for factor, least, most in ((1.0, 1.0, 0.5), (0.9, 0.9, 0.5)):
+        got = vptree.nearest(df, F.col("vec_id") % 20 == 0, k=10, factor=factor, shard_rows=250, block_rows=64)
+        found = {(r.query_id, r.vec_id) for r in got.collect()}
+        exact = set()
+        for q in asked:
+            scores = wide @ wide[q]
+            scores[q] = -np.inf
+            exact |= {(int(q), int(i)) for i in np.lexsort((np.arange(3000), -scores))[:10]}
+        assert len(found & exact) >= least * len(exact)
+        visited = vptree.nearest(df, F.col("vec_id") % 20 == 0, k=10, factor=factor, shard_rows=250, block_rows=64, with_visits=True).agg(F.sum("visited")).first()[0]
+        assert visited <= most * len(asked) * 3000, visited / len(asked) / 3000
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
