@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,33 +10,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import workdir
+from tessera.sources.workdir import materialise as materialise  # noqa: PLC0414
+
 #: ``[\x20\x09-\x0D]``, what ``bytes.split()`` and ``bytes.strip()`` also treat as white space.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where it is unset, as in local tests, a temporary folder becomes the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there."""
-    path = work_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A new path in the application's folder below ``spark.checkpoint.dir``."""
+    return workdir.shared(spark, name)
 
 
 def as_bytes(column: Column) -> Column:
