@@ -140,3 +140,36 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_pipeline_of_hard_rows(spark, tmp_path):
+    """Nulls in all columns, repeated rows, ties, a very long text, and columns whose names the operators use."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    item, near = text(40), text(120).split()
+    rows = [(i, f"{text(60)}\nThe SAME line\n{text(20)}") for i in range(12)]
+    rows += [(20, None), (21, ""), (None, text(30)), (None, None), (22, "x" * 200_000), (23, text(60_000)), (24, f"a {item} b"), (25, " ".join(near)), (26, " ".join([*near[:-1], "other"])), (27, " ".join(near))]
+    rows += [rows[3], rows[3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, n_dropped string, score double, component_id long, ids long, kept binary"
+    own = (7, "mine", 0.5, 1, 2, b"k")
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", None, None if t is None else len(t), *(own if k % 3 else (None,) * 6)) for k, (i, t) in enumerate(rows)], schema)
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"file://{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(None, 1, 1), (25, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"file://{sf}/labels.parquet")
+    sf = f"file://{sf}"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, sf).write.parquet(f"{sf}/out-{name}")
+        before, docs = docs, spark.read.parquet(f"{sf}/out-{name}")
+        assert docs.dtypes == before.dtypes
+        if name == "line_dedup":
+            # one of thirteen occurrences stays, and the other columns are as they were
+            assert docs.filter("text LIKE '%SAME%'").select("doc_id").distinct().count() == 1
+            others = [c for c in docs.columns if c not in ("text", "n_chars")]
+            assert Counter(map(tuple, docs.select(others).collect())) == Counter(map(tuple, before.select(others).collect()))
+            assert docs.filter("n_chars <> length(text)").count() == 0
+    kept = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    # of equal and near texts the smallest id stays (rows that repeat it with it, as those of no id), the benchmark's holder goes; empty texts are copies of one another
+    assert kept == Counter([*range(12), 3, 3, 20, 22, 23, 25, None, None])
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in out) == kept and all(r.n_tokens == len(r.ids) for r in out)

@@ -177,11 +177,14 @@ def test_simhash_components(docs):
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
-    found = components.connected_components(spark.createDataFrame([*chain, *star, (5, 5)], "a long, b long")).collect()
-    roots = defaultdict(set)
-    for r in found:
-        roots[r.root].add(r.node)
-    assert sorted(map(len, roots.values())) == [200, 301]
+    links = spark.createDataFrame([*chain, *star, (5, 5)], "a long, b long").repartition(6)
+    # in one task, and over rounds of many
+    for local in (components.LOCAL, 60):
+        roots = defaultdict(set)
+        for r in components.connected_components(links, local).collect():
+            roots[r.root].add(r.node)
+        assert sorted(map(len, roots.values())) == [200, 301]
+    assert components.connected_components(links.limit(0)).count() == 0
 
 
 def test_bpe_equals_library(docs):
