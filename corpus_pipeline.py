@@ -25,12 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a line found in ten documents or more, the first occurrence stays."""
-    out = line_dedup.dedup_lines(docs, min_docs=10, keep_first=True)
+    # columns of documents that have the names of the operator's counts step aside
+    aside = {c: f"__own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(aside), min_docs=10, keep_first=True).drop("n_lines", "n_dropped")
+    out = out.withColumnsRenamed({v: k for k, v in aside.items()})
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of smallest id: all pairs whose sets of five-word shingles have similarity 0.8."""
+    """One document of each group stays, that of smallest id: SimHash links by Golay keys, completed to all pairs whose sets of five-word shingles have similarity 0.8."""
     return shingle_join.keep_one(docs, n=5, threshold=0.8)
 
 
