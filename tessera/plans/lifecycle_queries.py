@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import suffixes
 from tessera.functions import url as U
-from tessera.operators import composites, ensembles, lifecycle, models, relational
+from tessera.operators import composites, ensembles, lifecycle, models, relational, samplers
 from tessera.plans.stream_queries import vectors
 from tessera.plans.table_queries import scored, t, variants
 from tessera.sources import workdir
@@ -97,6 +100,26 @@ def version_bump(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", lifecycle.next_version(name).alias("version"))
 
 
+def dimension_samples(spark, sf_dir):
+    """Rows of each group of the six dimensions for a thousand rows each, and whether all look as they should."""
+    parts = [samplers.sample(spark, d, 1000) for d in DIMENSIONS]
+    rows = reduce(DataFrame.unionByName, parts)
+    good = F.col("url").rlike("^[a-z0-9-]+:") & ~F.col("url").rlike("[{}]")
+    return rows.groupBy("dimension", "group").agg(F.count(F.lit(1)).alias("n"), F.bool_and(good).alias("good"), F.max("label").alias("label"))
+
+
+DIMENSIONS = ["protocol", "category", "tld", "region", "structure", "attack_type"]
+#: (dimension, group, rows of a thousand, label), worked out by hand from the shares.
+_GROUPS = """
+protocol chrome-extension 100, protocol moz-extension 50, protocol edge-extension 30, protocol chrome 30, protocol about 20, protocol file 30, protocol custom 50, protocol mobile 50, protocol http 400, protocol https 300, protocol other 20,
+category top_sites 150, category government 50, category education 50, category healthcare 30, category news_media 80, category ecommerce 120, category finance 50, category cloud_saas 80, category developer 50, category social_media 80, category entertainment 50, category travel 30, category local_business 80, category international 100,
+tld generic_top 500, tld country_codes 250, tld modern_gtlds 150, tld free_abuse 50, tld industry 30, tld branded 20,
+region north_america 250, region western_europe 150, region eastern_europe 100, region east_asia 150, region south_asia 100, region southeast_asia 80, region middle_east 50, region africa 50, region latin_america 50, region oceania 20,
+structure short 200, structure long 200, structure complex_query 200, structure port 100,
+attack_type banking_credential 250, attack_type social_media 150, attack_type cloud_storage 150, attack_type ecommerce 100, attack_type crypto 100, attack_type shipping 80, attack_type government 70, attack_type tech_support 50, attack_type invoice_fraud 30, attack_type generic 20
+"""
+_VALUES = ", ".join("('{}', '{}', CAST({} AS BIGINT))".format(*g.split()) for g in _GROUPS.replace("\n", " ").split(","))
+
 _HOSTS = "SELECT page_id, CAST(page_id % 7 AS INTEGER) AS k FROM pages"
 _DIV = (
     "WITH p AS (SELECT url, page_id, CASE WHEN regexp_extract(url, '^([a-z-]+)://', 1) = '' THEN 'http' ELSE regexp_extract(url, '^([a-z-]+)://', 1) END AS protocol, nullif(regexp_extract(url, '[.]([a-z]{2,})(?:/|:|$)', 1), '') AS tld, nullif(regexp_extract(url, '://(?:www[.])?([^/:]+)', 1), '') AS domain FROM pages), "
@@ -124,6 +147,7 @@ SQL = {
     "l AS (SELECT wa, wb, wc, avg(-(toxic * ln(r) + (1 - toxic) * ln(1 - r))) AS log_loss, avg((r - toxic) ** 2) AS brier, -avg(CAST((r >= 0.5) = (toxic = 1) AS INTEGER)) AS neg_accuracy, -coalesce(2.0 * count(*) FILTER (WHERE toxic = 1 AND r >= 0.5) / nullif(2 * count(*) FILTER (WHERE toxic = 1 AND r >= 0.5) + count(*) FILTER (WHERE toxic = 0 AND r >= 0.5) + count(*) FILTER (WHERE toxic = 1 AND r < 0.5), 0), 0) AS neg_f1 FROM q GROUP BY wa, wb, wc), "
     "u AS (UNPIVOT l ON log_loss, brier, neg_accuracy, neg_f1 INTO NAME loss VALUE value), k AS (SELECT loss, round(value, 6) AS value, wa, wb, wc, row_number() OVER (PARTITION BY loss ORDER BY round(value, 6), wa, wb, wc) AS rn FROM u) SELECT loss, value, wa, wb, wc FROM k WHERE rn = 1",
     "diversity_overall": _DIV,
+    "dimension_samples": f"SELECT dimension, \"group\", n, true AS good, CASE WHEN dimension = 'attack_type' OR \"group\" = 'free_abuse' THEN 'phishing' ELSE 'legitimate' END AS label FROM (VALUES {_VALUES}) AS v(dimension, \"group\", n)",
     "version_bump": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'v1.0.0' ELSE 'v1.' || o_orderkey % 3 || '.' || (o_orderkey % 11 + 1) END AS version FROM orders",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -132,6 +132,17 @@ def test_files_are_archived(spark, tmp_path):
     assert list((tmp_path / "done").rglob("*.parquet"))
 
 
+def test_collection_is_the_same_each_time(spark):
+    from tessera.operators import samplers
+
+    a, b = (rows(samplers.collect(spark, 2000).repartition(n)) for n in (1, 5))
+    assert a == b and len({r[0] for r in a}) == len(a)
+    made = sum(samplers.sample(spark, d, n).count() for d, n in (("protocol", 200), ("category", 800), ("tld", 200), ("region", 200), ("structure", 200), ("attack_type", 1200)))
+    assert 0.8 * made < len(a) <= made
+    assert {r[1] for r in a} == {"legitimate", "phishing"}
+    assert rows(samplers.sample(spark, "tld", 300, seed=1)) != rows(samplers.sample(spark, "tld", 300, seed=2))
+
+
 def test_ranks_equal_one_window(spark):
     from pyspark.sql import Window
 
