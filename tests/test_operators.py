@@ -143,6 +143,51 @@ def test_collection_is_the_same_each_time(spark):
     assert rows(samplers.sample(spark, "tld", 300, seed=1)) != rows(samplers.sample(spark, "tld", 300, seed=2))
 
 
+def test_sinks_and_small_readers(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, g string")
+    sinks.write_table(df, f"{base}/t", partition_by=["g"])
+    sinks.write_table(df, f"{base}/t", append=True, partition_by=["g"])
+    assert spark.read.parquet(f"{base}/t").count() == 4
+    sinks.write_report(df, f"{base}/r")
+    assert rows(readers.state(spark, f"{base}/r", "id int, g string").filter("id IS NOT NULL"))[0] == (1, "a")
+    out = sinks.write_version(df, f"{base}/m", "v1.0.0")
+    assert rows(spark.read.parquet(out)) == [(1, "a"), (2, "b")]
+    try:
+        sinks.write_version(df, f"{base}/m", "v1.0.0")
+        raise AssertionError("a version was overwritten")
+    except Exception as e:
+        assert "already exists" in str(e)
+    (tmp_path / "ranked.csv").write_text("1,a.example\n2,b.example\n")
+    assert rows(readers.ranked_domains(spark, f"{base}/ranked.csv")) == [(1, "https://a.example"), (2, "https://b.example")]
+    (tmp_path / "feed.txt").write_text("  http://a  \n\n# note\nhttp://b\n")
+    assert rows(readers.parse_feed(readers.lines(spark, f"{base}/feed.txt"), "plain", "f")) == [("http://a", "phishing", "f"), ("http://b", "phishing", "f")]
+    (tmp_path / "bad.csv").write_text("url,label,source\nhttp://a,phishing,f\nhttp://b\n")
+    assert readers.csv(spark, f"{base}/bad.csv", readers.URL_BATCH, skip_bad_lines=True).collect()[0].url == "http://a"
+
+
+def test_relational_table_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(20).selectExpr("CAST(id AS INT) AS ID", "CAST(id * 2 AS INT) AS V").write.format("jdbc").options(url=url, dbtable="T", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    got = readers.jdbc(spark, url, "T", "ID", 0, 20, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.rdd.getNumPartitions() == 4 and rows(got) == [(i, 2 * i) for i in range(20)]
+
+
+def test_small_rules(spark):
+    from tessera.functions import columns, labels, score
+    from tessera.operators import generate
+
+    df = spark.createDataFrame([(1, -2.0, "['a', 'b']", "x"), (2, 3.0, "[]", None)], "id int, v double, l string, t string")
+    assert rows(relational.align(df, ["v", "missing", "id"], -1.0)) == [(-2.0, -1.0, 1), (3.0, -1.0, 2)]
+    assert rows(df.select(columns.clipped(F.col("v")))) == [(0.0,), (3.0,)]
+    assert rows(labels.list_columns_to_counts(df.select("id", "l", "t"), ["l", "t"]).select("id", "l")) == [(1, 2), (2, 0)]
+    a, b = df.select(*(w.alias(n) for w, n in zip(score.inverse_error_weights([F.lit(0.099), F.lit(0.299)]), "ab", strict=True))).first()
+    assert abs(a - 0.75) < 1e-9 and abs(b - 0.25) < 1e-9
+    urls = generate.sample_expanded(spark, ["a.example", "b.example"], ["https://{d}", "https://{d}/x"], 3, "legitimate")
+    assert urls.count() == 3 and urls.select("url").distinct().count() == 3
+    assert rows(relational.left_with_suffix(df.select("id", "v"), df.select("id", "v"), "id")) == [(1, -2.0, -2.0), (2, 3.0, 3.0)]
+
+
 def test_ranks_equal_one_window(spark):
     from pyspark.sql import Window
 
