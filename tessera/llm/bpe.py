@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -99,23 +100,19 @@ class Bpe:
         self.decimal = [b"%d" % i for i in range(size)]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.right_ends: dict[int, list[int]] = {}
-        self.left_ends: dict[int, list[int]] = {}
-
-    def spines(self, a: int, b: int) -> tuple[list[int], list[int]]:
-        """The symbols that stand at the right end of token ``a`` and at the left end of ``b`` one after the other while the merges build them."""
-        right, left = self.right_ends.get(a), self.left_ends.get(b)
-        if right is None:
-            right = [a]
-            while (child := self.split[right[-1]][1]) != right[-1]:
-                right.append(child)
-            right = self.right_ends[a] = right[::-1]
-        if left is None:
-            left = [b]
-            while (child := self.split[left[-1]][0]) != left[-1]:
-                left.append(child)
-            left = self.left_ends[b] = left[::-1]
-        return right, left
+        self.ends: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        #: Whether two tokens may stand side by side.
+        self.fits: dict[int, bool] = {}
+
+    def spine(self, token: int, side: int) -> list[int]:
+        """The symbols that stand at one end of a token (0: left, 1: right) one after the other while the merges build it, and ``NEVER``."""
+        found = self.ends[side].get(token)
+        if found is None:
+            found, at = [NEVER, token], token
+            while (child := self.split[at][side]) != at:
+                found.append(at := child)
+            found = self.ends[side][token] = found[::-1]
+        return found
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges, in their order, leave a and b side by side.
@@ -123,20 +120,21 @@ class Bpe:
         They don't if two symbols that meet at the border merge before either is used up on its own side. Of
         merges of one rank the left one comes first, so the right symbol may be due at the same rank.
         """
-        right, left = self.spines(a, b)
-        i = j = 0
+        right, left, pair = self.spine(a, 1), self.spine(b, 0), self.pair
+        i = j = 1
+        x, y, used_x, used_y = right[0], left[0], right[1], left[1]
         while True:
-            used_right = right[i + 1] if i + 1 < len(right) else NEVER
-            used_left = left[j + 1] if j + 1 < len(left) else NEVER
-            merged = self.pair.get(right[i] << 32 | left[j], NEVER)
-            if merged < used_right and merged <= used_left:
+            merged = pair.get(x << 32 | y)
+            if merged is not None and merged < used_x and merged <= used_y:
                 return False
-            if used_right == used_left == NEVER:
-                return True
-            if used_right <= used_left:
+            if used_x <= used_y:
+                if used_x == NEVER:
+                    return True
                 i += 1
+                x, used_x = used_x, right[i]
             else:
                 j += 1
+                y, used_y = used_y, left[j]
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece, given as byte symbols."""
@@ -149,10 +147,16 @@ class Bpe:
         # matches come by their end, so the last one that starts at a place is the longest there
         for end, token in self.trie.iter(word):
             longest[end + 1 - length[token]] = token
-        open_at, tokens, at, token = [True] * (n + 1), [], 0, longest[0]
+        open_at, tokens, at, token, fits = [True] * (n + 1), [], 0, longest[0], self.fits
         while token >= 0:
-            end = at + length[token]
-            if open_at[end] and (not tokens or self.compatible(tokens[-1], token)):
+            end, good = at + length[token], True
+            if tokens and open_at[end]:
+                good = fits.get(both := tokens[-1] << 32 | token)
+                if good is None:
+                    if len(fits) >= CACHE:
+                        fits.clear()
+                    good = fits[both] = self.compatible(tokens[-1], token)
+            if good and open_at[end]:
                 tokens.append(token)
                 at, token = end, longest[end]
             elif prefix[token] >= 0:
@@ -186,16 +190,19 @@ class Bpe:
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        known, found = self.known, []
-        for stretch in text.split(" "):
-            ids = known.get(stretch)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = np.array(self.encode_stretch(stretch), np.uint32).tobytes()
-                if len(stretch) <= 64:
-                    known[stretch] = ids
-            found.append(ids)
+        known, stretches = self.known, text.split(" ")
+        found = list(map(known.get, stretches))
+        if None in found:
+            if len(known) >= CACHE:
+                known.clear()
+            for i, stretch in enumerate(stretches):
+                if found[i] is None:
+                    ids = known.get(stretch)
+                    if ids is None:
+                        ids = array("I", self.encode_stretch(stretch)).tobytes()
+                        if len(stretch) <= 64:
+                            known[stretch] = ids
+                    found[i] = ids
         return np.frombuffer(b"".join(found), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
