@@ -1,13 +1,18 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered join.
+"""The pipeline's near-duplicates: SimHash links by Golay keys, verified, and completed by an exact Jaccard join of word shingles.
 
-Texts with equal shingle sets are collapsed first. Shingles have one order over the whole corpus: those that a once/twice
+Texts with equal shingle sets are collapsed first. Each set has a fingerprint of its shingles, and the Golay keys of
+``simhash`` find the fingerprints within three bits; such a pair of sets is a link if it reaches the similarity ``t``. Fingerprints
+within three bits are too near to find most pairs at 0.8 (they differ in ten bits on average), so a prefix-filtered join completes the links.
+
+Shingles have one order over the whole corpus: those that a once/twice
 filter shows to be in one row only, then the others by the power of two of their estimated count, then by hash. Two
 sets of similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` shingles of each, so these are the keys; keys of one row
 only meet nothing and are not written. Sizes of filter and counts change what is written, never what is found.
 
-Sets that share a key are compared in two rounds. Each is first compared with one pivot of the key; groups of copies become
-components by that alone. Then all pairs of a key that are still in different components, and that lengths and places of the
-key allow, are compared. Every comparison counts the common shingles of the two sets, so the components are
+Where sets that share keys make too many pairs, they are compared in rounds. In each, every set is compared with some pivots of the key, and what
+is similar becomes one component; groups of near copies need few rounds. When few pairs are left (or pivots find nothing
+more), each set outside its key's largest component is compared with all others that lengths and places of the
+key allow. Every comparison counts the common shingles of the two sets, so the components are
 those of all pairs that reach the similarity.
 
 Defined cases: case is that of ASCII, words are parted by ASCII white space. A text of fewer words than a shingle is one shingle;
@@ -21,9 +26,10 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm.common import as_bytes, map_batches, materialise, pack_bits, power_of_two, unpack_bits
 from tessera.llm.components import connected_components
 from tessera.llm.repeat_filter import build, gather, suspected
@@ -31,6 +37,8 @@ from tessera.llm.repeat_filter import build, gather, suspected
 SEED = 42
 #: Cells of the estimated counts.
 HEAT = 1 << 20
+#: Rounds of comparisons with pivots, pivots of a key in each, and the open pairs for each key of a set that are few enough to compare them all.
+ROUNDS, PIVOTS, FEW = 4, 32, 32
 U = np.uint64
 
 
@@ -69,20 +77,21 @@ def needed(n: int, threshold: float) -> int:
 
 
 def sets_of_rows(source: DataFrame, id_type: str, n: int) -> DataFrame:
-    """(doc_id, sid) of each row, and for each task a row with ``heat``, its counts of shingles by cell."""
+    """(doc_id, sid, fp) of each row, and for each task a row with ``heat``, its counts of shingles by cell."""
 
     def run(batches):
         heat = np.zeros(HEAT, U)
         for batch in batches:
-            found = []
+            found, prints = [], []
             for text in batch.column("__text").to_pylist():
                 mine = shingles(text, n)
                 found.append(set_id(mine))
+                prints.append(simhash.majority(mine))
                 np.add.at(heat, cells(mine), U(1))
-            yield {"doc_id": batch.column("__id"), "sid": found, "heat": [None] * len(found)}
-        yield {"doc_id": [None], "sid": [None], "heat": [pack_bits(heat)]}
+            yield {"doc_id": batch.column("__id"), "sid": found, "fp": np.array(prints, U).view(np.int64), "heat": [None] * len(found)}
+        yield {"doc_id": [None], "sid": [None], "fp": [None], "heat": [pack_bits(heat)]}
 
-    return materialise(map_batches(source, run, f"doc_id {id_type}, sid binary, heat binary"), "shingle-sets")
+    return materialise(map_batches(source, run, f"doc_id {id_type}, sid binary, fp long, heat binary"), "shingle-sets")
 
 
 def estimated(rows: DataFrame) -> np.ndarray:
@@ -125,46 +134,95 @@ def keyed_sets(source: DataFrame, n: int, threshold: float, twice, heat) -> Data
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the similarity."""
+    """(x, y) of those of ``pairs`` (a, b, x, y) whose sets a and b reach the similarity."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "p", "q")), strict=True):
+            x, y = [], []
+            for *ends, p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "p", "q")), strict=True):
                 p, q = np.frombuffer(p, U), np.frombuffer(q, U)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 if common >= threshold * (len(p) + len(q) - common) - 1e-9:
-                    a.append(x)
-                    b.append(y)
-            yield {"a": a, "b": b}
+                    x.append(ends[0])
+                    y.append(ends[1])
+            yield {"a": x, "b": y}
 
     own = sets.select("sid", "hashes")
     left = pairs.join(own.select(F.col("sid").alias("a"), F.col("hashes").alias("p")), "a")
     both = left.join(own.select(F.col("sid").alias("b"), F.col("hashes").alias("q")), "b")
-    return materialise(map_batches(both.select("a", "b", "p", "q"), run, "a binary, b binary"), "similar")
+    return materialise(map_batches(both.select("x", "y", "p", "q"), run, "a binary, b binary"), "similar")
+
+
+def golay_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of sets whose fingerprints differ in three bits at most; sets of one fingerprint meet in its smallest."""
+    prints = materialise(rows.select("sid", "fp").distinct(), "prints")
+    smallest = prints.groupBy("fp").agg(F.min("sid").alias("a"))
+    same = prints.join(smallest, "fp").filter("sid <> a").select("a", F.col("sid").alias("b"))
+    of = lambda end: smallest.select(F.col("fp").alias(end), F.col("a").alias(f"__{end}"))
+    linked = simhash.links(smallest.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    return same.unionByName(linked)
 
 
-def components(sets: DataFrame, threshold: float) -> DataFrame:
-    """(node, root) of the sets that are similar to another."""
+def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(sid, root) of the sets with keys."""
+    longer = threshold / (1 + threshold)
     long_enough = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
-    keys = sets.select("sid", "n", "before", F.posexplode("keys").alias("i", "key")).select("key", "sid", "n", (F.col("before") + F.col("i")).alias("place"))
-    met = keys.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = materialise(keys.join(met.select("key", "pivot"), "key"), "shingle-keys")
-    pivots = members.filter((F.col("sid") != F.col("pivot.sid")) & long_enough(F.col("n"), F.col("pivot.n")))
-    links = similar(pivots.select(F.col("pivot.sid").alias("a"), F.col("sid").alias("b")).distinct(), sets, threshold)
-    roots = connected_components(links)
-    labelled = members.select("key", "sid", "n", "place").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    labelled = materialise(labelled, "labelled-keys")
-    apart = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    rest = materialise(labelled.join(apart, "key"), "open-keys")
-    a, b = rest.alias("a"), rest.alias("b")
     # the first key that two sets share leaves enough shingles after it in both
-    after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    open_ = (F.col("a.sid") < F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & long_enough(F.col("a.n"), F.col("b.n"))
-    enough = after >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & open_ & enough).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
-    more = similar(pairs, sets, threshold)
-    return roots if more.isEmpty() else connected_components(links.unionByName(more))
+    reach = lambda a, b, i, j: F.least(a - i, b - j) >= longer * (a + b) - 1e-9
+    keys = sets.select("sid", "n", "before", F.posexplode("keys").alias("i", "key")).select("key", "sid", "n", (F.col("before") + F.col("i")).alias("place"))
+    # the smaller set of a pair has the key among its first ones
+    first = F.col("n") - F.col("place") >= 2 * longer * F.col("n") - 1e-9
+    met = keys.groupBy("key").agg(F.min(F.when(first, F.col("n"))).alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1 AND least IS NOT NULL")
+    members = keys.join(met.select("key", "least"), "key").filter(first | (F.col("n") > F.col("least"))).select("key", "sid", "n", "place", first.alias("first"))
+    members = materialise(members.withColumn("root", F.col("sid")), "shingle-keys")
+    total, merges, before = members.count(), [], math.inf
+
+    def merged(table: DataFrame, links: DataFrame) -> DataFrame:
+        merges.append(materialise(connected_components(links), "merges"))
+        step = merges[-1].select(F.col("node").alias("root"), F.col("root").alias("__to"))
+        return materialise(table.join(step, "root", "left").withColumn("root", F.coalesce("__to", "root")).drop("__to"), "shingle-keys")
+
+    near = similar(golay_pairs(rows).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, threshold)
+    if not near.isEmpty():
+        members = merged(members, near)
+    for r in range(ROUNDS):
+        # keys whose sets are all in one component are done
+        sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        state = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / 2).alias("open")).filter("open > 0")
+        state = materialise(state, "open-keys")
+        members = materialise(members.join(state.select("key"), "key"), "shingle-keys")
+        left = state.agg(F.sum("open")).first()[0] or 0
+        # few, or pivots don't help any more: what is left is mostly unlike
+        if left <= FEW * total or left > before / 2:
+            break
+        before = left
+        # the same sets come first for all keys that they share
+        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(r), "sid"), "sid"))
+        pivots = members.filter("first").withColumn("__order", order).filter(F.col("__order") <= PIVOTS).select("key", F.struct("sid", "n", "place", "root").alias("p"))
+        met = members.join(pivots, "key").filter((F.col("root") != F.col("p.root")) & long_enough(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place")))
+        near = similar(met.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"), F.col("p.root").alias("x"), F.col("root").alias("y")).distinct(), sets, threshold)
+        if near.isEmpty():
+            break
+        members = merged(members, near)
+    if r == ROUNDS - 1 or not near.isEmpty():
+        sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        state = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main")), "open-keys")
+    outside = members.join(state.select("key", "main"), "key").filter("root <> main")
+    a, b = outside.alias("a"), members.alias("b")
+    allowed = (F.col("a.root") != F.col("b.root")) & long_enough(F.col("a.n"), F.col("b.n")) & reach(F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & allowed)
+    swap = F.col("a.sid") > F.col("b.sid")
+    ends = lambda c: (F.when(swap, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")), F.when(swap, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")))
+    (p, q), (x, y) = ends("sid"), ends("root")
+    pairs = pairs.select(p.alias("a"), q.alias("b"), x.alias("x"), y.alias("y")).distinct()
+    near = similar(pairs, sets, threshold)
+    if not near.isEmpty():
+        merges.append(materialise(connected_components(near), "merges"))
+    roots = sets.select("sid", F.col("sid").alias("root"))
+    for merge in merges:
+        step = merge.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+        roots = roots.join(step, "root", "left").select("sid", F.coalesce("__to", "root").alias("root"))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, max_filter_bits: int = 1 << 28) -> DataFrame:
@@ -181,9 +239,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     twice = gather(spark, build(hashes_of, source.select("__text"), bits, 1), bits, 1)
     heat = spark.sparkContext.broadcast(estimated(rows))
-    roots = components(keyed_sets(source, n, threshold, twice, heat), threshold)
+    roots = components(rows.filter("sid IS NOT NULL"), keyed_sets(source, n, threshold, twice, heat), threshold)
     firsts = own.groupBy("sid").agg(F.min("doc_id").alias("first"))
-    classes = materialise(firsts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
+    classes = materialise(firsts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     return own.join(classes.join(smallest, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
 

@@ -45,13 +45,21 @@ def fingerprint(text: bytes, n: int) -> int:
     starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
     digest, ones = xxhash.xxh64_intdigest, np.zeros((8, 8), np.int64)
     for at in range(0, len(starts), CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)], "<u8")
-        columns = hashes.view(np.uint8).reshape(-1, 8)
-        for byte in range(8):
-            ones[byte] += np.bincount(columns[:, byte], minlength=256) @ BYTE_BITS
+        ones += ones_of(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)], "<u8"))
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones.reshape(64) > len(starts)))
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, by byte and bit."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    return np.stack([np.bincount(columns[:, byte], minlength=256) @ BYTE_BITS for byte in range(8)])
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes that are at hand; none: zero."""
+    return sum(1 << int(b) for b in np.flatnonzero(2 * ones_of(hashes).reshape(64) > len(hashes)))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
     """(doc_id, fp): the 64 bits as a signed long."""
     id_type = docs.schema[id_col].dataType.simpleString()

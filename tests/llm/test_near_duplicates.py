@@ -52,6 +52,16 @@ def test_all_pairs_are_found(spark, bits):
     assert {r.component_id for r in found} == brute_force(rows)
 
 
+def test_all_pairs_are_found_in_rounds(spark, monkeypatch):
+    """Few pivots and no pair that is few enough: rounds first, then what they left open."""
+    monkeypatch.setattr(shingle_join, "PIVOTS", 2)
+    monkeypatch.setattr(shingle_join, "FEW", 0)
+    monkeypatch.setattr(shingle_join, "ROUNDS", 2)
+    rows = texts(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.component_id for r in shingle_join.near_duplicates(docs).collect()} == brute_force(rows)
+
+
 def test_stage_of_the_pipeline(spark):
     rows = texts(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
