@@ -41,6 +41,8 @@ IDENTITY_GROUPS = [
 GROUP = {w: (g, i) for g in IDENTITY_GROUPS for i, w in enumerate(g)}
 #: Fits that leave a part of the training rows out, to find the border.
 FOLDS = 3
+#: Rows of each mark from which on a border is looked for; with fewer it stays at one half.
+LEAST_MARKED = 50
 
 
 def features(word: str) -> list[int]:
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = [np.array(r["own"], np.int64) for r in got]
     swapped = [(i, np.array(g, np.int64), np.array(n, np.int64)) for i, r in enumerate(got) for g, n in zip(r["gone"], r["come"], strict=True) if g or n]
     w, b = fit(rows, swapped, y, len(chosen), l2, counterfactual)
-    if min(y.sum(), len(y) - y.sum()) >= 2 * FOLDS:
+    if min(y.sum(), len(y) - y.sum()) >= LEAST_MARKED:
         # both marks are dealt evenly to the folds
         fold = np.empty(len(y), np.int64)
         for mark in (0, 1):
