@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.alignment import op11_alignment
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tessera.llm.license_scan import OP9_SQL, op9_license_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_vptree": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_license_scan": OP9_SQL}
 
