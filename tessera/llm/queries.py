@@ -7,6 +7,7 @@ from tessera.llm.bpe import op6_bpe
 from tessera.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tessera.llm.license_scan import OP9_SQL, op9_license_scan
 from tessera.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tessera.llm.ranked_search import OP12_SQL, op12_search
 from tessera.llm.simhash import op2_simhash
 from tessera.llm.substring_dedup import OP4_SQL, op4_substring_dedup
 from tessera.llm.token_store import op3_token_store
@@ -26,8 +27,9 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_search": op12_search,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_vptree": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_license_scan": OP9_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_vptree": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_license_scan": OP9_SQL, "op12_search": OP12_SQL}
 
 
 def queries() -> dict:
