@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.alignment import op11_alignment
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.decontaminate import OP8_SQL, op8_decontaminate
+from tessera.llm.hmm import op13_hmm
 from tessera.llm.license_scan import OP9_SQL, op9_license_scan
 from tessera.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tessera.llm.ranked_search import OP12_SQL, op12_search
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
     "op12_search": op12_search,
+    "op13_hmm": op13_hmm,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_vptree": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_license_scan": OP9_SQL, "op12_search": OP12_SQL}
 
