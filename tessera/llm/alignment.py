@@ -332,7 +332,8 @@ def alignment_counts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
                 yield {"doc_id": r["ids"], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "n_best": n_best, "count_sum": count_sum, "groups_sha256": r["shas"]}
 
     back = merged.filter("chunk IS NOT NULL").groupBy(F.col("chunk").alias("__chunk")).agg(F.collect_list(F.struct("bucket", "totals")).alias("sent"))
-    whole = chunks.drop("n").join(back, F.col("chunk") == F.col("__chunk"), "left").drop("__chunk")
+    # chunks are large rows and what comes back grows with them, so neither side is broadcast at any size
+    whole = chunks.drop("n").join(back.hint("merge"), F.col("chunk") == F.col("__chunk"), "left").drop("__chunk")
     return map_batches(whole, finish, f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
