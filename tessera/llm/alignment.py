@@ -18,8 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
-from itertools import accumulate, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,31 +40,18 @@ CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 U = np.uint64
 
 
-def overlaps(a_lengths: list[int], b_lengths: list[int]) -> list[tuple[int, int]]:
+def overlaps(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each A token the first and the last B token whose bytes it overlaps."""
-    b_ends = list(accumulate(b_lengths))
-    b_starts, start, runs = [0, *b_ends[:-1]], 0, []
-    for n in a_lengths:
-        runs.append((bisect_right(b_ends, start), bisect_left(b_starts, start + n) - 1))
-        start += n
-    return runs
-
-
-def grouped(runs: list[tuple[int, int]], n_b: int) -> list[tuple[slice, slice]]:
-    """Slices of the A and the B tokens of each group: gaps between B tokens that no run spans part them."""
-    spanned = bytearray(n_b)
-    for lo, hi in runs:
-        for gap in range(lo, hi):
-            spanned[gap] = 1
-    found, a, b = [], 0, 0
-    for gap in range(n_b):
-        if not spanned[gap]:
-            end = a
-            while end < len(runs) and runs[end][0] <= gap:
-                end += 1
-            found.append((slice(a, end), slice(b, gap + 1)))
-            a, b = end, gap + 1
-    return found
+    a_ends, b_ends = np.cumsum(a_lengths), np.cumsum(b_lengths)
+    return np.searchsorted(b_ends, a_ends - a_lengths, "right"), np.searchsorted(b_ends - b_lengths, a_ends, "left") - 1
+
+
+def group_ends(first: np.ndarray, last: np.ndarray, n_b: int) -> np.ndarray:
+    """Whether a group ends after each B token: no A token spans the gap behind it."""
+    spans = np.zeros(n_b + 1, np.int64)
+    np.add.at(spans, first, 1)
+    np.add.at(spans, last, -1)
+    return np.cumsum(spans)[:n_b] == 0
 
 
 class Aligner:
@@ -87,36 +73,58 @@ class Aligner:
             self.a_bytes[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
         self.size_b = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.size_b) for p in [self.b.id_to_piece(i)]]
+        self.a_lengths, self.b_lengths = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        #: Decimal ids with what may stand before them: A's first of all, of a group, within one; B's first of a group, within one.
+        kinds = [(self.a_bytes, b""), (self.a_bytes, b";"), (self.a_bytes, b","), (self.b_bytes, b"|"), (self.b_bytes, b",")]
+        self.form_bytes = [before + b"%d" % i for entries_, before in kinds for i in range(len(entries_))]
+        self.form_lengths = np.array(list(map(len, self.form_bytes)), np.int64)
+        self.forms = np.cumsum([0, *(len(entries_) for entries_, _ in kinds[:-1])])
         self.dtype = np.uint32 if len(self.a_bytes) * self.size_b < 1 << 32 else np.uint64
         self.known: dict[str, tuple | None] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of A and B for space and text; None where the bytes of either differ from it."""
-        found = []
-        for text, a, b in zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            a, raw = a.ids, f" {text}".encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            found.append((a, b) if same else None)
-        return found
-
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[slice, slice]]]:
-        runs = overlaps([len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b])
-        return runs, grouped(runs, len(b))
-
-    def record(self, ids: tuple[list[int], list[int]] | None) -> tuple | None:
-        if ids is None:
-            return None
-        a, b = ids
-        runs, groups = self.groups(a, b)
-        pairs = [i * self.size_b + j for i, (lo, hi) in zip(a, runs, strict=True) for j in b[lo : hi + 1]]
-        text = ";".join([",".join(map(str, a[x])) + "|" + ",".join(map(str, b[y])) for x, y in groups])
-        return np.array(pairs, self.dtype).tobytes(), text.encode(), len(a), len(b), len(groups)
+        raw = [f" {t}" for t in texts]
+        ids = list(zip([e.ids for e in self.a.encode_batch_fast(raw, add_special_tokens=False)], self.b.encode(texts, num_threads=1), strict=True))
+        joined = lambda side, entries, some: b"".join(map(entries.__getitem__, chain.from_iterable(x[side] for x in some)))
+        same = lambda text, some: joined(0, self.a_bytes, some) == text.encode() == joined(1, self.b_bytes, some)
+        # a text of other bytes than its tokens differs from them where the others are like theirs
+        return ids if same("".join(raw), ids) else [x if same(r, [x]) else None for r, x in zip(raw, ids, strict=True)]
+
+    def measure(self, texts: list[str]) -> list[tuple | None]:
+        """Records of texts that both tokenizers may take one after the other, so one index serves them all."""
+        ids = self.encode(texts)
+        good = [x for x in ids if x is not None]
+        a, b = (np.fromiter(chain.from_iterable(x[side] for x in good), np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(x[side]) for x in good], np.int64) for side in (0, 1))
+        first, last = overlaps(self.a_lengths[a], self.b_lengths[b])
+        ends = group_ends(first, last, len(b))
+        n = last - first + 1
+        pairs = np.repeat(a * self.size_b, n) + b[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        # groups as text: by group, A's ids before B's, each with what stands before it
+        group_b = np.cumsum(ends) - ends
+        group_a = group_b[first] if len(a) else first
+        begins_a, begins_b = (np.diff(g, prepend=-1) > 0 for g in (group_a, group_b))
+        lead = np.zeros(len(a), bool)
+        lead[np.cumsum(n_a) - n_a] = True
+        form_a = np.where(lead, self.forms[0], np.where(begins_a, self.forms[1], self.forms[2])) + a
+        form_b = np.where(begins_b, self.forms[3], self.forms[4]) + b
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        form = np.concatenate([form_a, form_b])[order]
+        text = b"".join(map(self.form_bytes.__getitem__, form.tolist()))
+        until = lambda values, counts: np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        text_at, pair_at, group_at = until(self.form_lengths[form], n_a + n_b), until(n * self.dtype().itemsize, n_a), until(ends, n_b)
+        packed = pairs.astype(self.dtype).tobytes()
+        spans = zip(pairwise(pair_at), pairwise(text_at), n_a.tolist(), n_b.tolist(), pairwise(group_at), strict=True)
+        records = ((packed[p:q], text[x:y], k, m, h - g) for (p, q), (x, y), k, m, (g, h) in spans)
+        return [None if x is None else next(records) for x in ids]
 
     def learn(self, stretches: set[str]) -> None:
         if len(self.known) > CACHE:
             self.known = dict(islice(self.known.items(), CACHE // 2))
         new = [s for s in stretches if s not in self.known]
-        self.known.update(zip(new, map(self.record, self.encode(new)), strict=True))
+        if new:
+            self.known.update(zip(new, self.measure(new), strict=True))
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
@@ -138,39 +146,42 @@ class Chunk:
     """Documents whose distinct stretches are numbered."""
 
     def __init__(self, own: Aligner):
-        self.own, self.number, self.records = own, {}, []
+        self.own, self.number, self.records, self.forms = own, {}, [], []
         self.ids, self.shas, self.texts, self.chars = [], [], [], 0
+        #: Numbers of stretches whose bytes differ from their tokens'.
+        self.differ: set[int] = set()
+
+    def keep(self, record: tuple | None) -> int:
+        if record is None:
+            self.differ.add(len(self.records))
+        self.records.append(record or (b"", b"", 0, 0, 0))
+        self.forms.append(self.records[-1][1])
+        return len(self.records) - 1
 
     def add(self, ids: list, texts: list[str | None]) -> None:
-        own, number, records = self.own, self.number, self.records
+        own, number = self.own, self.number
         cut = [stretches_of(t) if t else [] for t in texts]
-        own.learn(set().union(*cut).difference(number))
-        whole = {}
+        new = set().union(*cut).difference(number)
+        own.learn(new)
+        for s in new:
+            number[s] = self.keep(own.known[s])
+            if len(s) > LONGEST:
+                del own.known[s]
+        whole, form = {}, self.forms.__getitem__
         for text, parts in zip(texts, cut, strict=True):
-            found = list(map(number.get, parts))
-            if None in found:
-                for i, s in enumerate(parts):
-                    if found[i] is None:
-                        if s not in number:
-                            number[s] = len(records)
-                            records.append(own.known[s])
-                            if len(s) > LONGEST:
-                                del own.known[s]
-                        found[i] = number[s]
-            if any(records[i] is None for i in set(found)):
+            found = list(map(number.__getitem__, parts))
+            if self.differ and not self.differ.isdisjoint(found):
                 # the bytes of a part differ, so those of the whole are looked at
                 if text not in whole:
-                    whole[text] = own.record(own.encode([text])[0])
-                record = whole[text]
-                found = [] if record is None else [len(records)]
-                records += [record] if record else []
+                    whole[text] = [] if (record := own.measure([text])[0]) is None else [self.keep(record)]
+                found = whole[text]
             self.texts.append(np.array(found, np.uint32))
-            self.shas.append(hashlib.sha256(b";".join([records[i][1] for i in found])).hexdigest() if found else "")
+            self.shas.append(hashlib.sha256(b";".join(map(form, found))).hexdigest() if found else "")
             self.chars += len(text or "")
         self.ids += ids
 
     def row(self, chunk: int) -> dict:
-        records = [r or (b"", b"", 0, 0, 0) for r in self.records]
+        records = self.records
         links = np.frombuffer(b"".join([r[0] for r in records]), self.own.dtype).astype(U)
         counts = np.array([[len(r[0]) // self.own.dtype().itemsize, *r[2:]] for r in records], np.int64).reshape(-1, 4)
         at, sizes = np.concatenate([np.zeros(0, np.uint32), *self.texts]), np.array([len(t) for t in self.texts], np.int64)
@@ -284,7 +295,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
                 ids = (own.encode([text])[0] if text else None) or ([], [])
                 a.append(ids[0])
                 b.append(ids[1])
-                groups.append([{"n_a": x.stop - x.start, "n_b": y.stop - y.start} for x, y in own.groups(*ids)[1]])
+                x, y = np.array(ids[0], np.int64), np.array(ids[1], np.int64)
+                first, last = overlaps(own.a_lengths[x], own.b_lengths[y])
+                ends = group_ends(first, last, len(y))
+                group = np.cumsum(ends) - ends
+                n = int(ends.sum())
+                each = zip(np.bincount(group[first], minlength=n).tolist(), np.bincount(group, minlength=n).tolist(), strict=True) if n else ()
+                groups.append([{"n_a": p, "n_b": q} for p, q in each])
             yield {"doc_id": batch.column("__id"), "a": a, "b": b, "groups": groups}
 
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))

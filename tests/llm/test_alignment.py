@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -77,6 +78,6 @@ def test_groups_and_empty_table(spark):
 
 def test_runs_and_gaps():
     # A: ab|c|de|f, B: a|bc|d|ef
-    runs = alignment.overlaps([2, 1, 2, 1], [1, 2, 1, 2])
-    assert runs == [(0, 1), (1, 1), (2, 3), (3, 3)]
-    assert alignment.grouped(runs, 4) == [(slice(0, 2), slice(0, 2)), (slice(2, 4), slice(2, 4))]
+    first, last = alignment.overlaps(np.array([2, 1, 2, 1]), np.array([1, 2, 1, 2]))
+    assert list(zip(first, last, strict=True)) == [(0, 1), (1, 1), (2, 3), (3, 3)]
+    assert alignment.group_ends(first, last, 4).tolist() == [False, True, False, True]
