@@ -46,14 +46,13 @@ def prepare(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def row(chunk, number, ids, held, texts):
-        words = list(number)
-        order = sorted(range(len(words)), key=words.__getitem__)
+        words = sorted(number)
         rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words))
+        rank[list(map(number.__getitem__, words))] = np.arange(len(words))
         sizes = np.array([len(t) for t in texts])
         tokens = rank[np.concatenate(texts)]
         n = np.bincount(tokens[np.repeat(~np.array(held), sizes)], minlength=len(words))
-        return {"chunk": [chunk], "n_words": [len(words)], "ids": [ids], "held": [held], "sizes": [pack_bits(sizes)], "tokens": [pack_bits(tokens)], "words": [pack_words([words[i] for i in order])], "n": [pack_bits(n)]}
+        return {"chunk": [chunk], "n_words": [len(words)], "ids": [ids], "held": [held], "sizes": [pack_bits(sizes)], "tokens": [pack_bits(tokens)], "words": [pack_words(words)], "n": [pack_bits(n)]}
 
     def run(batches):
         from pyspark import TaskContext
@@ -195,54 +194,59 @@ def classes_of(words: DataFrame, frequent: int, endings: int) -> Classes:
 class Steps:
     """Sequences side by side: all first symbols, then all second ones, the longest sequence first."""
 
-    def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
+    def __init__(self, symbols: np.ndarray, active: np.ndarray, who: np.ndarray | None = None):
+        #: ``active``: sequences that have a symbol at each step; ``who``: the sequence of each symbol.
+        self.symbols, self.active, self.who = symbols, active, who
+        self.at = np.concatenate([[0], np.cumsum(active)]).tolist()
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, sizes: np.ndarray) -> Steps:
+        order = np.argsort(-sizes, kind="stable")
         rank = np.empty(len(sizes), np.int64)
-        self.order = np.argsort(-sizes, kind="stable")
-        rank[self.order] = np.arange(len(sizes))
-        sorted_sizes = sizes[self.order]
-        #: Sequences that have a symbol at each step.
-        self.active = np.searchsorted(-sorted_sizes, -np.arange(sorted_sizes[0] if len(sizes) else 0), side="left")
-        self.at = np.concatenate([[0], np.cumsum(self.active)])
-        step = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = self.at[step] + np.repeat(rank, sizes)
-        self.symbols, self.who = np.empty(len(symbols), np.int64), np.empty(len(symbols), np.int64)
-        self.symbols[place], self.who[place] = symbols, np.repeat(np.arange(len(sizes)), sizes)
-
-
-def forward(steps: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """The scale of each symbol (its probability, given those before), and the scaled forward probabilities if they are kept."""
-    emitted, scale = np.ascontiguousarray(emit.T), np.empty(len(steps.symbols))
-    alpha, now = np.empty((len(steps.symbols), len(start))) if keep else None, None
+        rank[order] = np.arange(len(sizes))
+        active = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+        at = np.concatenate([[0], np.cumsum(active)])
+        place = at[np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] + np.repeat(rank, sizes)
+        ordered, who = np.empty_like(symbols), np.empty(len(symbols), np.int64)
+        ordered[place], who[place] = symbols, np.repeat(np.arange(len(sizes)), sizes)
+        return cls(ordered, active, who)
+
+
+def forward(steps: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The scale of each symbol (its probability, given those before); if kept, the scaled forward probabilities and the scaled emissions too."""
+    emitted, scale, now, one = np.ascontiguousarray(emit.T), np.empty(len(steps.symbols), emit.dtype), None, np.ones(len(start), emit.dtype)
+    alpha, scaled = (np.empty((len(steps.symbols), len(start)), emit.dtype) for _ in range(2)) if keep else (None, None)
     for t, n in enumerate(steps.active.tolist()):
-        here = slice(steps.at[t], steps.at[t] + n)
-        now = (start if t == 0 else now[:n] @ move) * emitted[steps.symbols[here]]
-        c = now.sum(1)
-        now /= c[:, None]
+        here = slice(steps.at[t], steps.at[t + 1])
+        seen = emitted[steps.symbols[here]]
+        now = seen * (start if t == 0 else now[:n] @ move)
+        c = now @ one
         scale[here] = c
+        c = (1 / c)[:, None]
+        now *= c
         if keep:
             alpha[here] = now
-    return scale, alpha
+            np.multiply(seen, c, out=scaled[here])
+    return scale, alpha, scaled
 
 
 def expected(steps: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, transitions and emissions, and the log10 likelihood."""
-    scale, alpha = forward(steps, start, move, emit, keep=True)
-    emitted, gamma = np.ascontiguousarray(emit.T), alpha
-    beta, moved, back = None, np.zeros_like(move), np.ascontiguousarray(move.T)
+    scale, gamma, scaled = forward(steps, start, move, emit, keep=True)
+    later, moved, back = 0, np.zeros(move.shape), np.ascontiguousarray(move.T)
     for t in range(len(steps.active) - 1, -1, -1):
-        n, later = int(steps.active[t]), int(steps.active[t + 1]) if t + 1 < len(steps.active) else 0
-        here = slice(steps.at[t], steps.at[t] + n)
-        now = np.ones((n, len(start)))
+        here, ahead = steps.at[t], steps.at[t + 1]
         if later:
-            ahead = slice(steps.at[t + 1], steps.at[t + 1] + later)
-            seen = emitted[steps.symbols[ahead]] * beta / scale[ahead][:, None]
-            now[:later] = seen @ back
-            moved += alpha[here][:later].T @ seen
-        beta = now
-        gamma[here] *= now
-    starts = gamma[: steps.active[0]].sum(0) if len(steps.active) else np.zeros(len(start))
+            # ahead: scaled emissions times backward probabilities of the next step
+            seen = scaled[ahead : ahead + later]
+            moved += gamma[here : here + later].T @ seen
+            beta = seen @ back
+            gamma[here : here + later] *= beta
+            scaled[here : here + later] *= beta
+        later = ahead - here
+    starts = gamma[: steps.at[1]].sum(0, dtype=np.float64) if len(steps.active) else np.zeros(len(start))
     emissions = np.stack([np.bincount(steps.symbols, gamma[:, k], emit.shape[1]) for k in range(len(start))])
-    return starts, moved * move, emissions, float(np.log10(scale).sum())
+    return starts, moved * move, emissions, float(np.log10(scale).sum(dtype=np.float64))
 
 
 def batches_of(sizes: np.ndarray) -> list[np.ndarray]:
@@ -257,6 +261,22 @@ def picked(tokens: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> np.ndarra
     return tokens[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
+def sequences(chunks: DataFrame, classes: Classes) -> DataFrame:
+    """(symbols, active): the classes of training documents, step by step; a row for each batch of documents."""
+    shared = chunks.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches):
+        for batch in batches:
+            for held, sizes, tokens, words in zip(*(batch.column(c).to_pylist() for c in ("held", "sizes", "tokens", "words")), strict=True):
+                sizes, kind = unpack_bits(sizes, np.int64), shared.value.of(unpack_words(words)).astype(np.uint16 if shared.value.size <= 1 << 16 else np.uint32)
+                kind, mine = kind[unpack_bits(tokens, np.uint32)], np.flatnonzero(~np.array(held))
+                for some in batches_of(sizes[mine]):
+                    steps = Steps.of(picked(kind, sizes, mine[some]), sizes[mine[some]])
+                    yield {"symbols": [pack_bits(steps.symbols)], "active": [pack_bits(steps.active.astype(np.uint32))]}
+
+    return materialise(map_batches(chunks.select("held", "sizes", "tokens", "words"), run, "symbols binary, active binary"), "class-sequences")
+
+
 def summed(parts: DataFrame) -> np.ndarray | None:
     """The sum of the vectors of all tasks, added up in a tree of ``FAN`` parts a task; one vector comes back."""
 
@@ -287,23 +307,20 @@ def train(chunks: DataFrame, n_states: int = 12, frequent: int = 3000, endings:
     move = np.full((n_states, n_states), 0.1 / n_states) + 0.9 * np.eye(n_states)
     emit = prior * rng.gamma(1.0, 1.0, (n_states, size)) + 1e-12
     emit /= emit.sum(1, keepdims=True)
-    course = []
+    course, texts, kind = [], sequences(chunks, classes), np.uint16 if size <= 1 << 16 else np.uint32
     for _ in range(iterations):
-        now: Broadcast = spark.sparkContext.broadcast((classes, start, move, emit))
+        # the recursions of training are in single precision, their sums and all scores in double
+        now: Broadcast = spark.sparkContext.broadcast(tuple(x.astype(np.float32) for x in (start, move, emit)))
 
         def gather(batches, now=now):
-            classes, start, move, emit = now.value
-            sums = [np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit), 0.0]
+            sums = [np.zeros(x.shape) for x in now.value] + [0.0]
             for batch in batches:
-                for held, sizes, tokens, words in zip(*(batch.column(c).to_pylist() for c in ("held", "sizes", "tokens", "words")), strict=True):
-                    sizes, kind = unpack_bits(sizes, np.int64), classes.of(unpack_words(words))[unpack_bits(tokens, np.uint32)]
-                    mine = np.flatnonzero(~np.array(held))
-                    for some in batches_of(sizes[mine]):
-                        some = mine[some]
-                        sums = [a + b for a, b in zip(sums, expected(Steps(picked(kind, sizes, some), sizes[some]), start, move, emit), strict=True)]
+                for symbols, active in zip(batch.column("symbols").to_pylist(), batch.column("active").to_pylist(), strict=True):
+                    steps = Steps(unpack_bits(symbols, kind), unpack_bits(active, np.uint32).astype(np.int64))
+                    sums = [a + b for a, b in zip(sums, expected(steps, *now.value), strict=True)]
             yield {"sums": [pack_bits(np.concatenate([np.ravel(s) for s in sums]))]}
 
-        got = summed(map_batches(chunks.select("held", "sizes", "tokens", "words"), gather, "sums binary"))
+        got = summed(map_batches(texts, gather, "sums binary"))
         if got is None or not got.any():
             break
         starts, moved, emissions = got[:n_states], got[n_states : n_states + n_states**2].reshape(n_states, n_states), got[n_states + n_states**2 : -1].reshape(n_states, size)
@@ -358,7 +375,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
                 each = lambda values: np.add.reduceat(values[tokens], begin)  # noqa: E731, B023
                 likely = each(np.log10(classes.share(kind, counts)))
                 for some in batches_of(sizes):
-                    steps = Steps(picked(kind[tokens], sizes, some), sizes[some])
+                    steps = Steps.of(picked(kind[tokens], sizes, some), sizes[some])
                     likely[some] += np.bincount(steps.who, np.log10(forward(steps, start, move, emit)[0]), len(some))
                 base = each(np.log10((counts + 0.5) / (n_train + 0.5 * (distinct + 1))))
                 yield {"doc_id": r["ids"], "held_out": r["held"], "n_tokens": sizes, "n_known": each((counts > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), n_train), "base_score": base, "score": likely}

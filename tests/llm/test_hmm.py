@@ -31,8 +31,8 @@ def test_recursion_is_the_sum_over_all_paths():
     start, move, emit = random_model(rng, 3, 7)
     sequences = [rng.integers(0, 7, n).tolist() for n in (1, 6, 3, 1, 5, 6, 2)]
     sizes = np.array(list(map(len, sequences)))
-    steps = hmm.Steps(np.concatenate(sequences), sizes)
-    scale, _ = hmm.forward(steps, start, move, emit)
+    steps = hmm.Steps.of(np.concatenate(sequences), sizes)
+    scale, *_ = hmm.forward(steps, start, move, emit)
     got = np.bincount(steps.who, np.log10(scale), len(sequences))
     want, starts, moved, emitted = [], np.zeros(3), np.zeros((3, 3)), np.zeros((3, 7))
     for s in sequences:
