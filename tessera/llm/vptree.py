@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_batches, materialise
 
 LEAF = 128
-#: Distinct vectors that are kept beyond k, so that rounding in the search cannot cost a neighbour.
-SLACK = 8
 #: Of the registered query: exact. Smaller factors search less; see the README for the recall measured.
 FACTOR = 1.0
 #: Cells that rows are dealt to; their pivots and ranges are what tasks receive.
 MAX_CELLS = 1024
-#: What rounding may add to a distance that bounds the search of another shard.
-ROUNDING = 1e-6
+#: What rounding may add to a distance and to a product, as shares of the largest norm and of its square.
+ROUNDING, PRODUCT_ROUNDING = 1e-6, 1e-12
+#: Shards that one task searches, and blocks of queries that it searches them for, at most.
+SHARDS, BLOCKS = 32, 64
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -81,20 +81,49 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray
 
     ``limit``: distances beyond which nothing can be among a query's nearest.
     """
-    visited = 0
+    visited, radius = 0, math.sqrt(radius2)
     if limit is None:
         limit = np.full(len(queries), np.inf)
     x, places, nodes = tree["x"].astype(np.float64), tree["places"], tree["nodes"]
-    width = k + 1 + SLACK
+    # an id stands for a vector: the smallest; of equal scores the smaller id is nearer, and one more than k is kept, as one may be the query's own
+    smallest, width = tree["ids"][tree["first"][:-1]], k + 1
     best, at = np.full((len(queries), width), -np.inf), np.full((len(queries), width), -1)
-    norms = (queries * queries).sum(1)
+    norms, loose = (queries * queries).sum(1), 2 * PRODUCT_ROUNDING * radius2
 
     def distance(rows, products):
         return np.sqrt(np.maximum(norms[rows] + radius2 - 2 * products, 0))
 
     def worst(rows):
-        found = np.where(np.isinf(low := best[rows].min(1)), np.inf, distance(rows, np.where(np.isinf(low), 0, low)))
-        return np.minimum(found, limit[rows])
+        low = best[rows, -1]
+        return np.minimum(np.where(np.isinf(low), np.inf, distance(rows, np.where(np.isinf(low), 0, low))), limit[rows])
+
+    def exactly(q, u):
+        """One term after the other, whatever the shard."""
+        out = np.empty(len(q))
+        for begin in range(0, len(q), 1 << 14):
+            some = slice(begin, begin + (1 << 14))
+            out[some] = np.cumsum(queries[q[some]] * x[u[some]], axis=1)[:, -1]
+        return out
+
+    def meet(rows, mine):
+        """Keeps the nearest by score and smallest id; products of the matrix decide only what is compared exactly."""
+        products = queries[rows] @ x[mine].T
+        low = best[rows, -1]
+        if len(mine) > width:
+            low = np.maximum(low, np.partition(products, len(mine) - width, axis=1)[:, len(mine) - width])
+        r, c = np.nonzero(products >= (low - loose)[:, None])
+        if not len(r):
+            return
+        some = np.unique(r)
+        old, slot = np.nonzero(at[rows[some]] >= 0)
+        who = np.concatenate([some[old], r])
+        vector = np.concatenate([at[rows[some]][old, slot], mine[c]])
+        score = np.concatenate([best[rows[some]][old, slot], exactly(rows[r], mine[c])])
+        order = np.lexsort((smallest[vector], -score, who))
+        who, vector, score = who[order], vector[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        kept = rank < width
+        best[rows[who[kept]], rank[kept]], at[rows[who[kept]], rank[kept]] = score[kept], vector[kept]
 
     def visit(n, rows):
         nonlocal visited
@@ -102,12 +131,8 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray
         if not len(rows):
             return
         if inner < 0:
-            mine = places[begin:end]
-            visited += len(rows) * len(mine)
-            scores = np.concatenate([best[rows], queries[rows] @ x[mine].T], axis=1)
-            who = np.concatenate([at[rows], np.broadcast_to(mine, (len(rows), len(mine)))], axis=1)
-            top = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-            best[rows], at[rows] = np.take_along_axis(scores, top, 1), np.take_along_axis(who, top, 1)
+            visited += len(rows) * (end - begin)
+            meet(rows, places[begin:end])
             return
         border, lo_in, hi_in, lo_out, hi_out = nodes[n, 5:]
         away = distance(rows, queries[rows] @ x[vantage])
@@ -115,7 +140,7 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray
 
         def may(some, lo, hi):
             bound = np.maximum(np.maximum(away[some] - hi, lo - away[some]), 0)
-            return rows[some][bound <= factor * worst(rows[some]) + 1e-9]
+            return rows[some][bound <= factor * worst(rows[some]) + ROUNDING * radius]
 
         visit(inner, rows[near])
         visit(outer, may(near, lo_out, hi_out))
@@ -125,11 +150,10 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, own_ids: np.ndarray
     visit(0, np.arange(len(queries)))
     q, slot = np.nonzero(at >= 0)
     u = at[q, slot]
-    # each distinct vector stands for its smallest ids; one more than k, as one may be the query's own
-    n = np.minimum(tree["first"][u + 1] - tree["first"][u], k + 1)
+    # each distinct vector stands for its smallest ids
+    n = np.minimum(tree["first"][u + 1] - tree["first"][u], width)
     ids = tree["ids"][np.repeat(tree["first"][u] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    score = np.repeat(np.cumsum(queries[q] * x[u], axis=1)[:, -1], n)  # one term after the other, whatever the shard
-    q = np.repeat(q, n)
+    score, q = np.repeat(best[q, slot], n), np.repeat(q, n)
     other = ids != own_ids[q]
     q, ids, score = q[other], ids[other], score[other]
     order = np.lexsort((ids, -score, q))
@@ -199,43 +223,79 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, factor: float = 1
 
     shards = dealt.select("id", "v", "cell", part("cell", {c: r["n"] for c, r in ranges.items()}, shard_rows, 0).alias("shard"))
     trees = materialise(shards.groupBy("cell", "shard").applyInArrow(plant, "cell long, shard long, tree binary"), "vp-trees")
+    # shards and blocks of queries are grouped, and each task searches a group of shards for a group of blocks: a tree moves once for each group of blocks
+    # that needs it, a block once for each group of shards
+    sizes = [math.ceil(ranges[c]["n"] / shard_rows) if c in ranges else 0 for c in range(cells)]
+    begins, n_shards, n_blocks = np.cumsum([0, *sizes]), max(1, sum(sizes)), max(1, sum(math.ceil(m / block_rows) for m in asked.values()))
+    wanted = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sides = min(n_blocks, max(math.ceil(n_blocks / BLOCKS), math.ceil(wanted / n_shards)))
+    together = max(1, min(SHARDS, n_shards * sides // wanted))
+    groups = [np.flatnonzero((begins[:-1] < g + together) & (begins[1:] > g)) for g in range(0, n_shards, together)]
+    spread = min(4 * len(groups) * sides, 4 * wanted)
+
     blocks = dealt.filter("is_query").select("id", "v", "home", part("home", asked, block_rows, 1).alias("block"))
-    bundles = materialise(blocks.groupBy("home", "block").applyInArrow(bundle, "home long, queries binary"), "vp-queries")
+    bundles = materialise(blocks.groupBy("home", "block").applyInArrow(bundle, "home long, queries binary").withColumn("side", F.pmod(F.xxhash64("home", "queries"), F.lit(sides))), "vp-queries")
+    slack = ROUNDING * math.sqrt(radius2)
 
     def first(batches):
-        """A block's finds in one shard of its own cell, and what is left to search: its queries with their bounds, for each cell that may hold nearer ones."""
+        """A block's finds in one shard of its own cell, and what is left to search: its queries with their bounds, for each group of shards that may hold nearer ones."""
         for batch in batches:
-            for home, tree, block in zip(*(batch.column(c).to_pylist() for c in ("home", "tree", "queries")), strict=True):
+            for home, side, tree, block in zip(*(batch.column(c).to_pylist() for c in ("home", "side", "tree", "queries")), strict=True):
                 asked_ = dict(np.load(io.BytesIO(block)))
                 x, ids = asked_["x"].astype(np.float64), asked_["ids"]
                 limit = np.full(len(ids), np.inf)
                 if tree is not None:
                     q, near, score, visited = search(dict(np.load(io.BytesIO(tree))), x, ids, radius2, k, factor)
-                    yield {"cell": [None], "done": [None], "queries": [None], "query_id": [ids[q]], "vec_id": [near], "score": [score], "visited": [visited]}
+                    yield {"slot": [None], "home": [None], "queries": [None], "query_id": [ids[q]], "vec_id": [near], "score": [score], "visited": [visited]}
                     full = np.bincount(q, minlength=len(ids)) >= k
                     last = np.searchsorted(q, np.arange(len(ids)), "right") - 1
                     limit[full] = distances_of(x[full], score[last[full]], radius2)
-                away = distances(x, pivots.value, radius2)
-                gap = np.maximum(np.maximum(away - high, low - away), 0)
-                for cell in np.flatnonzero(~np.isnan(low)):
-                    some = np.flatnonzero(gap[:, cell] <= factor * limit + ROUNDING)
+                may = reachable(x, limit)
+                for g, mine in enumerate(groups):
+                    some = np.flatnonzero(may[:, mine].any(1))
                     if len(some):
-                        yield {"cell": [cell], "done": [cell == home and tree is not None], "queries": [pack(ids=ids[some], x=asked_["x"][some], limit=limit[some])], "query_id": [None], "vec_id": [None], "score": [None], "visited": [None]}
-
-    def others(batches):
-        for batch in batches:
-            for tree, block in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                held, asked_ = (dict(np.load(io.BytesIO(b.as_py()))) for b in (tree, block))
-                q, near, score, visited = search(held, asked_["x"].astype(np.float64), asked_["ids"], radius2, k, factor, asked_["limit"] + ROUNDING)
-                yield {"query_id": [asked_["ids"][q]], "vec_id": [near], "score": [score], "visited": [visited]}
+                        yield {"slot": [g * sides + side], "home": [home if tree is not None else -1], "queries": [pack(ids=ids[some], x=asked_["x"][some], limit=limit[some])], "query_id": [None], "vec_id": [None], "score": [None], "visited": [None]}
+
+    def reachable(x, limit):
+        """Whether each cell may hold something nearer to each query than its limit."""
+        away = distances(x, pivots.value, radius2)
+        gap = np.maximum(np.maximum(away - high, low - away), 0)
+        return ~np.isnan(low) & (np.where(np.isnan(gap), np.inf, gap) <= factor * limit[:, None] + slack)
+
+    def others(trees: pa.Table, waiting: pa.Table) -> pa.Table:
+        """Each tree of the group with all queries of the group that may find something in its cell; limits follow what is found."""
+        out = {"query_id": [], "vec_id": [], "score": [], "visited": []}
+        blocks = [dict(np.load(io.BytesIO(b))) | {"home": h} for b, h in zip(waiting.column("queries").to_pylist(), waiting.column("home").to_pylist(), strict=True)]
+        for b in blocks:
+            b["x"] = b["x"].astype(np.float64)
+        for cell, shard, tree in zip(*(trees.column(c).to_pylist() for c in ("cell", "shard", "tree")), strict=True):
+            held = dict(np.load(io.BytesIO(tree)))
+            for b in blocks:
+                if b["home"] == cell and shard == 0:
+                    continue
+                some = np.flatnonzero(reachable(b["x"], b["limit"])[:, cell])
+                if not len(some):
+                    continue
+                q, near, score, visited = search(held, b["x"][some], b["ids"][some], radius2, k, factor, b["limit"][some] + slack)
+                full = np.flatnonzero(np.bincount(q, minlength=len(some)) >= k)
+                last = np.searchsorted(q, full, "right") - 1
+                b["limit"][some[full]] = np.minimum(b["limit"][some[full]], distances_of(b["x"][some[full]], score[last], radius2))
+                for c, value in zip(out, (b["ids"][some[q]], near, score, visited), strict=True):
+                    out[c].append(value)
+        types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64())
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
     finds = "query_id array<long>, vec_id array<long>, score array<double>, visited long"
     started = bundles.join(trees.filter("shard = 0").select(F.col("cell").alias("home"), "tree"), "home", "left")
-    begun = materialise(map_batches(started.select("home", "tree", "queries"), first, f"cell long, done boolean, queries binary, {finds}"), "vp-begun")
-    # a shard is one row and so is a block, so rows are dealt one by one, not by their bytes
-    pairs = begun.filter("cell IS NOT NULL").select("cell", "done", "queries").join(trees, "cell").filter(~(F.col("done") & (F.col("shard") == 0)))
-    pairs = pairs.select("tree", "queries").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = begun.filter("visited IS NOT NULL").select("query_id", "vec_id", "score", "visited").unionByName(map_batches(pairs, others, finds))
+    begun = materialise(map_batches(started.select("home", "side", "tree", "queries"), first, f"slot long, home long, queries binary, {finds}"), "vp-begun")
+    waiting = begun.filter("slot IS NOT NULL").select("slot", "home", "queries").repartition(spread, "slot")
+    # a row for each group of shards and group of blocks
+    slots = begun.filter("slot IS NOT NULL").select(F.col("slot").alias("to"), F.floor(F.col("slot") / sides).alias("group")).distinct()
+    place = F.array(*(F.lit(int(b)) for b in begins[:-1]))
+    placed = trees.withColumn("group", F.floor((F.get(place, F.col("cell").cast("int")) + F.col("shard")) / together))
+    needed = placed.join(slots, "group").select("to", "cell", "shard", "tree").repartition(spread, "to")
+    met = needed.groupBy("to").cogroup(waiting.groupBy("slot")).applyInArrow(others, finds)
+    found = begun.filter("visited IS NOT NULL").select("query_id", "vec_id", "score", "visited").unionByName(met)
     if with_visits:
         return found.select("visited")
     each = found.select(F.inline(F.arrays_zip("query_id", "vec_id", "score")))

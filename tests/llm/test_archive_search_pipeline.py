@@ -98,6 +98,24 @@ def test_vptree_is_exact_at_factor_one(spark):
     assert vptree.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_vptree_of_unlike_vectors_with_equal_scores(spark, monkeypatch):
+    """Quantised, sparse vectors: hundreds of different ones tie, and the smaller ids come first."""
+    rng = random.Random(4)
+    rows = [(i, [1.0, *(float(rng.randrange(-9, 10)) for _ in range(3))]) for i in range(1, 500)]
+    rows += [(600 + i, [float(rng.randrange(-1, 2)) for _ in range(4)]) for i in range(300)]
+    rows += [(i, [1.0, 0.0, 0.0, 0.0]) for i in (0, 1000, 1020)] + [(1040, [0.125, 0.25, 0.5, 0.0]), (1060, [0.0, 0.0, 2.0**-10, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    expected = brute(rows, 20, lambda q: q % 20 == 0)
+    assert [i for i, _ in expected[0]] == list(range(1, 21))
+    for shard_rows, together in ((60, 1), (60, 4), (10_000, 32)):
+        monkeypatch.setattr(vptree, "SHARDS", together)
+        monkeypatch.setattr(vptree, "LEAF", 16)
+        got = {}
+        for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=shard_rows, block_rows=8).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == expected
+
+
 def test_vptree_leaves_out_cells_of_clustered_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(0, 1, (12, 16))
