@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,11 @@ MAX_ROUNDS = 60
 LOCAL = 250_000
 
 
-def stars(batches) -> Iterator[dict]:
-    """Of the links of one task, a link from each node to the smallest of those it is joined with (or itself)."""
+def stars(batches, local: int = LOCAL) -> Iterator[dict]:
+    """Of the links of one task, a link from each node to the smallest of those it is joined with (or itself).
+
+    A task that gets more than ``local`` links gives out what it has whenever it holds their number of nodes, so its memory is bounded.
+    """
     parent: dict = {}
 
     def root(x):
@@ -30,8 +34,10 @@ def stars(batches) -> Iterator[dict]:
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    yield {"a": nodes, "b": [root(x) for x in nodes]}
+            if len(parent) > 2 * local:
+                yield {"a": list(parent), "b": [root(x) for x in parent]}
+                parent.clear()
+    yield {"a": list(parent), "b": [root(x) for x in parent]}
 
 
 def connected_components(links: DataFrame, local: int = LOCAL) -> DataFrame:
@@ -48,7 +54,8 @@ def connected_components(links: DataFrame, local: int = LOCAL) -> DataFrame:
     for r in range(MAX_ROUNDS):
         n = links.count()
         parts = max(1, -(-n // local))
-        thin = materialise(map_batches(links.coalesce(parts), stars, f"a {kind}, b {kind}"), "stars")
+        dealt = links.coalesce(parts) if links.rdd.getNumPartitions() >= parts else links.repartition(parts)
+        thin = materialise(map_batches(dealt, partial(stars, local=local), f"a {kind}, b {kind}"), "stars")
         if parts == 1:
             hooks.append(thin.select(F.col("a").alias("node"), F.col("b").alias("to")))
             break

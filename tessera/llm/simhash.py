@@ -1,10 +1,10 @@
 """SimHash fingerprints, and near-duplicates by Golay-code fuzzy hashing.
 
-A fingerprint's 64 bits are cut into three segments, each read as a word of the 23-bit Golay code. Of two
-fingerprints that differ in three bits at most, two segments differ in one bit at most each (the errors cannot
-spoil two of three segments twice). For such a segment the codeword nearest to one word is among the codewords nearest to the
-other or to one of its one-bit neighbours, which are six at most. So each fingerprint gives a few
-keys per pair of segments: its own codeword index in one with the nearby indices in the other. Keys are joined, and a
+A fingerprint's 64 bits are cut into three segments, each read as a word of the 23-bit Golay code. Where two words differ in one bit at most,
+the codeword nearest to one is among the codewords nearest to the other or to one of its one-bit neighbours, which are six at most. Two
+fingerprints that differ in three bits at most have their errors in one of two ways: one bit at most in every segment, or two or three in one segment, and then one of the others
+is equal and the last differs in one bit at most. So each fingerprint gives a few keys that join its own codeword indices with nearby ones: one kind over all three segments (36 bits), and for each
+ordered pair of segments one of the first's bits and the second's index (33 bits or more). Keys are joined, and a
 pair is a link only if the join's condition finds ``max_bits`` or fewer differing bits. Equal fingerprints are
 joined once for all; copies are never expanded into pairs. Documents reachable over links form a component.
 
@@ -28,7 +28,7 @@ from tessera.llm.components import connected_components
 SEED = 42
 #: 64 bits as segments of at most 23.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (1, 2), (2, 0))
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 CHUNK = 1 << 16
 
@@ -77,12 +77,17 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple
     parts = [(prints >> np.uint64(start) & np.uint64((1 << width) - 1)).astype(np.int32) for start, width in SEGMENTS]
     home = [golay.index(p).astype(np.int64) for p in parts]
     near = [golay.nearby(p, width).astype(np.int64) for p, (_, width) in zip(parts, SEGMENTS, strict=True)]
-    left, right = [], []
-    for k, (a, b) in enumerate(PAIRS):
+    # one bit at most in each segment: two own indices and one nearby, or two nearby and one own
+    row, at = np.nonzero(near[2] >= 0)
+    left = [(row, home[0][row] << 24 | home[1][row] << 12 | near[2][row, at])]
+    row, at, to = np.nonzero((near[0] >= 0)[:, :, None] & (near[1] >= 0)[:, None, :])
+    right = [(row, near[0][row, at] << 24 | near[1][row, to] << 12 | home[2][row])]
+    # more in one segment: of the other two, one is equal and one differs in one bit at most
+    for k, (a, b) in enumerate(PAIRS, 1):
+        same = k << 36 | parts[a].astype(np.int64) << 12
+        left.append((np.arange(len(prints)), same | home[b]))
         row, at = np.nonzero(near[b] >= 0)
-        left.append((row, k << 24 | home[a][row] << 12 | near[b][row, at]))
-        row, at = np.nonzero(near[a] >= 0)
-        right.append((row, k << 24 | near[a][row, at] << 12 | home[b][row]))
+        right.append((row, same[row] | near[b][row, at]))
     return tuple(tuple(np.concatenate(x) for x in zip(*side, strict=True)) for side in (left, right))
 
 

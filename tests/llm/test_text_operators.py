@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +175,29 @@ def test_simhash_components(docs):
     assert kept.columns == docs.columns
 
 
+def test_a_task_with_many_links_holds_few(spark):
+    """One partition of far more links than a task may hold: it gives out parts, and the components are whole."""
+    rng = random.Random(8)
+    links = [(i, rng.randrange(max(0, i - 40), i)) for i in range(1, 900) if i % 300]
+    table = spark.createDataFrame(links, "a long, b long").coalesce(1)
+    found = {r.node: r.root for r in components.connected_components(table, 40).collect()}
+    assert set(found) == {x for both in links for x in both} and len(set(found.values())) <= 3
+    assert all(found[a] == found[b] for a, b in links)
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
+    assert max(len(part["a"]) for part in components.stars([batch], 40)) <= 82
+
+
+def test_fuzzy_keys_meet_seldom_by_chance():
+    """Of random fingerprints, hardly any two share a key: keys have 33 bits and more."""
+    prints = np.random.default_rng(2).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    (row_a, key_a), (row_b, key_b) = simhash.fuzzy_keys(prints)
+    left, right = np.unique(key_a, return_counts=True), np.unique(key_b, return_counts=True)
+    both, i, j = np.intersect1d(left[0], right[0], return_indices=True)
+    met = int((left[1][i] * right[1][j]).sum()) - len(prints) * 7  # each fingerprint meets itself once a kind
+    assert met < 0.05 * len(prints)
+    assert max(np.bincount(row_a).max(), np.bincount(row_b).max()) <= 72
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
