@@ -11,8 +11,9 @@ only meet nothing and are not written. Sizes of filter and counts change what is
 
 Where sets that share keys make too many pairs, they are compared in rounds. In each, every set is compared with some pivots of the key, and what
 is similar becomes one component; groups of near copies need few rounds. When few pairs are left (or pivots find nothing
-more), each set outside its key's largest component is compared with all others that lengths and places of the
-key allow. Every comparison counts the common shingles of the two sets, so the components are
+more), each set outside its key's largest component is compared with all others that lengths, places of the
+key and sketches allow. A set's sketch has a bit for each of ``SKETCH`` cells of its shingles: whether the cell holds an odd number of them. Sets differ in at least as
+many shingles as their sketches in bits, so a pair whose sketches differ in more bits than the similarity leaves room for is no link. Every pair that is left has its common shingles counted, so the components are
 those of all pairs that reach the similarity.
 
 Defined cases: case is that of ASCII, words are parted by ASCII white space. A text of fewer words than a shingle is one shingle;
@@ -39,6 +40,8 @@ SEED = 42
 HEAT = 1 << 20
 #: Rounds of comparisons with pivots, pivots of a key in each, and the open pairs for each key of a set that are few enough to compare them all.
 ROUNDS, PIVOTS, FEW = 4, 32, 32
+#: Bits of a set's sketch.
+SKETCH = 1024
 U = np.uint64
 
 
@@ -71,6 +74,12 @@ def cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes & U(HEAT - 1)).astype(np.int64)
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each cell with an odd number of the hashes, as longs."""
+    odd = np.bincount((hashes >> U(40) & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def needed(n: int, threshold: float) -> int:
     """Common shingles that a set of ``n`` has with any set of that similarity, at least."""
     return math.ceil(threshold * n - 1e-9)
@@ -111,7 +120,7 @@ def estimated(rows: DataFrame) -> np.ndarray:
 
 
 def keyed_sets(source: DataFrame, n: int, threshold: float, twice, heat) -> DataFrame:
-    """(sid, n, before, keys, hashes) of the sets with keys; ``before`` are the shingles that come before the keys."""
+    """(sid, n, before, keys, sketch, hashes) of the sets with keys; ``before`` are the shingles that come before the keys."""
 
     def run(batches):
         for batch in batches:
@@ -125,12 +134,12 @@ def keyed_sets(source: DataFrame, n: int, threshold: float, twice, heat) -> Data
                 before = len(mine) - len(shared)
                 if before < prefix:
                     order = np.lexsort((shared, heat.value[cells(shared)]))[: prefix - before]
-                    rows.append((set_id(mine), len(mine), before, shared[order].view(np.int64), mine.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield dict(zip(("sid", "n", "before", "keys", "hashes"), map(list, columns), strict=True))
+                    rows.append((set_id(mine), len(mine), before, shared[order].view(np.int64), odd_sketch(mine), mine.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield dict(zip(("sid", "n", "before", "keys", "sketch", "hashes"), map(list, columns), strict=True))
 
-    found = map_batches(source.select("__text"), run, "sid binary, n long, before long, keys array<long>, hashes binary")
-    return materialise(found.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "before", "keys", "hashes"))), "keyed-sets")
+    found = map_batches(source.select("__text"), run, "sid binary, n long, before long, keys array<long>, sketch array<long>, hashes binary")
+    return materialise(found.groupBy("sid").agg(*(F.first(c).alias(c) for c in ("n", "before", "keys", "sketch", "hashes"))), "keyed-sets")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -169,6 +178,9 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     long_enough = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
     # the first key that two sets share leaves enough shingles after it in both
     reach = lambda a, b, i, j: F.least(a - i, b - j) >= longer * (a + b) - 1e-9
+    # what a pair may differ in
+    differ = lambda a, b: sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(SKETCH // 64)), F.lit(0))
+    room = lambda a, b: (1 - threshold) / (1 + threshold) * (a + b) + 1e-9
     keys = sets.select("sid", "n", "before", F.posexplode("keys").alias("i", "key")).select("key", "sid", "n", (F.col("before") + F.col("i")).alias("place"))
     # the smaller set of a pair has the key among its first ones
     first = F.col("n") - F.col("place") >= 2 * longer * F.col("n") - 1e-9
@@ -190,7 +202,11 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         state = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / 2).alias("open")).filter("open > 0")
         state = materialise(state, "open-keys")
-        members = materialise(members.join(state.select("key"), "key"), "shingle-keys")
+        members = members.join(state.select("key"), "key")
+        if "sketch" not in members.columns:
+            # only sets of open keys are compared
+            members = members.join(sets.select("sid", "sketch"), "sid")
+        members = materialise(members, "shingle-keys")
         left = state.agg(F.sum("open")).first()[0] or 0
         # few, or pivots don't help any more: what is left is mostly unlike
         if left <= FEW * total or left > before / 2:
@@ -198,8 +214,8 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         before = left
         # the same sets come first for all keys that they share
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(r), "sid"), "sid"))
-        pivots = members.filter("first").withColumn("__order", order).filter(F.col("__order") <= PIVOTS).select("key", F.struct("sid", "n", "place", "root").alias("p"))
-        met = members.join(pivots, "key").filter((F.col("root") != F.col("p.root")) & long_enough(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place")))
+        pivots = members.filter("first").withColumn("__order", order).filter(F.col("__order") <= PIVOTS).select("key", F.struct("sid", "n", "place", "root", "sketch").alias("p"))
+        met = members.join(pivots, "key").filter((F.col("root") != F.col("p.root")) & long_enough(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place")) & (differ("sketch", "p.sketch") <= room(F.col("n"), F.col("p.n"))))
         near = similar(met.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"), F.col("p.root").alias("x"), F.col("root").alias("y")).distinct(), sets, threshold)
         if near.isEmpty():
             break
@@ -209,7 +225,7 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         state = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main")), "open-keys")
     outside = members.join(state.select("key", "main"), "key").filter("root <> main")
     a, b = outside.alias("a"), members.alias("b")
-    allowed = (F.col("a.root") != F.col("b.root")) & long_enough(F.col("a.n"), F.col("b.n")) & reach(F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place"))
+    allowed = (F.col("a.root") != F.col("b.root")) & long_enough(F.col("a.n"), F.col("b.n")) & reach(F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")) & (differ("a.sketch", "b.sketch") <= room(F.col("a.n"), F.col("b.n")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & allowed)
     swap = F.col("a.sid") > F.col("b.sid")
     ends = lambda c: (F.when(swap, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")), F.when(swap, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")))
