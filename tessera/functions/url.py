@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import networks
+
 # Fixed values of the feature definitions.
 SUSPICIOUS_KEYWORDS = ["login", "secure", "account", "verify", "update", "password", "bank", "client", "mail", "outlook", "inbox", "admin", "billing", "free", "click", "bonus", "office", "paypal", "ebay"]
 LOGIN_KEYWORDS = SUSPICIOUS_KEYWORDS[:4]
@@ -118,13 +120,8 @@ def is_ip(host_: Column) -> Column:
 
 
 def ip_category(host_: Column) -> Column:
-    """private, reserved, public or none for IPv4; loopback counts as private. Version 6: ::1, fc/fd, fe8-feb are private."""
-    octet = [F.split_part(host_, F.lit("."), F.lit(i + 1)).try_cast("int") for i in range(4)]
-    a, b, c, _ = octet
-    valid = is_ip(host_) & ~host_.rlike(r"(^|\.)0\d") & (F.greatest(*octet) <= 255)
-    private = a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | (a >= 240)
-    v6 = host_.rlike(r"^[0-9a-f]*:[0-9a-f:.]*$")
-    return F.when(valid & private, "private").when(valid, "public").when(v6 & host_.rlike(r"^(::1?$|f[cd]|fe[89ab]|2001:db8:)"), "private").when(v6, "public").otherwise("none")
+    """private, reserved, public, or none where the host is no address; loopback counts as private."""
+    return networks.category(host_)
 
 
 def count(text: Column, pattern: str) -> Column:

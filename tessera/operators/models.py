@@ -93,13 +93,13 @@ def calibrated(df: DataFrame, estimator, target: DataFrame | None = None, label:
     return scored.withColumn("p", vector_to_array("probability")[1]).drop("__m", "rawPrediction", "probability", "prediction")
 
 
-def cross_validate(df: DataFrame, estimator, folds: int, label: str = "label", fold_col: str = "fold") -> DataFrame:
-    """Rows of all folds with the score ``p`` of the model that had not seen them."""
+def cross_validate(df: DataFrame, estimator, folds: int, label: str = "label", fold_col: str = "fold", keep: list[str] | None = None) -> DataFrame:
+    """Rows of all folds with the score ``p`` of the model that had not seen them, and the columns in ``keep``."""
     parts = []
     for k in range(folds):
         scaler = scaler_for(estimator)
         model = Pipeline(stages=[scaler, estimator.copy({estimator.featuresCol: "scaled"})]).fit(df.filter(F.col(fold_col) != k))
-        parts.append(positive(model.transform(df.filter(F.col(fold_col) == k))).select(label, fold_col, "p"))
+        parts.append(positive(model.transform(df.filter(F.col(fold_col) == k))).select(*(keep or []), label, fold_col, "p"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

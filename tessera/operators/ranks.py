@@ -37,12 +37,18 @@ def numbered(df: DataFrame, group: str | None, order: str, out: str, ranges: int
 
 def running_sum(df: DataFrame, order: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Sum of ``value`` over all rows up to and with this one's order value; order values are distinct."""
+    return running_sums(df, order, {out: value}, ranges)
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], ranges: int | None = None) -> DataFrame:
+    """``df`` with a running sum for each name in ``sums``, of the column it stands for, added or replaced; order values are distinct."""
     staged = ranged(df, [order], ranges)
-    sizes = staged.groupBy(F.col("__range").alias("__r")).agg(F.sum(value).alias("__n"))
-    ahead = sizes.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__ahead"))  # a row per range
-    inside = F.sum(value).over(Window.partitionBy("__range").orderBy(order))
-    joined = staged.withColumn("__in", inside).join(F.broadcast(ahead), F.col("__range") == F.col("__r"))
-    return joined.select(*df.columns, (F.col("__in") + F.col("__ahead")).alias(out))
+    sizes = staged.groupBy(F.col("__range").alias("__r")).agg(*(F.sum(v).alias(f"__n{i}") for i, v in enumerate(sums.values())))
+    before = Window.orderBy("__r")
+    ahead = sizes.select("__r", *((F.sum(f"__n{i}").over(before) - F.col(f"__n{i}")).alias(f"__ahead{i}") for i in range(len(sums))))  # a row per range
+    inside = Window.partitionBy("__range").orderBy(order)
+    joined = staged.withColumns({f"__in{i}": F.sum(v).over(inside) for i, v in enumerate(sums.values())}).join(F.broadcast(ahead), F.col("__range") == F.col("__r"))
+    return joined.select(*(c for c in df.columns if c not in sums), *((F.col(f"__in{i}") + F.col(f"__ahead{i}")).alias(out) for i, out in enumerate(sums)))
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
