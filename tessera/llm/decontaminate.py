@@ -26,7 +26,7 @@ from tessera.llm.common import LOWER, UPPER, materialise
 
 #: Offsets that a seed looks at.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 6))
-#: Seeds of test items and alignments up to this number are broadcast (32 bytes each, so 64 MB); more are joined by shuffle.
+#: Seeds of test items and alignments up to this number are broadcast (32 bytes each, so 64 MB), and words of items up to the same bytes; more are joined by shuffle.
 MAX_BROADCAST_SEEDS = 2_000_000
 
 
@@ -67,7 +67,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     places = materialise(hits.select("__doc", "__hash", "__item", (F.col("__at") - F.col("__item_at")).alias("__shift")).distinct(), "alignments")
 
     test_words = tests.select(F.col("__item").alias("__test"), F.col("__words").alias("__test_words"))
-    if test_words.count() * 8192 <= MAX_BROADCAST_SEEDS * 32:
+    # 8 bytes a word and 64 a row
+    if (test_words.agg(F.sum(F.size("__test_words") * 8 + 64)).first()[0] or 0) <= MAX_BROADCAST_SEEDS * 32:
         test_words = F.broadcast(test_words)
     sized = places.join(test_words, F.col("__item").eqNullSafe(F.col("__test"))).select("__doc", "__hash", F.struct("__item", "__shift", F.size("__test_words").alias("n")).alias("place"))
     per_doc = sized.groupBy(F.col("__doc").alias("__key"), F.col("__hash").alias("__key_hash")).agg(F.collect_set("place").alias("__places"))
@@ -91,8 +92,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     length = F.least(n, F.greatest(F.lit(min_words), F.ceil(n * F.lit(share)).cast("int")))
     least = F.when(n < min_words, F.lit(1.0)).otherwise(F.lit(float(similarity)))
     equal = F.transform(F.col("__test_words"), lambda w, i: F.coalesce((F.get("piece", i - lead) == w).cast("int"), F.lit(0)))
-    running = F.transform(F.sequence(F.lit(0), n - F.col("length")), lambda s: F.struct(F.aggregate(F.slice(F.col("equal"), s + 1, F.col("length")), F.lit(0), lambda a, x: a + x).alias("matched"), (-s).alias("minus_start")))
-    best = aligned.withColumn("length", length).withColumn("least", least).withColumn("equal", equal).withColumn("best", F.array_max(running))
+    # counts of equal words up to each place, so that every window is one difference
+    sums = F.aggregate("equal", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    running = F.transform(F.sequence(F.lit(0), n - F.col("length")), lambda s: F.struct((F.get("sums", s + F.col("length")) - F.get("sums", s)).alias("matched"), (-s).alias("minus_start")))
+    # the sum over all words bounds every window
+    enough = F.aggregate("equal", F.lit(0), lambda a, x: a + x) >= F.col("least") * F.col("length")
+    best = aligned.withColumn("length", length).withColumn("least", least).withColumn("equal", equal).filter(enough).withColumn("sums", sums).withColumn("best", F.array_max(running))
     overlaps = best.select(
         F.col("__doc").alias("doc_id"),
         F.col("__item").alias("item_id"),
