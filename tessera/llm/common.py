@@ -44,6 +44,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable
     return df.mapInArrow(run, parsed)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of ``rows`` rows, so that what a task makes of them is not that of a whole batch at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pack_bits(bits: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
 

@@ -2,7 +2,8 @@
 
 A logistic model over the presence of words and word beginnings. In every sentence of a labelled text that has identity
 terms, these are swapped for each of the other terms of their group in turn; beside the log loss the model pays for the
-square of every change of the text's logit, so a group's mere mention moves the score little. Features are chosen by a
+square of every change of the text's logit, so a group's mere mention moves the score little. A swap changes features of identity terms only, of which there are a few hundred, so all swaps of all texts
+enter the fit as one matrix of sums over pairs of these features, added up within tasks. Features are chosen by a
 chi-square test over the training rows, with shuffled counts; the fit itself is over a bounded
 sample (``max_train_rows``) of labelled ids, one row each. The border between the marks is put where the scores of
 training rows, each from a fit without it, give the best F measure. Every document is scored over its whole text.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, materialise
+from tessera.llm.common import map_batches, materialise, pack_bits, sliced, unpack_bits
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE_END = re.compile(r"[.!?\n]+")
@@ -39,6 +40,7 @@ IDENTITY_GROUPS = [
     ["frauen", "männer"], ["femmes", "hommes"], ["mujeres", "hombres"],
 ]
 GROUP = {w: (g, i) for g in IDENTITY_GROUPS for i, w in enumerate(g)}
+STARTS = {w[: PREFIXES[0]] for w in GROUP}
 #: Fits that leave a part of the training rows out, to find the border.
 FOLDS = 3
 #: Rows of each mark from which on a border is looked for; with fewer it stays at one half.
@@ -77,10 +79,19 @@ def swaps(text: str | None) -> list[tuple[set[str], set[str]]]:
     return found
 
 
-def changed_features(words: set[str], gone: set[str], come: set[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the text that the swap takes away, and those it adds."""
-    stay = words - gone
-    shared = {w for w in stay if w[: PREFIXES[0]] in {g[: PREFIXES[0]] for g in gone | come}}
+def by_start(words: set[str]) -> dict[str, list[str]]:
+    """Words by their first letters; only those that begin like an identity term."""
+    found: dict[str, list[str]] = {}
+    for w in words:
+        if (start := w[: PREFIXES[0]]) in STARTS:
+            found.setdefault(start, []).append(w)
+    return found
+
+
+def changed_features(words: set[str] | dict[str, list[str]], gone: set[str], come: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the text that the swap takes away, and those it adds; ``words`` are the text's, perhaps by their first letters."""
+    begins = words if isinstance(words, dict) else by_start(words)
+    shared = {w for start in {g[: PREFIXES[0]] for g in gone | come} for w in begins.get(start, ()) if w not in gone}
     rest = feature_ids(shared)
     return np.setdiff1d(feature_ids(gone), np.union1d(rest, feature_ids(come))), np.setdiff1d(feature_ids(come), np.union1d(rest, feature_ids(gone)))
 
@@ -90,7 +101,7 @@ def feature_ids(words: set[str]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train_rows: int, fold_off: int | None) -> DataFrame:
-    """(text, y) of about ``max_train_rows`` labelled ids at most, by a hash of the id; of several texts of an id, the first in order."""
+    """(text, y, fold) of about ``max_train_rows`` labelled ids at most, by a hash of the id; of several texts of an id, the first in order."""
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropna().groupBy("__id").agg(F.max("__y").alias("__y"))
     if fold_off is not None:
         own = own.filter(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != fold_off)
@@ -98,7 +109,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     own = own.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(min(1.0, max_train_rows / max(n, 1)) * (1 << 20)))
     # at most about max_train_rows small rows
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own), F.col("__doc") == F.col("__id"))
-    return materialise(texts.groupBy("__id").agg(F.min("text").alias("text"), F.max("__y").alias("y")).select("text", "y"), "toxicity-sample")
+    return materialise(texts.groupBy("__id").agg(F.min("text").alias("text"), F.max("__y").alias("y")).select("text", "y", F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
 
 
 def select_features(sample: DataFrame, n_features: int, least: int) -> np.ndarray:
@@ -127,13 +138,10 @@ def places(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
 
 
-def fit(rows: list[np.ndarray], swapped: list[tuple[int, np.ndarray, np.ndarray]], y: np.ndarray, n_features: int, l2: float, counterfactual: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept. ``swapped``: row, features that go and features that come; a row's swaps share its weight."""
+def fit(rows: list[np.ndarray], swapped: tuple[np.ndarray, np.ndarray], y: np.ndarray, n_features: int, l2: float, counterfactual: float, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and intercept. ``swapped``: features that swaps change, and for each pair of them the sum of the products of their changes; a row's swaps share its weight."""
     r, c = places(rows)
-    gr, gc = places([g for _, g, _ in swapped])
-    nr, nc = places([n for *_, n in swapped])
-    of = np.array([i for i, *_ in swapped], np.int64)
-    share = 2 * counterfactual / (len(y) * np.bincount(of, minlength=len(y))[of]) if len(swapped) else np.zeros(0)
+    at, products = swapped
     w, b = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     # the rarer mark weighs more, by the root of the ratio of the two
     weight = np.where(y > 0, np.sqrt(max(1.0, (len(y) - y.sum()) / max(y.sum(), 1))), 1.0)
@@ -142,9 +150,7 @@ def fit(rows: list[np.ndarray], swapped: list[tuple[int, np.ndarray, np.ndarray]
         z = np.bincount(r, w[c], len(rows)) + b
         d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
         g = np.bincount(c, d[r], n_features) + l2 * w
-        if len(swapped):
-            gap = (np.bincount(nr, w[nc], len(swapped)) - np.bincount(gr, w[gc], len(swapped))) * share
-            g += np.bincount(nc, gap[nr], n_features) - np.bincount(gc, gap[gr], n_features)
+        g[at] += 2 * counterfactual / len(y) * (products @ w[at])
         g = np.append(g, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -152,6 +158,18 @@ def fit(rows: list[np.ndarray], swapped: list[tuple[int, np.ndarray, np.ndarray]
     return w, float(b)
 
 
+def swap_products(text: str | None, words: set[str], place: dict[int, int]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(features by ``place``, their changes, weight) of each distinct swap of a text; the weights of a text's swaps that change something add up to one."""
+    begins, found = by_start(words), []
+    for (gone, come), n in Counter((frozenset(g), frozenset(c)) for g, c in swaps(text)).items():
+        less, more = changed_features(begins, set(gone), set(come))
+        signs = {place[f]: s for s, ids in ((-1.0, less), (1.0, more)) for f in ids.tolist() if f in place}
+        if signs:
+            found.append((np.array(list(signs)), np.array(list(signs.values())), n))
+    total = sum(n for *_, n in found)
+    return [(at, signs, n / total) for at, signs, n in found]
+
+
 def border(z: np.ndarray, y: np.ndarray, recall_weight: float) -> float:
     """The logit from which on rows count as toxic, for the best F measure; half-way to the next row below."""
     order = np.argsort(-z, kind="stable")
@@ -167,38 +185,36 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = training_sample(docs, labels, id_col, text_col, label_col, max_train_rows, fold_off)
     chosen = select_features(sample, n_features, least)
 
+    at = np.flatnonzero(np.isin(chosen, feature_ids(set(GROUP))))
+    place = {int(chosen[i]): k for k, i in enumerate(at)}
+
     def project(batches):
+        products = np.zeros((FOLDS, len(at), len(at)))
         for batch in batches:
-            own, gone, come = [], [], []
-            for text in batch.column("text").to_pylist():
+            own = []
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 words = words_of(text)
-                find = lambda ids: np.flatnonzero(np.isin(chosen, ids)).tolist()
-                changes = [changed_features(words, *s) for s in swaps(text)]
-                own.append(find(feature_ids(words)))
-                gone.append([find(g) for g, _ in changes])
-                come.append([find(n) for _, n in changes])
-            yield {"y": batch.column("y"), "own": own, "gone": gone, "come": come}
-
-    schema = "y int, own array<int>, gone array<array<int>>, come array<array<int>>"
-    got = map_batches(sample.select("text", "y"), project, schema).collect() if len(chosen) else []  # max_train_rows at most
-    got.sort(key=lambda r: (r["own"], r["y"]))
-    y = np.array([float(r["y"] > 0) for r in got])
+                own.append(np.flatnonzero(np.isin(chosen, feature_ids(words))).tolist())
+                for mine, signs, weight in swap_products(text, words, place):
+                    products[fold][np.ix_(mine, mine)] += weight * np.outer(signs, signs)
+            n = len(own)
+            yield {"y": batch.column("y"), "fold": batch.column("fold"), "own": own, "products": [None] * n}
+        yield {"y": [None], "fold": [None], "own": [None], "products": [pack_bits(products)]}
+
+    # max_train_rows at most, and a matrix of a few hundred features from each task of that bounded sample
+    got = map_batches(sample.select("text", "y", "fold"), project, "y int, fold int, own array<int>, products binary").collect() if len(chosen) else []
+    products = sum((unpack_bits(bytes(r["products"]), np.float64).reshape(FOLDS, len(at), len(at)) for r in got if r["products"] is not None), np.zeros((FOLDS, len(at), len(at))))
+    got = sorted((r["own"], r["y"], r["fold"]) for r in got if r["own"] is not None)
+    y = np.array([float(mark > 0) for _, mark, _ in got])
     if not len(y) or y.min() == y.max():
         return {}, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)))
-    rows = [np.array(r["own"], np.int64) for r in got]
-    swapped = [(i, np.array(g, np.int64), np.array(n, np.int64)) for i, r in enumerate(got) for g, n in zip(r["gone"], r["come"], strict=True) if g or n]
-    w, b = fit(rows, swapped, y, len(chosen), l2, counterfactual)
+    rows, fold = [np.array(own, np.int64) for own, *_ in got], np.array([f for *_, f in got])
+    w, b = fit(rows, (at, products.sum(0)), y, len(chosen), l2, counterfactual)
     if min(y.sum(), len(y) - y.sum()) >= LEAST_MARKED:
-        # both marks are dealt evenly to the folds
-        fold = np.empty(len(y), np.int64)
-        for mark in (0, 1):
-            at = np.flatnonzero(y == mark)
-            fold[at] = np.arange(len(at)) % FOLDS
         z = np.empty(len(y))
         for k in range(FOLDS):
             kept = np.flatnonzero(fold != k)
-            place = {int(i): at for at, i in enumerate(kept)}
-            part = fit([rows[i] for i in kept], [(place[i], g, n) for i, g, n in swapped if i in place], y[kept], len(chosen), l2, counterfactual)
+            part = fit([rows[i] for i in kept], (at, products.sum(0) - products[k]), y[kept], len(chosen), l2, counterfactual)
             for i in np.flatnonzero(fold == k):
                 z[i] = part[0][rows[i]].sum() + part[1]
         b -= border(z, y, recall_weight)
@@ -210,11 +226,11 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str
     weights, intercept = model
     docs = docs.drop(out) if out != text_col else docs
     columns = docs.columns
-    limit = 500_000
+    limit = 200_000
 
     def run(batches):
         known: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             scores = []
             for text in batch.column("__text").to_pylist():
                 found: set[int] = set()

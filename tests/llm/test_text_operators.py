@@ -458,6 +458,7 @@ def test_toxicity_is_counterfactually_fair(spark):
         gaps[penalty] = abs(np.log(s[1] / (1 - s[1])) - np.log(s[2] / (1 - s[2])))
         assert s[3] > 0.5 > s[4]
     assert gaps[5.0] < 0.5 * gaps[0.0]
+    print(f"logit gap of two neutral mentions {gaps}")
     held = toxicity.score(df, model).withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).filter("held")
     assert held.filter((F.col("score") >= 0.5).cast("int") != F.col("toxic")).count() == 0
 
@@ -477,6 +478,30 @@ def test_swaps():
     assert toxicity.swaps(None) == toxicity.swaps("nobody is named") == []
 
 
+def test_swaps_of_a_text_add_up():
+    """The matrix of a text's swaps is the sum over its swaps one by one, and a very long text takes a moment."""
+    import time
+
+    text = "Women and men agree. The women left! Womenfolk stay.\nOld muslims speak. Old muslims speak. The christian church."
+    words = toxicity.words_of(text)
+    place = {int(f): k for k, f in enumerate(toxicity.feature_ids(set(toxicity.GROUP)))}
+    want, n = np.zeros((len(place), len(place))), 0
+    for gone, come in toxicity.swaps(text):
+        less, more = toxicity.changed_features(words, gone, come)
+        d = np.zeros(len(place))
+        d[[place[f] for f in less.tolist()]], d[[place[f] for f in more.tolist()]] = -1, 1
+        want, n = want + np.outer(d, d), n + bool(d.any())
+    got = np.zeros_like(want)
+    for at, signs, weight in toxicity.swap_products(text, words, place):
+        got[np.ix_(at, at)] += weight * np.outer(signs, signs)
+    assert got == pytest.approx(want / n)
+    rng = random.Random(1)
+    long = " ".join(f"the {rng.choice(['women', 'muslims', 'gay', 'young', 'black'])} of w{i} x{i} said so. And y{i} z{i}." for i in range(2000))
+    began = time.process_time()
+    assert sum(w for *_, w in toxicity.swap_products(long, toxicity.words_of(long), place)) == pytest.approx(1)
+    assert time.process_time() - began < 2
+
+
 def test_toxicity_scores_by_hand(spark):
     """Scores recomputed from the weights for words of all kinds, on long, empty and null texts."""
     import math
