@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, pack_bits, unpack_bits
+from tessera.llm.common import map_batches, pack_bits, sliced, unpack_bits
 
 BLOCKS = 64
 PARTIALS = "block int, part int, once binary, twice binary"
@@ -94,7 +94,7 @@ def build(hashes_of, df: DataFrame, bits: int, rows: int) -> DataFrame:
         from pyspark import TaskContext
 
         mine = Partial(bits, rows)
-        for batch in batches:
+        for batch in sliced(batches):
             if len(found := hashes_of(batch)):
                 mine.add(found)
         yield from mine.blocks(TaskContext.get().partitionId())

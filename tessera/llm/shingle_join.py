@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import as_bytes, map_batches, materialise, pack_bits, power_of_two, unpack_bits
+from tessera.llm.common import as_bytes, map_batches, materialise, pack_bits, power_of_two, sliced, unpack_bits
 from tessera.llm.components import connected_components
 from tessera.llm.repeat_filter import build, gather, suspected
 
@@ -90,7 +90,7 @@ def sets_of_rows(source: DataFrame, id_type: str, n: int) -> DataFrame:
 
     def run(batches):
         heat = np.zeros(HEAT, U)
-        for batch in batches:
+        for batch in sliced(batches):
             found, prints = [], []
             for text in batch.column("__text").to_pylist():
                 mine = shingles(text, n)
@@ -123,7 +123,7 @@ def keyed_sets(source: DataFrame, n: int, threshold: float, twice, heat) -> Data
     """(sid, n, before, keys, sketch, hashes) of the sets with keys; ``before`` are the shingles that come before the keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column("__text").to_pylist():
                 mine = shingles(text, n)
@@ -146,7 +146,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(x, y) of those of ``pairs`` (a, b, x, y) whose sets a and b reach the similarity."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x, y = [], []
             for *ends, p, q in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "p", "q")), strict=True):
                 p, q = np.frombuffer(p, U), np.frombuffer(q, U)
