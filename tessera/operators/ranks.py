@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.sources.workdir import materialise
 
+#: Of percentiles: the sketches' accuracy, rows of a group that are put in order whole, and groups (about 200 bytes each) whose bounds are broadcast.
+ACCURACY, SMALL, MAX_GROUPS = 100_000, 200_000, 100_000
+
 
 def ranged(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
     """``df`` with ``__range``, whose numbers rise with ``keys``, and ``__salt``, which parts rows that are equal in them."""
@@ -54,17 +57,27 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, str], ranges: int |
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by..., and for each name in ``shares`` the exact, linearly interpolated percentile) of the values that are not null.
 
-    The values are ranked in ranges and the two neighbours of each percentile are picked, so no buffer holds a group.
+    A mergeable sketch of each group gives two values around each percentile, nearer than a few in ``ACCURACY`` of the group's rows. A second pass counts the rows below the lower
+    one and the rows of each value between the two, and only these are put in order. Groups of ``SMALL`` rows at most are put in order whole.
     """
     own = df.filter(F.col(value).isNotNull()).select(F.struct(*(F.col(c) for c in by)).alias("__key") if by else F.lit(0).alias("__key"), F.col(value).cast("double").alias("__v"))
-    ranked = numbered(own, "__key", "__v", "__rank")
-    sizes = own.groupBy(F.col("__key").alias("__k")).agg(F.count(F.lit(1)).alias("__size"))
-    joined = ranked.join(sizes, F.col("__key").eqNullSafe(F.col("__k")))
-    picks = {}
-    for name, share in shares.items():
-        place = F.lit(float(share)) * (F.col("__size") - 1)
-        above = place - F.floor(place)
-        at = F.col("__rank") - 1
-        picks[name] = F.sum(F.when(at == F.floor(place), F.col("__v") * (1 - above)).when((at == F.floor(place) + 1) & (above > 0), F.col("__v") * above))
-    found = joined.groupBy("__key").agg(*(v.alias(k) for k, v in picks.items()))
+    margin = 3 / ACCURACY
+    around = F.array(*(F.lit(min(1.0, max(0.0, share + side * margin))) for share in shares.values() for side in (-1, 1)))
+    sketch = own.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", around, F.lit(ACCURACY)).alias("__q"))
+    large = F.col("__n") > SMALL
+    # a bound that is null holds nothing off
+    edge = lambda i, side, open_: F.when(large & F.lit(not open_), F.col("__q")[2 * i + side])
+    bounds = F.array(*(F.struct(F.lit(i).alias("i"), edge(i, 0, share <= margin).alias("lo"), edge(i, 1, share >= 1 - margin).alias("hi")) for i, share in enumerate(shares.values())))
+    groups = materialise(sketch.select(F.col("__key").alias("__k"), "__n", bounds.alias("__bounds")), "percentile-bounds")
+    if groups.count() <= MAX_GROUPS:
+        groups = F.broadcast(groups)
+    v = F.col("__v")
+    near = F.transform(F.filter("__bounds", lambda b: b["hi"].isNull() | (v <= b["hi"])), lambda b: F.struct(b["i"].alias("i"), F.when(b["lo"].isNull() | (v >= b["lo"]), v).alias("v")))
+    counts = own.join(groups, F.col("__key").eqNullSafe(F.col("__k"))).select("__key", "__n", F.inline(near)).groupBy("__key", "__n", "i", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("__key", "i").orderBy(F.asc_nulls_first("v")))
+    place = F.get(F.array(*map(F.lit, map(float, shares.values()))), F.col("i")) * (F.col("__n") - 1)
+    first = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+    picked = counts.withColumn("upto", upto).withColumn("at", F.floor(place)).withColumn("part", place - F.floor(place)).groupBy("__key", "i", "part").agg(first(F.col("at") + 1).alias("a"), first(F.least(F.col("at") + 2, "__n")).alias("b"))
+    exact = F.when(F.col("part") > 0, F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part")).otherwise(F.col("a"))
+    found = picked.groupBy("__key").agg(*(F.max(F.when(F.col("i") == i, exact)).alias(name) for i, name in enumerate(shares)))
     return found.select(*(F.col(f"__key.{c}").alias(c) for c in by), *shares)

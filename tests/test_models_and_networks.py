@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import networks as N
 from tessera.functions import url as U
-from tessera.operators import ensembles, models, networks, relational, tree_shap, weight_fit
+from tessera.operators import ensembles, models, networks, ranks, relational, tree_shap, weight_fit
 
 
 def subset_value(tree, x, given, at=0):
@@ -202,3 +202,22 @@ def test_hosts_that_are_addresses_have_themselves_only(spark):
     assert (got["10.9.9.9"].num_distinct_ips, got["10.9.9.9"].asn_org_list) == (1, ["a"])
     assert got["2001:db8::5"].asn_country_list == ["z"]
     assert (got["e"].num_distinct_ips, got["e"].cidr_list) == (0, [])
+
+
+@pytest.mark.parametrize(("small", "accuracy"), [(200_000, 100_000), (0, 300)])
+def test_percentiles_from_slices(spark, monkeypatch, small, accuracy):
+    """Whole groups and slices between sketched bounds give the same, exact percentiles."""
+    monkeypatch.setattr(ranks, "SMALL", small)
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=4000), "b": rng.integers(0, 5, 3000).astype(float), None: np.full(3000, 7.0), "c": np.concatenate([rng.exponential(size=5000), [1e9, -1e9]])}
+    rows = [(g, float(x)) for g, values in groups.items() for x in values] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p999": 0.999, "p100": 1.0}
+    got = {r.g: r for r in ranks.percentiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        assert [got[g][k] for k in shares] == pytest.approx([np.quantile(values, q) for q in shares.values()], rel=1e-12)
+    one = ranks.percentiles(df, [], "v", {"m": 0.5}).collect()
+    assert one[0].m == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+    assert ranks.percentiles(df.limit(0), ["g"], "v", shares).count() == 0
