@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import records
 from tessera.operators import generate, models
 from tessera.sources import workdir
-from tessera.streaming import streams
+from tessera.streaming import keyed, streams
 
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
@@ -68,11 +68,29 @@ def stream_retrain(spark, sf_dir):
     return spark.read.parquet(out).select(F.col("batch").cast("int").alias("batch"), "rows", "processed", "due")
 
 
+def passed_by(spark, sf_dir, n):
+    """Users and times of the events, one stretch of time after the other, and a row of no user long after them, which moves the watermark past all."""
+    path, events = workdir.shared(spark, "event-times"), spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts")
+    first, last = events.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    part = F.least(F.floor((F.col("ts").cast("double") - (first or 0.0)) / max((last or 0.0) - (first or 0.0), 1.0) * n), F.lit(n - 1))
+    for k in range(n):  # one after the other, as the stream takes files in the order of their times
+        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.lit((last or 0.0) + 10 * 86_400)).alias("ts")).write.mode("append").parquet(path)
+    return streams.event_time(streams.files(spark, path, events.schema, max_files=1), delay="1 hour")
+
+
 def stream_ttl_cache(spark, sf_dir):
     """Requests of users through a cache of 24 hours, over batches in time order: hits and misses of each user."""
-    s = streams.event_time(in_files(spark, sf_dir, 3, ordered=True).select("user_id", "ts"), delay="1 hour")
-    hits = finished(spark, streams.ttl_cache(s, "user_id", "ts"), "ttl")
-    return hits.groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    with keyed.store(spark):
+        hits = finished(spark, keyed.ttl_cache(passed_by(spark, sf_dir, 3), "user_id", "ts", slot_ms=600_000), "ttl")
+    return hits.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+def stream_token_bucket(spark, sf_dir):
+    """Requests that each user is allowed with three tokens that come back one in a quarter of a day."""
+    with keyed.store(spark):
+        told = finished(spark, keyed.token_bucket(passed_by(spark, sf_dir, 3), "user_id", "ts", rate=1 / 21_600, capacity=3.0, slot_ms=600_000), "bucket")
+    return told.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("allowed"))
 
 
 def stream_windows(spark, sf_dir):
@@ -136,6 +154,7 @@ SQL = {
     "stream_upsert": "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "stream_retrain": "WITH n AS (SELECT count(*) AS n FROM events), b AS (SELECT CAST(range AS INTEGER) AS batch, CAST(n // 10 AS BIGINT) AS rows FROM range(10), n) SELECT batch, rows, CAST(rows * (batch + 1) AS BIGINT) AS processed, batch % 3 = 2 AS due FROM b",
     "stream_ttl_cache": "WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), c AS (SELECT user_id, k, ts AS entry, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, CASE WHEN o.ts < c.entry + INTERVAL 24 HOUR THEN c.entry ELSE o.ts END, o.ts < c.entry + INTERVAL 24 HOUR FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1) SELECT user_id, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM c GROUP BY user_id",
+    "stream_token_bucket": "WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), c AS (SELECT user_id, k, us, 2.0::DOUBLE AS tokens, 1 AS allowed FROM o WHERE k = 1 UNION ALL SELECT user_id, k, us, CASE WHEN x >= 1 THEN x - 1 ELSE x END, CAST(x >= 1 AS INTEGER) FROM (SELECT o.user_id, o.k, o.us, least(3.0::DOUBLE, c.tokens + (o.us - c.us) / 1e6::DOUBLE * (1.0::DOUBLE / 21600)) AS x FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1)) SELECT user_id, count(*) AS n, CAST(sum(allowed) AS BIGINT) AS allowed FROM c GROUP BY user_id",
     "stream_windows": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "dns_record_features": "SELECT 'd' || s_suppkey || '.example.com' AS domain, 1 AS has_A, CAST(s_suppkey % 3 + 1 AS INTEGER) AS num_A, CAST(s_suppkey % 2 = 0 AS INTEGER) AS has_MX, CAST(s_suppkey % 4 = 0 AS INTEGER) AS has_TXT, 300.0::DOUBLE AS ttl_min, (s_suppkey % 3 + 1) * 300.0::DOUBLE AS ttl_max, CASE s_suppkey % 3 WHEN 0 THEN 300.0::DOUBLE WHEN 1 THEN 450.0 ELSE 600.0 END AS ttl_mean, CASE s_suppkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 22500.0 ELSE 60000.0 END AS ttl_var, CASE WHEN s_suppkey % 2 = 0 THEN 10.0::DOUBLE ELSE -1.0 END AS mx_priority_min, CAST(s_suppkey % 3 + 1 AS INTEGER) AS num_distinct_ips, CAST(s_suppkey % 4 = 0 AS INTEGER) AS has_SPF FROM supplier",
     "registration_ages": "SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '2005-01-01 00:00:00') - epoch(o_orderdate)) / 86400) AS INTEGER) AS domain_age_days, 400 AS registration_length_days, CAST(o_orderkey % 2 = 0 AS INTEGER) AS has_privacy_protection FROM orders",

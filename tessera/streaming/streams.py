@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import relational
 from tessera.sources import workdir
@@ -92,57 +88,6 @@ def run_available(df: DataFrame, checkpoint: str, **sink) -> None:
     query.awaitTermination()
 
 
-def token_bucket(df: DataFrame, key: str, ts: str, rate: float, capacity: float) -> DataFrame:
-    """(key, ts, allowed) for a stream: each request takes a token, tokens return at ``rate`` a second up to ``capacity``.
-
-    The state of a key is its tokens and the time of its last request; requests of one key are taken in time order within a batch.
-    """
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(batches)).sort_values(ts)
-        allowed = []
-        for now in rows[ts].astype("int64") / 1e9:
-            tokens = min(capacity, tokens + (max(0.0, now - last) * rate if last is not None else 0.0))
-            ok = tokens >= 1.0
-            tokens -= 1.0 if ok else 0.0
-            last = now
-            allowed.append(ok)
-        state.update((tokens, last))
-        yield pd.DataFrame({key: [keys[0]] * len(rows), ts: rows[ts], "allowed": allowed})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def ttl_cache(df: DataFrame, key: str, ts: str, ttl: str = "24 hours") -> DataFrame:
-    """(key, ts, hit) for a stream of requests through a cache: a miss writes an entry that lives for ``ttl`` from then on, hits don't renew it.
-
-    The state of a key is the time of its entry. It is dropped when the watermark, which ``df`` must have on ``ts``, has passed the entry's end; requests
-    of one key are taken in time order within a batch.
-    """
-    life = pd.Timedelta(ttl)
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        entry = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(ts)
-        hits = []
-        for now in rows[ts]:
-            hit = entry is not None and now < entry + life
-            if not hit:
-                entry = now
-            hits.append(hit)
-        state.update((entry.value // 1000,))
-        state.setTimeoutTimestamp(max(int((entry + life).value // 10**6), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [keys[0]] * len(rows), ts: rows[ts], "hit": hits})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, hit boolean", "entry long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def retried(call, attempts: int = 3, wait: float = 1.0, sleep=None):
     """``call()``, tried again after ``wait``, twice that, and so on; None when all attempts failed. For lookups of one partition, not for Spark's own tasks, which Spark retries."""
     import time

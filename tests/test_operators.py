@@ -54,15 +54,18 @@ def test_feeds(spark):
 
 
 def test_token_bucket_stream(spark, tmp_path):
-    from tessera.streaming import streams
+    from tessera.streaming import keyed, streams
 
-    data = spark.createDataFrame([("k", i // 4) for i in range(8)], "k string, s int").select("k", F.timestamp_seconds("s").alias("ts"))
+    data = spark.createDataFrame([("k", 1000 + i // 4) for i in range(8)], "k string, s int").select("k", F.timestamp_seconds("s").alias("ts"))
     data.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = streams.files(spark, str(tmp_path / "in"), "k string, ts timestamp")
-    query = streams.token_bucket(source, "k", "ts", rate=1.0, capacity=2.0).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    # a request of another key much later moves the watermark past all of them
+    spark.createDataFrame([("z", 9999)], "k string, s int").select("k", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = streams.event_time(streams.files(spark, str(tmp_path / "in"), "k string, ts timestamp"), delay="1 second")
+    with keyed.store(spark):
+        query = keyed.token_bucket(source, "k", "ts", rate=1.0, capacity=2.0).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     # two at once, then one more for the second that passed
-    assert spark.table("bucket").filter("allowed").count() == 3
+    assert spark.table("bucket").filter("allowed AND k = 'k'").count() == 3
 
 
 def test_retries_wait_longer_each_time():
