@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             own = []
             for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
                 words = words_of(text)
-                own.append(np.flatnonzero(np.isin(chosen, feature_ids(words))).tolist())
+                own.append(np.flatnonzero(np.isin(chosen, feature_ids(words))).astype(np.int32).tobytes())
                 for mine, signs, weight in swap_products(text, words, place):
                     products[fold][np.ix_(mine, mine)] += weight * np.outer(signs, signs)
             n = len(own)
@@ -202,13 +202,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield {"y": [None], "fold": [None], "own": [None], "products": [pack_bits(products)]}
 
     # max_train_rows at most, and a matrix of a few hundred features from each task of that bounded sample
-    got = map_batches(sample.select("text", "y", "fold"), project, "y int, fold int, own array<int>, products binary").collect() if len(chosen) else []
+    got = map_batches(sample.select("text", "y", "fold"), project, "y int, fold int, own binary, products binary").collect() if len(chosen) else []
     products = sum((unpack_bits(bytes(r["products"]), np.float64).reshape(FOLDS, len(at), len(at)) for r in got if r["products"] is not None), np.zeros((FOLDS, len(at), len(at))))
-    got = sorted((r["own"], r["y"], r["fold"]) for r in got if r["own"] is not None)
+    got = sorted((bytes(r["own"]), r["y"], r["fold"]) for r in got if r["own"] is not None)
     y = np.array([float(mark > 0) for _, mark, _ in got])
     if not len(y) or y.min() == y.max():
         return {}, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1)))
-    rows, fold = [np.array(own, np.int64) for own, *_ in got], np.array([f for *_, f in got])
+    rows, fold = [np.frombuffer(own, np.int32) for own, *_ in got], np.array([f for *_, f in got])
     w, b = fit(rows, (at, products.sum(0)), y, len(chosen), l2, counterfactual)
     if min(y.sum(), len(y) - y.sum()) >= LEAST_MARKED:
         z = np.empty(len(y))
