@@ -101,8 +101,9 @@ def version_bump(spark, sf_dir):
 
 
 def dimension_samples(spark, sf_dir):
-    """Rows of each group of the six dimensions for a thousand rows each, and whether all look as they should."""
-    parts = [samplers.sample(spark, d, 1000) for d in DIMENSIONS]
+    """Rows of each group of the six dimensions, each dimension with as many rows as there are pages to stand beside, and whether all look as they should."""
+    n = t(spark, sf_dir, "pages").count()
+    parts = [samplers.sample(spark, d, n) for d in DIMENSIONS]
     rows = reduce(DataFrame.unionByName, parts)
     good = F.col("url").rlike("^[a-z0-9-]+:") & ~F.col("url").rlike("[{}]")
     return rows.groupBy("dimension", "group").agg(F.count(F.lit(1)).alias("n"), F.bool_and(good).alias("good"), F.max("label").alias("label"))
@@ -147,7 +148,7 @@ SQL = {
     "l AS (SELECT wa, wb, wc, avg(-(toxic * ln(r) + (1 - toxic) * ln(1 - r))) AS log_loss, avg((r - toxic) ** 2) AS brier, -avg(CAST((r >= 0.5) = (toxic = 1) AS INTEGER)) AS neg_accuracy, -coalesce(2.0 * count(*) FILTER (WHERE toxic = 1 AND r >= 0.5) / nullif(2 * count(*) FILTER (WHERE toxic = 1 AND r >= 0.5) + count(*) FILTER (WHERE toxic = 0 AND r >= 0.5) + count(*) FILTER (WHERE toxic = 1 AND r < 0.5), 0), 0) AS neg_f1 FROM q GROUP BY wa, wb, wc), "
     "u AS (UNPIVOT l ON log_loss, brier, neg_accuracy, neg_f1 INTO NAME loss VALUE value), k AS (SELECT loss, round(value, 6) AS value, wa, wb, wc, row_number() OVER (PARTITION BY loss ORDER BY round(value, 6), wa, wb, wc) AS rn FROM u) SELECT loss, value, wa, wb, wc FROM k WHERE rn = 1",
     "diversity_overall": _DIV,
-    "dimension_samples": f"SELECT dimension, \"group\", n, true AS good, CASE WHEN dimension = 'attack_type' OR \"group\" = 'free_abuse' THEN 'phishing' ELSE 'legitimate' END AS label FROM (VALUES {_VALUES}) AS v(dimension, \"group\", n)",
+    "dimension_samples": f"SELECT dimension, \"group\", (SELECT count(*) FROM pages) * n // 1000 AS n, true AS good, CASE WHEN dimension = 'attack_type' OR \"group\" = 'free_abuse' THEN 'phishing' ELSE 'legitimate' END AS label FROM (VALUES {_VALUES}) AS v(dimension, \"group\", n) WHERE (SELECT count(*) FROM pages) * n // 1000 > 0",
     "version_bump": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'v1.0.0' ELSE 'v1.' || o_orderkey % 3 || '.' || (o_orderkey % 11 + 1) END AS version FROM orders",
 }
 QUERIES = {name: globals()[name] for name in SQL}

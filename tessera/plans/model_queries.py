@@ -6,7 +6,7 @@ from pyspark.ml import classification as C
 from pyspark.sql import functions as F
 
 from tessera.functions import networks as N
-from tessera.operators import models, networks, relational, tree_shap, weight_fit
+from tessera.operators import models, networks, random_trees, relational, sgd, tree_shap, weight_fit
 from tessera.plans.stream_queries import vectors
 from tessera.plans.table_queries import scored, t
 
@@ -52,6 +52,29 @@ def weight_fit_folds(spark, sf_dir):
     return fitted.select("loss", (F.col("value") <= F.col("grid_value")).alias("no_worse"), (F.abs(total - 1) < 1e-9).alias("adds_up"), F.forall("weights", lambda w: w >= 0).alias("none_negative"))
 
 
+def extra_trees_cover(spark, sf_dir):
+    """What the leaves of three trees with random cuts hold together: every vector once in each."""
+    v = vectors(spark, sf_dir).filter("embedding IS NOT NULL")
+    trees = random_trees.extra_trees(v, "label", "embedding", n_trees=3, max_depth=3)
+    rows = [(k, float(sum(tree.nodes[leaf].cover for leaf, *_ in tree.paths)), len(tree.paths) > 1) for k, tree in enumerate(trees)]
+    return spark.createDataFrame(rows, "tree int, n double, grown boolean")
+
+
+def boosted_weights(spark, sf_dir):
+    """One round of boosting on all vectors: whether the new weights add up to one, and the wrong rows to half of it."""
+    v = models.assemble(vectors(spark, sf_dir).filter("embedding IS NOT NULL"), array_col="embedding").withColumn("w", F.lit(1.0))
+    tree, _, moved = random_trees.boosted_round(v.select("vec_id", "label", "features", "w"), 1, 1)
+    judged = tree.transform(moved)
+    return judged.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("whole"), F.round(F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w"))), 6).alias("wrong"))
+
+
+def sgd_margins(spark, sf_dir):
+    """Rows of each label with a score from a model fitted by mini-batches."""
+    v = vectors(spark, sf_dir).filter("embedding IS NOT NULL")
+    fitted = sgd.fit(v, "label", "embedding", "vec_id", epochs=3)
+    return fitted.score(v, "embedding").groupBy("label").agg(F.count("p").alias("n"), F.bool_and((F.col("p") > 0) & (F.col("p") < 1)).alias("between"))
+
+
 def page_addresses(spark, sf_dir):
     """Addresses of both families made from page numbers."""
     k = F.col("page_id")
@@ -118,6 +141,9 @@ SQL = {
     "tree_contributions": _TREE,
     "weight_fit_losses": _FIT,
     "weight_fit_folds": "SELECT loss, count(*) > 0 AS no_worse, count(*) > 0 AS adds_up, count(*) > 0 AS none_negative FROM embeddings, (VALUES ('log_loss'), ('brier'), ('neg_accuracy'), ('neg_f1')) AS v(loss) GROUP BY loss",
+    "extra_trees_cover": "SELECT CAST(range AS INTEGER) AS tree, count(*)::DOUBLE AS n, true AS grown FROM embeddings, range(3) WHERE embedding IS NOT NULL GROUP BY range",
+    "boosted_weights": "SELECT count(*) AS n, 1.0::DOUBLE AS whole, 0.5::DOUBLE AS wrong FROM embeddings WHERE embedding IS NOT NULL",
+    "sgd_margins": "SELECT CAST(label % 2 AS INTEGER) AS label, count(*) AS n, true AS between FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1",
     "longest_prefix": f"WITH {_PAGES}, {_NETS}, m AS (SELECT page_id, cidr, asn, row_number() OVER (PARTITION BY page_id ORDER BY len DESC) AS place FROM pa JOIN nets ON {_HELD}) "
     "SELECT page_id, ip, cidr, asn, CASE family WHEN 0 THEN 'none' WHEN 4 THEN 'private' ELSE 'public' END AS category FROM pa LEFT JOIN (SELECT * FROM m WHERE place = 1) USING (page_id)",
     "host_networks": f"WITH {_PAGES}, {_NETS}, h AS (SELECT DISTINCT CASE WHEN page_id % 11 = 0 THEN '10.0.0.' || page_id % 200 ELSE 'h' || page_id % 40 || '.example' END AS host, CASE WHEN page_id % 11 = 0 THEN '10.0.0.' || page_id % 200 ELSE ip END AS ip, CASE WHEN page_id % 11 = 0 THEN 4 ELSE family END AS family, CASE WHEN page_id % 11 = 0 THEN 0 ELSE second END AS second, group2 FROM pa WHERE family > 0), "

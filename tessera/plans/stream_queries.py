@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import records
+from tessera.functions import url as U
 from tessera.operators import generate, models
 from tessera.sources import workdir
 from tessera.streaming import keyed, streams
@@ -93,6 +94,18 @@ def stream_token_bucket(spark, sf_dir):
     return told.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("allowed"))
 
 
+def stream_percentiles(spark, sf_dir):
+    """Percentiles of a value for each kind of event after four batches, and whether their ranks are as near as promised."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rolling = streams.rolling_percentiles(in_files(spark, sf_dir, 4), ["event_type"], "value", shares)
+    got = finished(spark, rolling, "percentiles", "complete")
+    long = got.select("event_type", "n", F.round("mean", 6).alias("mean"), "largest", F.inline(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(s).alias("share"), F.col(k).alias("at")) for k, s in shares.items()))))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("__e"), F.col("value").alias("__v"))
+    ranks = long.join(events, F.col("event_type").eqNullSafe(F.col("__e"))).groupBy("event_type", "n", "mean", "largest", "name", "share").agg(F.count_if(F.col("__v") < F.col("at")).alias("below"), F.count_if(F.col("__v") <= F.col("at")).alias("upto"))
+    near = (F.col("below") <= (F.col("share") + 0.002) * F.col("n") + 1) & (F.col("upto") >= (F.col("share") - 0.002) * F.col("n") - 1)
+    return ranks.select("event_type", "n", "mean", "largest", "name", near.alias("near"))
+
+
 def stream_windows(spark, sf_dir):
     s = streams.event_time(events_stream(spark, sf_dir).select("ts", "event_type"), delay="1 hour")
     counts = finished(spark, streams.windowed_counts(s, "ts", "event_type", "1 day"), "windows", "complete")
@@ -122,8 +135,11 @@ def registration_ages(spark, sf_dir):
 
 
 def generated_urls(spark, sf_dir):
-    groups = {"common": (0.5, ["a.example.com", "b.example.org"], ["https://{d}", "https://www.{d}", "https://{d}/login"]), "rare": (0.25, ["c.example.net"], ["http://{d}", "http://{d}:8080"])}
-    return generate.by_quota(spark, groups, 40).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
+    """URLs from templates and the hosts of the pages, three quarters as many as there are pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", U.host(F.col("url")).alias("host")).filter("host IS NOT NULL")
+    hosts = lambda rest: pages.filter(F.col("page_id") % 2 == rest).select("host").distinct()
+    groups = {"common": (0.5, hosts(0), ["https://{d}", "https://{d}/login"]), "rare": (0.25, hosts(1), ["http://{d}", "http://{d}:8080"])}
+    return generate.by_quota(spark, groups, pages.count()).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"))
 
 
 def vectors(spark, sf_dir):
@@ -155,10 +171,11 @@ SQL = {
     "stream_retrain": "WITH n AS (SELECT count(*) AS n FROM events), b AS (SELECT CAST(range AS INTEGER) AS batch, CAST(n // 10 AS BIGINT) AS rows FROM range(10), n) SELECT batch, rows, CAST(rows * (batch + 1) AS BIGINT) AS processed, batch % 3 = 2 AS due FROM b",
     "stream_ttl_cache": "WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events), c AS (SELECT user_id, k, ts AS entry, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, CASE WHEN o.ts < c.entry + INTERVAL 24 HOUR THEN c.entry ELSE o.ts END, o.ts < c.entry + INTERVAL 24 HOUR FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1) SELECT user_id, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses FROM c GROUP BY user_id",
     "stream_token_bucket": "WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), c AS (SELECT user_id, k, us, 2.0::DOUBLE AS tokens, 1 AS allowed FROM o WHERE k = 1 UNION ALL SELECT user_id, k, us, CASE WHEN x >= 1 THEN x - 1 ELSE x END, CAST(x >= 1 AS INTEGER) FROM (SELECT o.user_id, o.k, o.us, least(3.0::DOUBLE, c.tokens + (o.us - c.us) / 1e6::DOUBLE * (1.0::DOUBLE / 21600)) AS x FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1)) SELECT user_id, count(*) AS n, CAST(sum(allowed) AS BIGINT) AS allowed FROM c GROUP BY user_id",
+    "stream_percentiles": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, max(value) AS largest, name, true AS near FROM events, (VALUES ('p50'), ('p95'), ('p99')) AS v(name) GROUP BY event_type, name",
     "stream_windows": "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "dns_record_features": "SELECT 'd' || s_suppkey || '.example.com' AS domain, 1 AS has_A, CAST(s_suppkey % 3 + 1 AS INTEGER) AS num_A, CAST(s_suppkey % 2 = 0 AS INTEGER) AS has_MX, CAST(s_suppkey % 4 = 0 AS INTEGER) AS has_TXT, 300.0::DOUBLE AS ttl_min, (s_suppkey % 3 + 1) * 300.0::DOUBLE AS ttl_max, CASE s_suppkey % 3 WHEN 0 THEN 300.0::DOUBLE WHEN 1 THEN 450.0 ELSE 600.0 END AS ttl_mean, CASE s_suppkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 22500.0 ELSE 60000.0 END AS ttl_var, CASE WHEN s_suppkey % 2 = 0 THEN 10.0::DOUBLE ELSE -1.0 END AS mx_priority_min, CAST(s_suppkey % 3 + 1 AS INTEGER) AS num_distinct_ips, CAST(s_suppkey % 4 = 0 AS INTEGER) AS has_SPF FROM supplier",
     "registration_ages": "SELECT o_orderkey, CAST(floor((epoch(TIMESTAMP '2005-01-01 00:00:00') - epoch(o_orderdate)) / 86400) AS INTEGER) AS domain_age_days, 400 AS registration_length_days, CAST(o_orderkey % 2 = 0 AS INTEGER) AS has_privacy_protection FROM orders",
-    "generated_urls": "SELECT 'common' AS \"group\", CAST(20 AS BIGINT) AS n, CAST(20 AS BIGINT) AS urls UNION ALL SELECT 'rare', 10, 10",
+    "generated_urls": "SELECT g AS \"group\", CAST(floor(count(*) * share) AS BIGINT) AS n, CAST(floor(count(*) * share) AS BIGINT) AS urls FROM pages, (VALUES ('common', 0.5), ('rare', 0.25)) AS v(g, share) WHERE url IS NOT NULL GROUP BY g, share",
     "knn_share": "WITH d AS (SELECT q.vec_id AS query, v.vec_id, v.label % 2 AS y, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS dist FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, vec_id) AS rn FROM d) SELECT query, round(avg(y), 6) AS p FROM r WHERE rn <= 5 GROUP BY query",
 }
 QUERIES = {name: globals()[name] for name in [*SQL, "train_cv"]}

@@ -47,8 +47,9 @@ def update_join(spark, sf_dir):
 
 
 def candidate_cross(spark, sf_dir):
-    a = spark.range(3).select(F.col("id").alias("a"))
-    return a.crossJoin(a.withColumnRenamed("a", "b")).crossJoin(a.withColumnRenamed("a", "c")).crossJoin(spark.range(4).select(F.col("id").alias("s")))
+    """All combinations of the few kinds that three tables have."""
+    kinds = lambda name, column, out: t(spark, sf_dir, name).select(F.col(column).alias(out)).filter(F.col(out).isNotNull()).distinct()
+    return kinds("events", "event_type", "a").crossJoin(F.broadcast(kinds("documents", "lang", "b"))).crossJoin(F.broadcast(kinds("orders", "o_orderstatus", "c")))
 
 
 def upsert_keep_last(spark, sf_dir):
@@ -304,7 +305,7 @@ SQL = {
     "anti_join_new": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "semi_common": "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT event_id FROM events)",
     "update_join": "SELECT d.doc_id, CAST(coalesce(l.toxic, 0) AS INTEGER) AS label, CASE WHEN l.doc_id IS NULL THEN 'untouched' WHEN l.toxic = 0 THEN 'same' ELSE 'updated' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "candidate_cross": "SELECT a.range AS a, b.range AS b, c.range AS c, s.range AS s FROM range(3) a, range(3) b, range(3) c, range(4) s",
+    "candidate_cross": "SELECT DISTINCT a, b, c FROM (SELECT DISTINCT event_type AS a FROM events WHERE event_type IS NOT NULL), (SELECT DISTINCT lang AS b FROM documents WHERE lang IS NOT NULL), (SELECT DISTINCT o_orderstatus AS c FROM orders WHERE o_orderstatus IS NOT NULL)",
     "upsert_keep_last": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
     "dedupe_keep_first": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn FROM conversations) WHERE rn = 1",
     "insert_only_merge": "SELECT c_custkey, c_mktsegment FROM customer UNION ALL SELECT DISTINCT o_custkey * 2, 'NEW' FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)",

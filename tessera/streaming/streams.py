@@ -33,6 +33,17 @@ def metrics(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.avg(value).alias("mean"))
 
 
+def rolling_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], k: int = 4096) -> DataFrame:
+    """(by..., n, mean, largest, and each percentile in ``shares``) so far, for a stream in complete or update mode, or a batch.
+
+    The values of a group are held as a mergeable quantile sketch: partial in each task, merged in state, some tens of kilobytes whatever the rows. With ``k`` 4096 a
+    percentile's rank is within 0.2 % of what was asked (and exact while a group has fewer rows than ``k``); ``operators.ranks.percentiles`` is exact at rest.
+    """
+    v = F.col(value).cast("double")
+    held = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("largest"), F.kll_sketch_agg_double(v, k).alias("__sketch"))
+    return held.select(*by, "n", "mean", "largest", *(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("__sketch", F.lit(float(share)))).alias(name) for name, share in shares.items()))
+
+
 def windowed_counts(df: DataFrame, ts: str, key: str, width: str) -> DataFrame:
     return df.groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"))
 
