@@ -6,9 +6,10 @@ from pyspark.ml import classification as C
 from pyspark.sql import functions as F
 
 from tessera.functions import networks as N
-from tessera.operators import models, networks, random_trees, relational, sgd, tree_shap, weight_fit
+from tessera.operators import enrichment, models, networks, random_trees, relational, runs, sgd, tree_shap, weight_fit
 from tessera.plans.stream_queries import vectors
 from tessera.plans.table_queries import scored, t
+from tessera.sources import workdir
 
 #: A tree with a feature that is asked twice on one path.
 GIVEN_TREE = {
@@ -75,6 +76,31 @@ def sgd_margins(spark, sf_dir):
     return fitted.score(v, "embedding").groupBy("label").agg(F.count("p").alias("n"), F.bool_and((F.col("p") > 0) & (F.col("p") < 1)).alias("between"))
 
 
+def training_run(spark, sf_dir):
+    """A run over folds, two models, report, choice, refit, save and gate, and a second start of it that finds all stages whole."""
+    v = models.assemble(vectors(spark, sf_dir), array_col="embedding")
+    zoo = {"logreg": C.LogisticRegression(regParam=0.01, maxIter=10, labelCol="label"), "bayes": C.NaiveBayes(modelType="gaussian", labelCol="label")}
+    path, ran = workdir.shared(spark, "training-run"), []
+    names = [f"e{i}" for i in range(8)]
+    first = runs.train(v, zoo, runs.Ledger(spark, path, ran.append), names).first()
+    again = runs.train(v, zoo, runs.Ledger(spark, path, ran.append), names).first()
+    rows = [(s, ran.count(s), first == again) for s in runs.stages_of(zoo)]
+    return spark.createDataFrame(rows, "stage string, times int, same boolean")
+
+
+def enrichment_batch(spark, sf_dir):
+    """Counters of a batch of pages of which some have no URL, no record of their host, or a failed lookup."""
+    k = F.col("page_id")
+    pages = t(spark, sf_dir, "pages").select("page_id", F.when(k % 10 == 9, F.lit(None)).when(k % 10 == 8, "nothing here").otherwise(F.concat(F.lit("https://h"), (k % 97).cast("string"), F.lit(".example/x"))).alias("url"))
+    number = F.col("s_suppkey") % 97
+    records = t(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), number.cast("string"), F.lit(".example")).alias("host"), number.alias("records"), F.when(number % 7 == 0, "timed out").alias("error")).distinct()
+    path = workdir.shared(spark, "enriched")
+    counts = enrichment.enrich(pages, records, path, "1")
+    failed = spark.read.parquet(f"{path}/batch=1").groupBy(F.col("failed").cast("boolean").alias("failed")).agg(F.count(F.lit(1)).alias("n"), F.count("records").alias("found"))
+    told = spark.createDataFrame([(bool(f), counts["rows"] - counts["well"] if f else counts["well"]) for f in (True, False)], "failed boolean, observed long")
+    return failed.join(told, "failed")
+
+
 def page_addresses(spark, sf_dir):
     """Addresses of both families made from page numbers."""
     k = F.col("page_id")
@@ -144,6 +170,8 @@ SQL = {
     "extra_trees_cover": "SELECT CAST(range AS INTEGER) AS tree, count(*)::DOUBLE AS n, true AS grown FROM embeddings, range(3) WHERE embedding IS NOT NULL GROUP BY range",
     "boosted_weights": "SELECT count(*) AS n, 1.0::DOUBLE AS whole, 0.5::DOUBLE AS wrong FROM embeddings WHERE embedding IS NOT NULL",
     "sgd_margins": "SELECT CAST(label % 2 AS INTEGER) AS label, count(*) AS n, true AS between FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1",
+    "training_run": "SELECT stage, CAST(1 AS INTEGER) AS times, count(*) > 0 AS same FROM embeddings, (VALUES ('folds'), ('scores-logreg'), ('scores-bayes'), ('report'), ('saved'), ('gate')) AS v(stage) GROUP BY stage",
+    "enrichment_batch": "WITH r AS (SELECT DISTINCT s_suppkey % 97 AS h FROM supplier), p AS (SELECT page_id, CASE WHEN page_id % 10 < 8 THEN page_id % 97 END AS h FROM pages), j AS (SELECT p.h IS NULL OR r.h IS NULL OR r.h % 7 = 0 AS failed FROM p LEFT JOIN r ON p.h = r.h) SELECT failed, count(*) AS n, count(*) FILTER (WHERE NOT failed) AS found, count(*) AS observed FROM j GROUP BY failed",
     "longest_prefix": f"WITH {_PAGES}, {_NETS}, m AS (SELECT page_id, cidr, asn, row_number() OVER (PARTITION BY page_id ORDER BY len DESC) AS place FROM pa JOIN nets ON {_HELD}) "
     "SELECT page_id, ip, cidr, asn, CASE family WHEN 0 THEN 'none' WHEN 4 THEN 'private' ELSE 'public' END AS category FROM pa LEFT JOIN (SELECT * FROM m WHERE place = 1) USING (page_id)",
     "host_networks": f"WITH {_PAGES}, {_NETS}, h AS (SELECT DISTINCT CASE WHEN page_id % 11 = 0 THEN '10.0.0.' || page_id % 200 ELSE 'h' || page_id % 40 || '.example' END AS host, CASE WHEN page_id % 11 = 0 THEN '10.0.0.' || page_id % 200 ELSE ip END AS ip, CASE WHEN page_id % 11 = 0 THEN 4 ELSE family END AS family, CASE WHEN page_id % 11 = 0 THEN 0 ELSE second END AS second, group2 FROM pa WHERE family > 0), "
