@@ -86,8 +86,10 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             )
         ).alias("p"),
     ).select("__doc", "p.*")
-    aligned = cut.join(test_words, F.col("__item").eqNullSafe(F.col("__test")))
+    # where a document repeats itself, stretches that are equal are verified once, for the last of them, which is the one that counts among equals
     lead = F.greatest(-F.col("__shift"), F.lit(0))
+    alike = cut.groupBy("__doc", "__item", lead.alias("__lead"), F.xxhash64("piece").alias("__piece_hash")).agg(F.max(F.struct("__shift", "piece")).alias("m"))
+    aligned = alike.select("__doc", "__item", "m.*").join(test_words, F.col("__item").eqNullSafe(F.col("__test")))
     n = F.size("__test_words")
     length = F.least(n, F.greatest(F.lit(min_words), F.ceil(n * F.lit(share)).cast("int")))
     least = F.when(n < min_words, F.lit(1.0)).otherwise(F.lit(float(similarity)))

@@ -393,6 +393,14 @@ def test_decontaminate_finds_every_placement(spark):
     assert {r.doc_id for r in found.collect()} == set(range(len(spots)))
 
 
+def test_decontaminate_of_texts_that_repeat_themselves(spark):
+    """Every place of such a text is an alignment; equal stretches are verified once, and the last of equals counts."""
+    docs = spark.createDataFrame([(1, "word " * 3000), (2, "a b " * 500), (3, "x " + "word " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "word " * 60), (2, "b a " * 15), (3, "word " * 14)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.overlap_words, r.matched_words) for r in decontaminate.find_overlaps(docs, items).collect()}
+    assert got == {(1, 1): (2970, 30, 30), (1, 3): (2987, 13, 13), (2, 2): (985, 15, 15), (3, 3): (8, 13, 13)}
+
+
 def test_decontaminate_equals_brute_force(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     tests = {r.item_id: words_of(r.text) for r in items.collect()}
