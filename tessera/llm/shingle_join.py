@@ -157,8 +157,8 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield {"a": x, "b": y}
 
     own = sets.select("sid", "hashes")
-    left = pairs.join(own.select(F.col("sid").alias("a"), F.col("hashes").alias("p")), "a")
-    both = left.join(own.select(F.col("sid").alias("b"), F.col("hashes").alias("q")), "b")
+    left = pairs.hint("merge").join(own.select(F.col("sid").alias("a"), F.col("hashes").alias("p")), "a")
+    both = left.hint("merge").join(own.select(F.col("sid").alias("b"), F.col("hashes").alias("q")), "b")
     return materialise(map_batches(both.select("x", "y", "p", "q"), run, "a binary, b binary"), "similar")
 
 
@@ -166,8 +166,8 @@ def golay_pairs(rows: DataFrame) -> DataFrame:
     """(a, b) of sets whose fingerprints differ in three bits at most; sets of one fingerprint meet in its smallest."""
     prints = materialise(rows.select("sid", "fp").distinct(), "prints")
     smallest = prints.groupBy("fp").agg(F.min("sid").alias("a"))
-    same = prints.join(smallest, "fp").filter("sid <> a").select("a", F.col("sid").alias("b"))
-    of = lambda end: smallest.select(F.col("fp").alias(end), F.col("a").alias(f"__{end}"))
+    same = prints.join(smallest.hint("merge"), "fp").filter("sid <> a").select("a", F.col("sid").alias("b"))
+    of = lambda end: smallest.select(F.col("fp").alias(end), F.col("a").alias(f"__{end}")).hint("merge")
     linked = simhash.links(smallest.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
     return same.unionByName(linked)
 
@@ -185,15 +185,16 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     # the smaller set of a pair has the key among its first ones
     first = F.col("n") - F.col("place") >= 2 * longer * F.col("n") - 1e-9
     met = keys.groupBy("key").agg(F.min(F.when(first, F.col("n"))).alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1 AND least IS NOT NULL")
-    members = keys.join(met.select("key", "least"), "key").filter(first | (F.col("n") > F.col("least"))).select("key", "sid", "n", "place", first.alias("first"))
+    members = keys.join(met.select("key", "least").hint("merge"), "key").filter(first | (F.col("n") > F.col("least"))).select("key", "sid", "n", "place", first.alias("first"))
     members = materialise(members.withColumn("root", F.col("sid")), "shingle-keys")
     total, merges, before = members.count(), [], math.inf
 
     def merged(table: DataFrame, links: DataFrame) -> DataFrame:
         merges.append(materialise(connected_components(links), "merges"))
         step = merges[-1].select(F.col("node").alias("root"), F.col("root").alias("__to"))
-        return materialise(table.join(step, "root", "left").withColumn("root", F.coalesce("__to", "root")).drop("__to"), "shingle-keys")
+        return materialise(table.join(step.hint("merge"), "root", "left").withColumn("root", F.coalesce("__to", "root")).drop("__to"), "shingle-keys")
 
+    # all of these tables grow with the corpus: none is broadcast, however small it is here
     near = similar(golay_pairs(rows).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), sets, threshold)
     if not near.isEmpty():
         members = merged(members, near)
@@ -202,10 +203,10 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         state = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / 2).alias("open")).filter("open > 0")
         state = materialise(state, "open-keys")
-        members = members.join(state.select("key"), "key")
+        members = members.join(state.select("key").hint("merge"), "key")
         if "sketch" not in members.columns:
             # only sets of open keys are compared
-            members = members.join(sets.select("sid", "sketch"), "sid")
+            members = members.join(sets.select("sid", "sketch").hint("merge"), "sid")
         members = materialise(members, "shingle-keys")
         left = state.agg(F.sum("open")).first()[0] or 0
         # few, or pivots don't help any more: what is left is mostly unlike
@@ -215,7 +216,7 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         # the same sets come first for all keys that they share
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.lit(r), "sid"), "sid"))
         pivots = members.filter("first").withColumn("__order", order).filter(F.col("__order") <= PIVOTS).select("key", F.struct("sid", "n", "place", "root", "sketch").alias("p"))
-        met = members.join(pivots, "key").filter((F.col("root") != F.col("p.root")) & long_enough(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place")) & (differ("sketch", "p.sketch") <= room(F.col("n"), F.col("p.n"))))
+        met = members.join(pivots.hint("merge"), "key").filter((F.col("root") != F.col("p.root")) & long_enough(F.col("n"), F.col("p.n")) & reach(F.col("n"), F.col("p.n"), F.col("place"), F.col("p.place")) & (differ("sketch", "p.sketch") <= room(F.col("n"), F.col("p.n"))))
         near = similar(met.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"), F.col("p.root").alias("x"), F.col("root").alias("y")).distinct(), sets, threshold)
         if near.isEmpty():
             break
@@ -223,7 +224,7 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     if r == ROUNDS - 1 or not near.isEmpty():
         sizes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
         state = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main")), "open-keys")
-    outside = members.join(state.select("key", "main"), "key").filter("root <> main")
+    outside = members.join(state.select("key", "main").hint("merge"), "key").filter("root <> main")
     a, b = outside.alias("a"), members.alias("b")
     allowed = (F.col("a.root") != F.col("b.root")) & long_enough(F.col("a.n"), F.col("b.n")) & reach(F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")) & (differ("a.sketch", "b.sketch") <= room(F.col("a.n"), F.col("b.n")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & allowed)
@@ -237,7 +238,7 @@ def components(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     roots = sets.select("sid", F.col("sid").alias("root"))
     for merge in merges:
         step = merge.select(F.col("node").alias("root"), F.col("root").alias("__to"))
-        roots = roots.join(step, "root", "left").select("sid", F.coalesce("__to", "root").alias("root"))
+        roots = roots.join(step.hint("merge"), "root", "left").select("sid", F.coalesce("__to", "root").alias("root"))
     return roots
 
 
@@ -257,13 +258,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heat = spark.sparkContext.broadcast(estimated(rows))
     roots = components(rows.filter("sid IS NOT NULL"), keyed_sets(source, n, threshold, twice, heat), threshold)
     firsts = own.groupBy("sid").agg(F.min("doc_id").alias("first"))
-    classes = materialise(firsts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
+    classes = materialise(firsts.join(roots.hint("merge"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(classes.join(smallest, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
+    return own.join(classes.join(smallest.hint("merge"), "root").select("sid", "component_id").hint("merge"), "sid").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each component: that of smallest id. Rows that repeat its id stay with it."""
     found = near_duplicates(docs, id_col, text_col, n, threshold)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
