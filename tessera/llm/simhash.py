@@ -109,7 +109,8 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     left, right = keys(0).withColumnRenamed("fp", "a"), keys(1).withColumnRenamed("fp", "b")
     # each pair meets in both directions, so one of them is enough
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return left.alias("l").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & close).select("a", "b").distinct()
+    # many keys come of one fingerprint, which Spark's estimate of the sizes doesn't know: neither side is to be broadcast
+    return left.alias("l").hint("merge").join(right.alias("r"), (F.col("l.key") == F.col("r.key")) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, max_bits: int = 3) -> DataFrame:
