@@ -69,28 +69,41 @@ def stream_retrain(spark, sf_dir):
     return spark.read.parquet(out).select(F.col("batch").cast("int").alias("batch"), "rows", "processed", "due")
 
 
-def passed_by(spark, sf_dir, n):
-    """Users and times of the events, one stretch of time after the other, and a row of no user long after them, which moves the watermark past all."""
-    path, events = workdir.shared(spark, "event-times"), spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts")
+def passed_by(spark, sf_dir, n, name, make):
+    """What ``make`` tells of the users and times of the events, which come as ``n`` batches, one stretch of time after the other.
+
+    Each stretch is written by as many tasks as read it and taken as one batch; the state goes on in the checkpoint. A row of no user long after the last moves the watermark past all.
+    """
+    path, out, log = (workdir.shared(spark, f) for f in ("event-times", name, f"{name}-log"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts")
     first, last = events.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
     part = F.least(F.floor((F.col("ts").cast("double") - (first or 0.0)) / max((last or 0.0) - (first or 0.0), 1.0) * n), F.lit(n - 1))
-    for k in range(n):  # one after the other, as the stream takes files in the order of their times
-        events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.lit((last or 0.0) + 10 * 86_400)).alias("ts")).write.mode("append").parquet(path)
-    return streams.event_time(streams.files(spark, path, events.schema, max_files=1), delay="1 hour")
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    with keyed.store(spark):
+        try:
+            for k in range(n):
+                events.filter(part == k).write.mode("append").parquet(path)
+                if k == n - 1:
+                    spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.lit((last or 0.0) + 10 * 86_400)).alias("ts")).write.mode("append").parquet(path)
+                # what waits after a stretch is settled with the next one; only the last has a batch without rows behind it
+                spark.conf.set(idle, "true" if k == n - 1 else "false")
+                told = make(streams.event_time(streams.files(spark, path, events.schema, max_files=1 << 30), delay="1 hour"))
+                told.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(idle, before)
+    return spark.read.schema(told.schema).parquet(out)
 
 
 def stream_ttl_cache(spark, sf_dir):
     """Requests of users through a cache of 24 hours, over batches in time order: hits and misses of each user."""
-    with keyed.store(spark):
-        hits = finished(spark, keyed.ttl_cache(passed_by(spark, sf_dir, 3), "user_id", "ts", slot_ms=600_000), "ttl")
+    hits = passed_by(spark, sf_dir, 3, "ttl", lambda s: keyed.ttl_cache(s, "user_id", "ts", slot_ms=600_000))
     return hits.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
 def stream_token_bucket(spark, sf_dir):
     """Requests that each user is allowed with three tokens that come back one in a quarter of a day."""
-    with keyed.store(spark):
-        told = finished(spark, keyed.token_bucket(passed_by(spark, sf_dir, 3), "user_id", "ts", rate=1 / 21_600, capacity=3.0, slot_ms=600_000), "bucket")
+    told = passed_by(spark, sf_dir, 3, "bucket", lambda s: keyed.token_bucket(s, "user_id", "ts", rate=1 / 21_600, capacity=3.0, slot_ms=600_000))
     return told.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("allowed"))
 
 

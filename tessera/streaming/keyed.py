@@ -1,8 +1,9 @@
 """Keyed state with timers: events of a key are taken one by one in time order, however they come within the watermark.
 
-A row waits in state under the slot of time that it belongs to, and a timer of the slot's end fires when the watermark has passed it; timers of a key fire
-in time order. So the memory that a key needs is one slot's times, never a batch of the key: a key with a third of all rows is
-many slots in the state store. What a rule keeps for a key is one number or two, and it goes when a timer says that it no longer matters. Rows that come later than the
+Rows wait in state until the watermark has passed them. What a key remembers, and its waiting rows while they are few, are one packed value, which is read and written
+once a key and batch: before, each row cost a dozen calls to the state store. A key with more rows than that has them under the slots of time that they belong to, so the memory
+that it needs is one slot's times or ``FEW`` of them, never a batch of the key: a key with a third of all rows is many slots in the state store. A key has one timer, for the next thing that
+is due. What a rule keeps for a key is one number or two, and it goes when the timer says that it no longer matters. Rows that come later than the
 watermark allows are dropped by it.
 
 The state store must be RocksDB (``store``). Rows whose time is null have no place in time and are left out; a null key is a key.
@@ -10,16 +11,20 @@ The state store must be RocksDB (``store``). Rows whose time is null have no pla
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-TIMES = T.StructType([T.StructField("at", T.ArrayType(T.LongType()))])
+#: Rows of a key that wait in its one value, and rows of an answer.
+FEW, ANSWERS = 20_000, 10_000
+TIMES = T.StructType([T.StructField("at", T.BinaryType())])
 SLOT = T.StructType([T.StructField("slot", T.LongType())])
 
 
@@ -35,6 +40,14 @@ def store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+class State:
+    """What a key has: its timer, waiting times (or the slots that hold them) in microseconds, and what the rule keeps."""
+
+    def __init__(self, timer: int | None = None, times: bytes = b"", slots: bytes = b"", kept: tuple | None = None):
+        self.timer, self.kept = timer, kept
+        self.times, self.slots = np.frombuffer(times, np.int64), set(np.frombuffer(slots, np.int64).tolist())
+
+
 class InTimeOrder(StatefulProcessor):
     """Calls ``take`` for each event of a key in time order; ``kept`` is what it remembers between them (longs or doubles by ``memory``)."""
 
@@ -42,11 +55,13 @@ class InTimeOrder(StatefulProcessor):
 
     def __init__(self, slot_ms: int):
         self.slot_ms = slot_ms
+        self.few = FEW
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        own = [T.StructField("timer", T.LongType()), T.StructField("times", T.BinaryType()), T.StructField("slots", T.BinaryType()), T.StructField("keeps", T.BooleanType())]
         self.handle = handle
+        self.state = handle.getValueState("state", T.StructType([*own, *self.memory.fields]))
         self.waiting = handle.getMapState("waiting", SLOT, TIMES)
-        self.kept = handle.getValueState("kept", self.memory)
 
     def take(self, kept: tuple | None, at: int) -> tuple[tuple, bool]:
         """What to keep after an event at a time in microseconds, and the answer for it."""
@@ -56,45 +71,84 @@ class InTimeOrder(StatefulProcessor):
         """Time in milliseconds from which on what is kept says nothing any more."""
         return None
 
+    def load(self) -> State:
+        found = self.state.get()
+        if found is None:
+            return State()
+        timer, times, slots, keeps, *kept = found
+        return State(timer, bytes(times), bytes(slots), tuple(kept) if keeps else None)
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        slots: dict[int, list[int]] = {}
-        held = 0
+        state = self.load()
+        times = array("q", state.times.tobytes())
         for row in rows:
-            slots.setdefault(row["__at"] // 1000 // self.slot_ms, []).append(row["__at"])
-            held += 1
-            if held >= 10_000:
-                self.put(slots)
-                slots, held = {}, 0
-        self.put(slots)
-        return iter(())
-
-    def put(self, slots: dict[int, list[int]]) -> None:
-        for slot, times in slots.items():
-            if self.waiting.containsKey((slot,)):
-                times = [*self.waiting.getValue((slot,))[0], *times]
-            else:
-                self.handle.registerTimer((slot + 1) * self.slot_ms)
-            self.waiting.updateValue((slot,), (times,))
+            times.append(row["__at"])
+            if len(times) >= self.few:
+                self.put(state, times)
+                times = array("q")
+        if state.slots:
+            self.put(state, times)
+            times = array("q")
+        state.times = np.frombuffer(times, np.int64)
+        # all rows of the key in this batch are there, so what is due needs no timer of its own
+        yield from self.settle(key, state, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        slot = end // self.slot_ms - 1
-        kept = tuple(self.kept.get()) if self.kept.exists() else None
-        if end % self.slot_ms == 0 and self.waiting.containsKey((slot,)):
-            before = self.forgets_at(kept) if kept is not None else None
-            for at in sorted(self.waiting.getValue((slot,))[0]):
-                kept, answer = self.take(kept, at)
-                yield Row(key=key[0], at=at, answer=answer)
+        state = self.load()
+        if state.timer == expiredTimerInfo.getExpiryTimeInMs():
+            state.timer = None  # goes by itself
+        yield from self.settle(key, state, timerValues.getCurrentWatermarkInMs())
+
+    def put(self, state: State, times: array) -> None:
+        """Adds times to their slots."""
+        own = np.sort(np.frombuffer(times, np.int64))
+        slots, first = np.unique(own // 1000 // self.slot_ms, return_index=True)
+        for slot, some in zip(slots.tolist(), np.split(own, first[1:]), strict=False):
+            before = bytes(self.waiting.getValue((slot,))[0]) if slot in state.slots else b""
+            self.waiting.updateValue((slot,), (before + some.tobytes(),))
+            state.slots.add(slot)
+
+    def settle(self, key, state: State, watermark: int) -> Iterator[Row]:
+        """Answers for all that the watermark (milliseconds) has passed; sets the next timer."""
+        for slot in sorted(s for s in state.slots if (s + 1) * self.slot_ms <= watermark):
+            yield from self.answers(key, state, np.sort(np.frombuffer(bytes(self.waiting.getValue((slot,))[0]), np.int64)))
             self.waiting.removeKey((slot,))
-            self.kept.update(kept)
-            after = self.forgets_at(kept)
-            if after is not None and after != before:
-                # past the slot's own timer, and on no slot's border
-                self.handle.registerTimer(max(after, end) // self.slot_ms * self.slot_ms + self.slot_ms + 1)
-        elif kept is not None:
-            gone = self.forgets_at(kept)
-            if gone is not None and gone <= end:
-                self.kept.clear()
+            state.slots.discard(slot)
+        times = np.sort(state.times)
+        due = int(np.searchsorted(times, watermark * 1000, "right"))
+        yield from self.answers(key, state, times[:due])
+        state.times = times[due:]
+        self.save(state, watermark)
+
+    def answers(self, key, state: State, times: np.ndarray) -> Iterator[Row]:
+        """Rows of several times and the answers for them."""
+        for first in range(0, len(times), ANSWERS):
+            some, told = times[first : first + ANSWERS].tolist(), []
+            for at in some:
+                state.kept, answer = self.take(state.kept, at)
+                told.append(answer)
+            yield Row(key=key[0], at=some, answer=told)
+
+    def save(self, state: State, watermark: int) -> None:
+        timer = None
+        if state.slots:
+            timer = (min(state.slots) + 1) * self.slot_ms
+        elif len(state.times):
+            timer = -(-int(state.times[0]) // 1000)
+        elif state.kept is not None:
+            timer = self.forgets_at(state.kept)
+            if timer is not None and timer <= watermark:
+                timer = state.kept = None
+        if timer != state.timer:
+            if state.timer is not None:
+                self.handle.deleteTimer(state.timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if timer is None and state.kept is None:
+            self.state.clear()
+        else:
+            kept = state.kept or (None,) * len(self.memory.fields)
+            self.state.update((timer, state.times.tobytes(), np.array(sorted(state.slots), np.int64).tobytes(), state.kept is not None, *kept))
 
     def close(self) -> None:
         pass
@@ -139,10 +193,11 @@ class TtlCache(InTimeOrder):
 def run(df: DataFrame, key: str, ts: str, rule: InTimeOrder, answer: str) -> DataFrame:
     """(key, ts, answer) for each row of a stream with a watermark on ``ts``."""
     kind = df.schema[key].dataType
-    out = T.StructType([T.StructField("key", kind), T.StructField("at", T.LongType()), T.StructField("answer", T.BooleanType())])
+    out = T.StructType([T.StructField("key", kind), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("answer", T.ArrayType(T.BooleanType()))])
     own = df.filter(F.col(ts).isNotNull()).select(F.col(key).alias("__key"), F.col(ts), F.unix_micros(ts).alias("__at"))
     told = own.groupBy("__key").transformWithState(statefulProcessor=rule, outputStructType=out, outputMode="Append", timeMode="EventTime")
-    return told.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("answer").alias(answer))
+    each = told.select("key", F.inline(F.arrays_zip("at", "answer")))
+    return each.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("answer").alias(answer))
 
 
 def token_bucket(df: DataFrame, key: str, ts: str, rate: float, capacity: float, slot_ms: int = 1000) -> DataFrame:

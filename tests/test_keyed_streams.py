@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.streaming import keyed, streams
@@ -100,3 +101,86 @@ def test_rules_by_hand():
     assert answers == [True, True, False, True, False, True] and kept == (1.0, 9_000_000)
     # full again a second later
     assert rule.forgets_at(kept) == 10_002
+
+
+class Calls:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.n, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def counted(self, value=None):
+        self.n += 1
+        return value
+
+    getValueState = getMapState = lambda self, *a: self
+    get = lambda self: self.counted(self.value)
+    getValue = lambda self, k: self.counted(self.map.get(k))
+    exists = lambda self: self.counted(self.value is not None)
+    containsKey = lambda self, k: self.counted(k in self.map)
+    update = lambda self, v: self.counted(setattr(self, "value", v))
+    clear = lambda self: self.counted(setattr(self, "value", None))
+    updateValue = lambda self, k, v: self.counted(self.map.__setitem__(k, v))
+    removeKey = lambda self, k: self.counted(self.map.pop(k))
+    registerTimer = lambda self, t: self.counted(self.timers.add(t))
+    deleteTimer = lambda self, t: self.counted(self.timers.discard(t))
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def told(rule, parts, watermarks):
+    """Answers of one key, its rows and watermarks batch by batch, and the store."""
+    store, out = Calls(), []
+    rule.init(store)
+    for times, ms in zip(parts, watermarks, strict=True):
+        rows = list(rule.handleInputRows((1,), iter([Row(__at=t) for t in times]), Clock(ms))) if times else []
+        for t in sorted(t for t in store.timers if t <= ms):
+            rows += rule.handleExpiredTimer((1,), Clock(ms), Clock(t))
+            store.timers.discard(t)
+        out += [answer for r in rows for answer in zip([r.at] if isinstance(r.at, int) else r.at, [r.answer] if isinstance(r.at, int) else r.answer, strict=True)]
+    return out, store
+
+
+def spread(n=3000):
+    """Three batches of one key's times, seconds apart; the watermark is behind each batch by some rows; the last is far beyond."""
+    rng = random.Random(9)
+    times = sorted(1_700_000_000_000_000 + rng.randrange(n * 1_000_000) for _ in range(n))
+    parts = [times[i : i + n // 3] for i in range(0, n, n // 3)]
+    marks = [0, *((p[-1] - 30_000_000) // 1000 for p in parts[:-1])]
+    for part in parts:
+        rng.shuffle(part)
+    return [*parts, []], [*marks, times[-1] // 1000 + 10**9]
+
+
+RULES = [(lambda: keyed.TokenBucket(500, 0.3, 3.0), lambda p: bucket(p, 0.3, 3.0)), (lambda: keyed.TtlCache(500, 7_000_000), lambda p: cache(p, 7_000_000))]
+
+
+@pytest.mark.parametrize(("make", "plain"), RULES)
+def test_calls_to_the_state_store_are_a_few_a_key_and_batch(make, plain):
+    parts, marks = spread()
+    got, store = told(make(), parts, marks)
+    assert Counter((1, *g) for g in got) == plain([[(1, t) for t in p] for p in parts])
+    assert store.n < 30, "calls grow with the rows"
+    assert store.value is None and not store.timers, "the key is forgotten"
+
+
+@pytest.mark.parametrize(("make", "plain"), RULES)
+def test_a_key_with_many_rows_waits_in_slots(make, plain):
+    parts, marks = spread()
+    rule = make()
+    rule.few = 100
+    got, store = told(rule, parts, marks)
+    assert [t for t, _ in got] == sorted(t for t, _ in got)
+    assert Counter((1, *g) for g in got) == plain([[(1, t) for t in p] for p in parts])
+    assert store.value is None and not store.timers and not store.map
+
+
+def test_slots_through_the_state_store(spark, tmp_path):
+    parts = events(4)
+    write(spark, f"{tmp_path}/in", parts)
+    rule = keyed.TokenBucket(1000, 0.2, 3.0)
+    rule.few = 20
+    assert collected(run(spark, tmp_path, lambda s: keyed.run(s, "user", "ts", rule, "allowed"))) == bucket(parts, 0.2, 3.0)
