@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ BLOCK_TOKENS = 1 << 17
 #: Stretches of text whose ids a Python worker remembers, their characters, and the longest one that is kept for later batches.
 CACHE, CACHE_CHARS, LONGEST = 800_000, 12_000_000, 64
 #: Documents encoded at a time.
-DOCS = 256
+DOCS = 1024
 #: Bytes of ids that a task of the range partitioning gets.
 PART_BYTES = 256 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -48,7 +49,8 @@ class Encoder:
 
     The pre-tokenizer never joins what stands before a single space or line break between two visible characters with what
     follows, and a single line break is a piece of its own, so a text's ids are those of its stretches. Plain words (letters, perhaps one mark at
-    the end) are one piece each and go straight to the library's BPE model; all else goes through the whole library.
+    the end) are one piece each and go straight to the library's BPE model; all else goes through the whole library. Arrow cuts the texts of a batch and puts
+    their ids together, so only distinct stretches of a batch are Python objects.
     """
 
     def __init__(self, path: str):
@@ -75,12 +77,14 @@ class Encoder:
     def library_ids(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, stretches: set[str]) -> None:
+    def learn(self, stretches: list[str]) -> None:
         rest, known = [], self.known
         tokenize, packed, ends, join = self.model.tokenize, self.packed, self.ends, b"".join
         before, lead = {"": self.plain[32], "\n": ""}, {"": b"", "\n": self.line}
         for s, (line, word, mark, _) in zip(stretches, STRETCH.findall(" ".join(stretches)), strict=False):
-            if word:
+            if mark and not line and (bare := known.get(word)):
+                known[s] = bare + ends[mark]
+            elif word:
                 if not word.isascii():
                     word = word.encode().decode("latin-1").translate(self.plain)
                 known[s] = lead[line] + join([packed[t.id] for t in tokenize(before[line] + word)]) + ends[mark]
@@ -108,18 +112,26 @@ class Encoder:
         for at in range(0, len(texts), DOCS):
             batch = [t or "" for t in texts[at : at + DOCS]]
             # a line break before the text makes its first stretch like the others; its ids are cut off again
-            some = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in batch]
+            parts = pc.split_pattern(pa.array([f"\n{t}".replace("\n", " \n")[1:] for t in batch], pa.large_string()), " ")
+            coded = parts.values.dictionary_encode()
+            some = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(self.known) > CACHE or self.chars > CACHE_CHARS:
                 self.forget()
-            self.learn(set().union(*some).difference(self.known))
-            ids_of = self.known.__getitem__
-            for text, parts in zip(batch, some, strict=True):
-                found = list(map(ids_of, parts))
+            ids = list(map(self.known.get, some, repeat(False)))
+            if new := [i for i, known in enumerate(ids) if known is False]:
+                self.learn([some[i] for i in new])
+                for i in new:
+                    ids[i] = self.known[some[i]]
+            found = pa.array(ids, pa.large_binary()).take(coded.indices)
+            first = parts.offsets.to_numpy()
+            unsafe = set((np.searchsorted(first, np.flatnonzero(found.is_null()), "right") - 1).tolist()) if found.null_count else ()
+            data, byte_at = memoryview(found.buffers()[2] or b""), np.frombuffer(found.buffers()[1], np.int64)[first].tolist()
+            for i, text in enumerate(batch):
                 # of two line breaks before a visible character each is a piece of its own, others are not
-                if None in found or not text or text[0].isspace() or text.endswith("\n\n") or any(s in text for s in apart):
+                if i in unsafe or not text or text[0].isspace() or text.endswith("\n\n") or any(s in text for s in apart):
                     out.append(self.careful(text) + end)
                 else:
-                    out.append(b"".join(found)[head:] + end)
+                    out.append(bytes(data[byte_at[i] + head : byte_at[i + 1]]) + end)
         return out
 
 

@@ -298,6 +298,28 @@ def test_encoder_equals_library(monkeypatch):
         assert [np.frombuffer(i, own.dtype).tolist() for i in own.encode(texts, None)] == expected
 
 
+def test_encoder_looks_up_each_stretch_once_a_batch():
+    class Counting(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            Counting.n += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counting.n += 1
+            return super().get(key, default)
+
+    path = bpe.vocabulary("byte_bpe_50k.json")
+    own = token_store.Encoder(path)
+    own.known = Counting(own.known)
+    # equal stretches, bare words before and after the same with marks, odd white space, a special token, empty and null texts
+    texts = ["word other word, " * 400 + "end", "Other, other. é é! \nWord\nword, Ünder", " a", "a ", "a\n\n", "a \n b", "a  b", "x<|endoftext|> y", "\u00a0 a \u00a0", "", None]
+    got = own.encode(texts * 2, 2)
+    assert got == [own.pack([*own.library.encode(t or "", add_special_tokens=False).ids, 2]) for t in texts * 2]
+    assert Counting.n < 100
+
+
 def test_token_store_of_equal_ids(spark, tmp_path):
     """Null ids and one id's rows are dealt to several tasks, in order all the same."""
     from tokenizers import Tokenizer
