@@ -1,8 +1,10 @@
 """State with timers: results against a plain loop, a hot key, a restart."""
 
+import pickle
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -184,3 +186,84 @@ def test_slots_through_the_state_store(spark, tmp_path):
     rule = keyed.TokenBucket(1000, 0.2, 3.0)
     rule.few = 20
     assert collected(run(spark, tmp_path, lambda s: keyed.run(s, "user", "ts", rule, "allowed"))) == bucket(parts, 0.2, 3.0)
+
+
+def shelved(rule, parts, watermarks):
+    """Answers of a shelf of several keys, its (key, time) rows and watermarks batch by batch, and the store."""
+    store, out = Calls(), []
+    shelf = keyed.Shelf(rule)
+    shelf.init(store)
+    for rows, ms in zip(parts, watermarks, strict=True):
+        packs = [Row(shelf=0, keys=[k for k, _ in some], at=np.array([t for _, t in some], np.int64).tobytes()) for some in (rows[::2], rows[1::2]) if some]
+        got = list(shelf.handleInputRows((0,), iter(packs), Clock(ms))) if packs else []
+        for t in sorted(t for t in store.timers if t <= ms):
+            got += shelf.handleExpiredTimer((0,), Clock(ms), Clock(t))
+            store.timers.discard(t)
+        for r in got:
+            counts, at, answer = (np.frombuffer(b, kind).tolist() for b, kind in ((r.n, "int64"), (r.at, "int64"), (r.answer, "bool")))
+            out += zip([k for k, n in zip(r.keys, counts, strict=True) for _ in range(n)], at, answer, strict=True)
+    return out, store
+
+
+def many_keys():
+    parts, marks = spread()
+    rng = random.Random(5)
+    return [[(0 if rng.random() < 0.33 else rng.randrange(1, 200), t) for t in part] for part in parts], marks
+
+
+@pytest.mark.parametrize(("make", "plain"), RULES)
+def test_calls_to_the_state_store_are_a_few_a_shelf_whatever_its_keys(make, plain):
+    parts, marks = many_keys()
+    got, store = shelved(make(), parts, marks)
+    assert Counter(got) == plain(parts)
+    assert store.n < 30, "calls grow with the keys"
+    assert not store.timers and not store.map and not pickle.loads(store.value[3]), "the keys are forgotten"
+
+
+@pytest.mark.parametrize(("make", "plain"), RULES)
+def test_a_hot_key_of_a_shelf_waits_in_slots_and_comes_in_chunks(make, plain, monkeypatch):
+    monkeypatch.setattr(keyed, "CHUNK", 50)
+    parts, marks = many_keys()
+    rule = make()
+    rule.few = 20
+    got, store = shelved(rule, parts, marks)
+    assert Counter(got) == plain(parts)
+    assert not store.timers and not store.map
+
+
+def test_rows_behind_the_mark_of_their_shelf_are_dropped():
+    at = 1_700_000_000_000_000
+    parts = [[("a", at), ("b", at + 5)], [("a", at + 10_000_000)], [("b", at + 1_000_000), ("b", at + 3_000_000), ("c", at + 2_000_000), ("c", at + 2_000_001)], []]
+    got, _ = shelved(keyed.TtlCache(500, 7_000_000), parts, [0, at // 1000 + 2000, at // 1000 + 2000, at // 1000 + 10**6])
+    # the shelf was settled up to two seconds: a row at or before that has no place any more
+    assert sorted(got) == [("a", at, False), ("a", at + 10_000_000, False), ("b", at + 5, False), ("b", at + 3_000_000, True), ("c", at + 2_000_001, False)]
+
+
+def test_rows_before_1970_wait_for_a_watermark():
+    parts = [[("a", -5_000_000)], [("a", -4_000_000)], []]
+    got, _ = shelved(keyed.TtlCache(500, 7_000_000), parts, [0, 0, 10**9])
+    assert got == [("a", -5_000_000, False), ("a", -4_000_000, True)]
+
+
+def test_the_state_store_has_a_row_a_shelf(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "SHELVES", 8)
+    parts = events(6, users=300)[:-1]
+    write(spark, f"{tmp_path}/in", parts)
+    source = streams.event_time(streams.files(spark, f"{tmp_path}/in", SCHEMA, max_files=1), delay="2 hours")
+    query = keyed.ttl_cache(source, "user", "ts", 45.0).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len({u for p in parts for u, _ in p}) > 100
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+
+
+@pytest.mark.parametrize("key", ["IF(user = 0, NULL, concat('k', user))", "IF(user = 0, CAST('NaN' AS DOUBLE), user / 2)", "struct(IF(user = 0, CAST('NaN' AS DOUBLE), user) AS a, array(user) AS b)", "CAST(user AS DECIMAL(20, 3))", "IF(user = 0, NULL, (1L << 62) + user)"])
+def test_keys_of_several_types(spark, tmp_path, key):
+    parts = events(7, n=200)
+    write(spark, f"{tmp_path}/in", parts)
+    source = streams.event_time(streams.files(spark, f"{tmp_path}/in", SCHEMA, max_files=1), delay="2 minutes").selectExpr(f"{key} AS key", "ts")
+    told = keyed.ttl_cache(source, "key", "ts", 45.0)
+    told.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(told.schema).parquet(f"{tmp_path}/out").select(F.expr("to_json(struct(key))").alias("k"), F.unix_micros("ts").alias("us"), "hit").collect()
+    names = {r.user: r.k for r in spark.range(-1, 6).selectExpr("id AS user").selectExpr("user", f"to_json(struct({key} AS key)) AS k").collect()}
+    want = Counter({(names[u], t, hit): n for (u, t, hit), n in cache(parts, 45_000_000).items()})
+    assert Counter((r.k, r.us, r.hit) for r in got if r.k != names[-1]) == want
